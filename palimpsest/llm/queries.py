@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fair_mix, positional_index, quality_rules, simhash_trie, token_counts, warc_chain
+from palimpsest.llm import fair_mix, license_scan, line_crf, line_dedup, mixture_langid, positional_index, quality_rules, simhash_trie, token_counts, warc_chain
 from palimpsest.runtime import read_table
 
 
@@ -31,23 +31,47 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_file()).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = line_crf.score(docs, line_crf.train(docs, read_table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(line_crf.fold_of("doc_id") == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines", "n_bad_lines")
+
+
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = positional_index.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return rows.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_matches", F.array_join("licenses", ",").alias("licenses"))
+
+
 def op7_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = fair_mix.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.orderBy("virtual_finish", "source", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_mixture_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rows = mixture_langid.identify(docs, mixture_langid.train(docs))
+    held_out = F.coalesce(mixture_langid.fold_of("doc_id") == 0, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.array_join("languages", ",").alias("languages"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_deleted_lines", "n_deleted_words", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chain.round_trip(read_table(spark, sf_dir, "pages")).drop("url")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_trie, op3_token_counts, op5_positional_index, op7_fair_mix, op10_warc_chain)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_trie, op3_token_counts, op4_line_crf, op5_positional_index, op6_license_scan, op7_fair_mix, op8_mixture_langid, op9_line_dedup, op10_warc_chain)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,8 @@ two is a cache in each Python worker: a miss is encoded by the library once, and
 Pre-tokens are never shuffled: to find the frequent ones each task sums its own and emits only its heaviest,
 so what is exchanged is bounded by tasks, and the table by its size.
 
-The table only speeds counting up: counts are exact whatever it holds.
+The table only speeds counting up: counts are exact whatever it holds. Characters that the library's Unicode tables
+class otherwise than the pattern's here are found once on the driver; texts that hold one are cut by the library itself.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; strings of special tokens inside a text count as the
 library's default has them, as one token each; repeated rows give repeated results; an empty table gives no rows; only id and text are read.
@@ -14,7 +15,9 @@ library's default has them, as one token each; repeated rows give repeated resul
 
 from __future__ import annotations
 
+import functools
 import json
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +41,7 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """The library's tokenizer, by pre-token."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, odd: str = ""):
         import regex
         from tokenizers import Tokenizer
 
@@ -53,31 +56,48 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         special = sorted((t["content"] for t in said.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.odd = regex.compile(f"[{regex.escape(odd)}]") if odd else None
         self.cache: dict[str, int] = {}
 
+    def cut(self, text: str) -> list[str]:
+        if self.odd and not text.isascii() and self.odd.search(text):
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return self.find(text)
+
     def pre_tokens(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and the number of added tokens between them."""
         if self.special is None or not (n := len(self.special.findall(text))):
-            return self.find(text), 0
-        return [t for part in self.special.split(text) for t in self.find(part)], n
+            return self.cut(text), 0
+        return [t for part in self.special.split(text) for t in self.cut(part)], n
 
     def lengths(self, words: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-def encoder(file: str) -> Encoder:
+def encoder(file: str, odd: str = "") -> Encoder:
     if file not in _encoders:
-        _encoders[file] = Encoder(file)
+        _encoders[file] = Encoder(file, odd)
     return _encoders[file]
 
 
+@functools.cache
+def odd_characters(file: str, chunk: int = 256) -> str:
+    """Characters that the pattern and the library cut differently, by trying each after a letter, a number, a sign and a space."""
+    plain = Encoder(file)
+    differ = lambda text: plain.find(text) != [text[a:b] for _, (a, b) in plain.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+    probe = lambda codes: "".join(f"a{chr(c)}1{chr(c)}.{chr(c)} {chr(c)}a" for c in codes if not 0xD800 <= c < 0xE000)
+    return "".join(chr(c) for first in range(0, sys.maxunicode + 1, chunk) if differ(probe(range(first, first + chunk))) for c in range(first, first + chunk) if differ(probe([c])))
+
+
 def frequent(docs: DataFrame, file: str, text_col: str = "text", size: int = TABLE_SIZE) -> list[tuple[str, int]]:
     """The most frequent pre-tokens of all texts and their numbers of tokens.
 
     A task keeps counts of up to TASK_ENTRIES pre-tokens (beyond that the rarer half goes) and emits its PER_TASK heaviest."""
 
+    odd = odd_characters(file)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(file)
+        own = encoder(file, odd)
         seen: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -98,8 +118,10 @@ def token_counts(docs: DataFrame, file: str, limit: int = 1024, id_col: str = "d
     table = docs.sparkSession.sparkContext.broadcast(dict(frequent(docs, file, text_col, table_size)))
     out = K.schema(**{id_col: docs.schema[id_col].dataType.simpleString(), "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean", "n_misses": "bigint"})
 
+    odd = odd_characters(file)
+
     def run(batch: pa.RecordBatch):
-        own, first = encoder(file), table.value
+        own, first = encoder(file, odd), table.value
         n_bytes, n_tokens, n_misses = [], [], []
         for text in batch.column(1).to_pylist():
             words, total = own.pre_tokens(text) if text else ([], 0)
