@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.llm import kernel as K
+from palimpsest.runtime import cut
 
 MIN_WORDS = 5
 COPIED_SHARE = 0.5
@@ -162,7 +163,8 @@ def plan_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Rows of one document in several rows are one holder.
     rows = rows.withColumn("holder", order)
     firsts = rows.groupBy("line").agg(F.min(F.struct("holder", "at")).alias("first"), F.max("holder").alias("last"), F.count("*").alias("n_docs"))
-    firsts = firsts.where("first.holder <> last").select(F.col("line").alias("shared_line"), F.col("first.holder").alias("first"), F.col("first.at").alias("first_at"), "n_docs")
+    # Cut, so that both sides of the join that follows are exchanged for it and Spark can split the partition of a very common line.
+    firsts = cut(firsts.where("first.holder <> last").select(F.col("line").alias("shared_line"), F.col("first.holder").alias("first"), F.col("first.at").alias("first_at"), "n_docs"))
     pairs = rows.join(firsts, F.col("line") == F.col("shared_line")).where("holder <> first")
     # The earlier document is told by a hash: two that collide would only be aligned as one.
     item = F.struct("at", "first_at", "n_words", "n_docs", F.xxhash64("first.id", "first.hash").alias("first"), "line")
