@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from palimpsest.plans import facts  # noqa: F401
+from palimpsest.plans import facts, graphs  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES  # noqa: F401
