@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fair_mix, license_scan, line_crf, line_dedup, mixture_langid, positional_index, quality_rules, simhash_trie, token_counts, warc_chain
+from palimpsest.llm import fair_mix, license_scan, line_crf, line_dedup, mixture_langid, oracles, positional_index, quality_rules, simhash_trie, token_counts, warc_chain
 from palimpsest.runtime import read_table
 
 
@@ -75,4 +75,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash as DuckDB can't, or learn or align; tests/llm holds them against brute force and held-out rows."""
+    return {"op1_quality_rules": oracles.QUALITY_RULES, "op5_positional_index": oracles.CONTAMINATION, "op7_fair_mix": oracles.FAIR_MIX, "op10_warc_chain": oracles.WARC}
