@@ -1,18 +1,17 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is cut by document: each shard holds the postings of a few MB of documents, so no term's list is
-ever in one place and a frequent term costs no shuffle. A shard is a run of index rows, one per term that the
-test set asks for (or per term at all), with its positions packed in ascending order. A phrase is looked up by
-intersecting the lists of its terms, each moved back by the term's place in the phrase, from the rarest list
-to the commonest; `proximity_matches` lets each step be off by a slop.
+The index is cut by document into segments of a few MB of text, as search engines do: a segment is one row that holds the
+postings of all its terms, so no term's list is ever in one place and a frequent term costs no shuffle. A phrase is looked up in
+each segment by intersecting the lists of its terms, each moved back by the term's place in the phrase, from the rarest list to
+the commonest; with a slop, each term may stand somewhat later than right behind the one before.
 
-`build_index` makes the rows, `phrase_matches` and `proximity_matches` read them, in flight behind it (same
-tasks, no exchange) or from a table that was written. `decontaminate` is the first way, with per-document figures.
+`build_index` makes the segments of a corpus, whatever is asked later; they are written as a table once. `document_hits`, `phrase_matches` and
+`proximity_matches` read the table, `contamination` does both in flight (same tasks, nothing written) for filters over documents.
 
-Test items are broadcast in parts of at most `max_part_bytes`; a larger test set takes several narrow passes.
+Test items are broadcast in parts of at most `max_part_bytes`; a larger test set takes several passes over the index.
 
-Defined results: null or empty texts have no words and no hits; null item ids count as ''; repeated documents
-get repeated results, repeated items count once by their id; an empty test set hits nothing; columns other
+Terms are found by 64-bit hashes and compared by their letters. Defined results: null or empty texts have no words and no hits; null item ids count as
+''; repeated documents get repeated results, repeated items count once by their id; an empty test set hits nothing; columns other
 than id and text aren't read.
 """
 
@@ -25,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from palimpsest.llm import kernel as K
+from palimpsest.runtime import shared_path
 
 WINDOW = 10
 MAX_PART_BYTES = 32 << 20
@@ -156,69 +155,118 @@ def shards(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, np.ndarray
 
 # The index as a table ---------------------------------------------------------------------------------------
 
+SEGMENT = {"n_words": "array<bigint>", "hash": "array<bigint>", "term": "array<string>", "ends": "array<bigint>", "doc": "array<int>", "at": "array<int>"}
 
-def build_index(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_part_bytes: int = MAX_PART_BYTES) -> list[DataFrame]:
-    """Per part of the test set a frame of postings: shard, term, and for each occurrence its document (by place in the shard) and word position, ascending.
 
-    The row of term '' has the ids of the shard's documents, and their numbers of words as positions. A frame can be written as a table."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = K.schema(shard="string", term="string", ids=f"array<{kind}>", doc="array<bigint>", at="array<bigint>")
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Segments: ids and n_words of the documents; hash and term of each term, ascending by hash (unsigned); ends, where each term's postings end;
+    doc and at of each posting: the document by its place in the segment, and the word's place in it, both ascending within a term."""
+    out = K.schema(ids=f"array<{docs.schema[id_col].dataType.simpleString()}>", **SEGMENT)
 
-    def index(part):
-        def run(batch: pa.RecordBatch):
-            own: Items = part.value
-            for a, b, base, shard in shards(batch.column(1), own):
-                ids = batch.column(0).slice(a, b - a)
-                name = hashlib.sha256(repr(ids.to_pylist()).encode() + shard.keys.tobytes()).hexdigest()
-                term, position = shard.keys // shard.span, shard.keys % shard.span
-                doc = np.searchsorted(base, position, "right") - 1
-                cut = np.flatnonzero(np.diff(term, prepend=-1, append=-1)) if len(term) else np.zeros(1, np.int64)
-                names = ["", *[own.terms[t].decode() for t in term[cut[:-1]]]]
-                bounds = np.concatenate([[0], b - a + cut])
-                at = np.concatenate([np.diff(base) - GAP, position - base[doc]])
-                all_ids = pa.ListArray.from_arrays(pa.array([0, *[b - a] * len(names)], pa.int32()), ids)
-                yield [pa.array([name] * len(names)), pa.array(names), all_ids, K.lists(np.concatenate([np.arange(b - a), doc]), bounds, pa.int64()), K.lists(at, bounds, pa.int64())]
-
-        return run
-
-    return [K.map_arrow(docs.select(id_col, text_col), index(part), out) for part in parts_of(items, window, item_id, item_text, max_part_bytes)]
-
-
-def stored_matches(index: list[DataFrame], items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None, max_part_bytes: int = MAX_PART_BYTES) -> DataFrame:
-    """Matches (doc, item, start, n_words) from index tables; slop None: exact phrases. Each shard's rows, a few MB, meet in one group."""
-    def reader(part, out: T.StructType):
-        def read(group):
+    def run(batch: pa.RecordBatch):
+        for a, b, data, offsets in K.text_blocks(batch.column(1)):
+            data = K.LOWER[data]
+            starts, ends, first = K.spans(data, offsets, K.ALNUM)
+            hashes = K.span_hashes(data, starts, ends)
+            order = np.argsort(hashes, kind="stable")
+            sorted_ = hashes[order]
+            head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else order
+            raw = data.tobytes()
+            terms = [raw[x:y].decode() for x, y in zip(starts[order[head]].tolist(), ends[order[head]].tolist(), strict=True)]
+            doc = K.owners(first)
+            at = np.arange(len(doc)) - first[doc]
+            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+            ids = batch.column(0).slice(a, b - a)
+            yield [pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids), one(np.diff(first), pa.int64()), one(sorted_[head].view(np.int64), pa.int64()), one(terms, pa.string()), one(np.append(head[1:], len(order)), pa.int64()), one(doc[order], pa.int32()), one(at[order], pa.int32())]
+
+    return K.map_arrow(docs.select(id_col, text_col), run, out)
+
+
+def segment(row: dict[str, pa.Array], own: Items) -> tuple[np.ndarray, Shard]:
+    """First word positions of a segment's documents (and the end), and its postings of the terms that the items ask for."""
+    values = lambda name: row[name].to_numpy(zero_copy_only=False)
+    base = np.concatenate([[0], np.cumsum(values("n_words") + GAP)]).astype(np.int64)
+    hashes, ends = values("hash").view(np.uint64), values("ends")
+    k = np.minimum(np.searchsorted(hashes, own.hashes), max(0, len(hashes) - 1))
+    asked = np.flatnonzero(hashes[k] == own.hashes) if len(hashes) else np.zeros(0, np.int64)
+    found = row["term"].take(pa.array(k[asked], pa.int64())).to_pylist()
+    same = [n for n, t in zip(asked.tolist(), found, strict=True) if t.encode() == own.terms[own.order[n]]]
+    # In the order of the vocabulary, so that the keys ascend.
+    same.sort(key=lambda n: own.order[n])
+    lo = [int(ends[k[n] - 1]) if k[n] else 0 for n in same]
+    hi = [int(ends[k[n]]) for n in same]
+    take = K.concat_rows(np.arange(x, y) for x, y in zip(lo, hi, strict=True))
+    terms = K.concat_rows(np.full(y - x, own.order[n]) for n, x, y in zip(same, lo, hi, strict=True))
+    return base, Shard(terms, base[values("doc")[take]] + values("at")[take], int(base[-1]) + GAP)
+
+
+def rows_of(batch: pa.RecordBatch):
+    for k in range(batch.num_rows):
+        yield {name: batch.column(i)[k].values for i, name in enumerate(batch.schema.names)}
+
+
+def document_hits(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_part_bytes: int = MAX_PART_BYTES) -> DataFrame:
+    """Per indexed document: id, n_words, items (ids of those with an occurring window, sorted), spans (merged runs of hit words)."""
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    out = K.schema(segment="bigint", place="int", id=kind, n_words="bigint", items="array<string>", spans="array<struct<start:bigint,end:bigint>>")
+    parts = parts_of(items, window, item_id, item_text, max_part_bytes)
+    found = None
+    for part in parts:
+
+        def run(batch: pa.RecordBatch, part=part):
             own: Items = part.value
-            number = {t.decode(): k for k, t in enumerate(own.terms)}
-            names = group["term"].to_pylist()
-            head = names.index("")
-            ids = group["ids"][head].as_py()
-            base = np.concatenate([[0], np.cumsum(np.array(group["at"][head].as_py(), np.int64) + GAP)]).astype(np.int64)
-            terms, positions = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k, t in enumerate(names):
-                if k != head:
-                    positions.append(base[np.array(group["doc"][k].as_py())] + np.array(group["at"][k].as_py()))
-                    terms.append(np.full(len(positions[-1]), number[t]))
-            terms, positions = np.concatenate(terms), np.concatenate(positions)
-            order = np.lexsort((positions, terms))
-            shard = Shard(terms[order], positions[order], int(base[-1]) + GAP)
-            result = [[], [], [], []]
-            for doc, items_of, start, n in hits(shard, base, own, slop):
-                for item in items_of:
-                    for column, value in zip(result, (ids[doc], own.ids[item], start, n), strict=True):
-                        column.append(value)
-            return pa.table([pa.array(c, group.schema.field("ids").type.value_type if k == 0 else pa.string() if k == 1 else pa.int64()) for k, c in enumerate(result)], names=out.fieldNames())
-
-        return read
+            for row in rows_of(batch):
+                base, shard = segment(row, own)
+                items_of, spans_of = [set() for _ in base[1:]], [[] for _ in base[1:]]
+                for d, its, s, n in hits(shard, base, own):
+                    items_of[d].update(own.ids[i] for i in its)
+                    spans_of[d].append((s, s + n))
+                name = int.from_bytes(hashlib.sha256(repr(row["ids"].to_pylist()).encode() + row["hash"].to_numpy().tobytes()).digest()[:8], "big", signed=True)
+                spans = [[{"start": x, "end": y} for x, y in merged(s)] for s in spans_of]
+                n = len(items_of)
+                yield [pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32()), row["ids"], row["n_words"], pa.array([sorted(x, key=str.encode) for x in items_of], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
+        one = K.map_arrow(index, run, out)
+        found = one if found is None else found.unionByName(one)
+    if len(parts) > 1:
+        runs = F.array_sort(F.flatten(F.collect_list("spans")))
+        join = lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(s["end"], F.element_at(acc, -1)["end"]).alias("end"))))).otherwise(F.array_append(acc, s))
+        # Rows that are alike in all of this are repeats of one document: each part tells of them as often.
+        again = found.groupBy("segment", "place", "id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("runs"), (F.count("*") / len(parts)).cast("int").alias("times"))
+        merged_runs = F.aggregate("runs", F.array().cast("array<struct<start:bigint,end:bigint>>"), lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(join(acc, s)))
+        found = again.withColumn("spans", merged_runs).withColumn("t", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("t", "times", "runs")
+    return found.drop("segment", "place")
+
+
+def matches(index: DataFrame, items: DataFrame, slop: int | None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_part_bytes: int = MAX_PART_BYTES) -> DataFrame:
+    """Matches (doc, item, start, n_words); slop None: exact phrases."""
+    kind = index.schema["ids"].dataType.elementType.simpleString()
+    out = K.schema(doc=kind, item="string", start="bigint", n_words="bigint")
     found = None
-    for table, part in zip(index, parts_of(items, window, item_id, item_text, max_part_bytes), strict=True):
-        out = K.schema(doc=table.schema["ids"].dataType.elementType.simpleString(), item="string", start="bigint", n_words="bigint")
-        one = table.groupBy("shard").applyInArrow(reader(part, out), out)
+    for part in parts_of(items, window, item_id, item_text, max_part_bytes):
+
+        def run(batch: pa.RecordBatch, part=part):
+            own: Items = part.value
+            for row in rows_of(batch):
+                base, shard = segment(row, own)
+                rows = [(d, own.ids[i], s, n) for d, items_of, s, n in hits(shard, base, own, slop) for i in items_of]
+                if rows:
+                    d, i, s, n = zip(*rows, strict=True)
+                    yield [row["ids"].take(pa.array(d)), pa.array(i, pa.string()), pa.array(s, pa.int64()), pa.array(n, pa.int64())]
+
+        one = K.map_arrow(index, run, out)
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def phrase_matches(index: DataFrame, items: DataFrame, **options) -> DataFrame:
+    return matches(index, items, None, **options)
+
+
+def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 2, **options) -> DataFrame:
+    return matches(index, items, slop, **options)
+
+
 def hits(shard: Shard, base: np.ndarray, own: Items, slop: int | None = None):
     """(document, items, start word, words) of each occurrence of a window in a shard."""
     for n, windows, items_of in own.windows:
@@ -236,42 +284,13 @@ def hits(shard: Shard, base: np.ndarray, own: Items, slop: int | None = None):
 # In flight ----------------------------------------------------------------------------------------------------
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None, max_part_bytes: int = MAX_PART_BYTES) -> DataFrame:
-    """Matches (doc, item, start, n_words) of exact phrases, or with a slop of proximity, without an exchange."""
-    out = K.schema(doc=docs.schema[id_col].dataType.simpleString(), item="string", start="bigint", n_words="bigint")
-    found = None
-    for part in parts_of(items, window, item_id, item_text, max_part_bytes):
-
-        def run(batch: pa.RecordBatch, part=part):
-            own: Items = part.value
-            for a, b, base, shard in shards(batch.column(1), own):
-                rows = [(d, own.ids[i], s, n) for d, items_of, s, n in hits(shard, base, own, slop) for i in items_of]
-                if rows:
-                    d, i, s, n = zip(*rows, strict=True)
-                    yield [batch.column(0).slice(a, b - a).take(pa.array(d)), pa.array(i, pa.string()), pa.array(s, pa.int64()), pa.array(n, pa.int64())]
-
-        one = K.map_arrow(docs.select(id_col, text_col), run, out)
-        found = one if found is None else found.unionByName(one)
-    return found
-
-
-def phrase_matches(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    return matches(docs, items, slop=None, **options)
-
-
-def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 2, **options) -> DataFrame:
-    return matches(docs, items, slop=slop, **options)
-
-
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_part_bytes: int = MAX_PART_BYTES, into: str = "contamination", drop_text: bool = False) -> DataFrame:
-    """`docs` with a struct column `into`: n_words, n_hit, items (array of ids, sorted), spans (hit runs as start and end). All other columns pass through, but for the text if it is to be dropped."""
+def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_part_bytes: int = MAX_PART_BYTES, into: str = "contamination") -> DataFrame:
+    """`docs` with a struct column `into`: n_words, n_hit, items (array of ids, sorted), spans (hit runs as start and end). All other columns pass through."""
     state = "struct<n_words:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
     docs = docs.withColumn(into, F.lit(None).cast(state))
-    parts = parts_of(items, window, item_id, item_text, max_part_bytes)
-    for part in parts:
-        out = docs.drop(text_col).schema if drop_text and part is parts[-1] else docs.schema
+    for part in parts_of(items, window, item_id, item_text, max_part_bytes):
 
-        def run(batch: pa.RecordBatch, part=part, names=tuple(out.fieldNames()[:-1])):
+        def run(batch: pa.RecordBatch, part=part):
             own: Items = part.value
             text, old = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.num_columns - 1)
             for a, b, base, shard in shards(text, own):
@@ -283,9 +302,9 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                     spans_of[d].append((s, s + n))
                 n_words = np.diff(base) - GAP
                 now = [{"n_words": int(n), "items": sorted(i, key=lambda x: x.encode()), "spans": [{"start": x, "end": y} for x, y in merged(s)]} for n, i, s in zip(n_words, items_of, spans_of, strict=True)]
-                yield [*(batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in names), pa.array(now, old.type)]
+                yield [*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(now, old.type)]
 
-        docs = K.map_arrow(docs, run, out)
+        docs = K.map_arrow(docs, run, docs.schema)
     return docs
 
 
@@ -299,8 +318,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per document: id, n_words, n_hit, n_items, items, spans, contaminated."""
-    rows = contamination(docs.select(id_col, text_col), items, text_col=text_col, into="found", drop_text=True, **options)
-    n_hit = F.aggregate("found.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return rows.select(id_col, F.col("found.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("found.items").cast("long").alias("n_items"), F.col("found.items").alias("items"), F.col("found.spans").alias("spans"), (n_hit > 0).alias("contaminated"))
+def decontaminate(docs: DataFrame, items: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per document: id, n_words, n_hit, n_items, items, spans, contaminated. The index is written to `path` (a new one in the shared folder) and read from there."""
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "positional-index")
+    build_index(docs, id_col, text_col).write.parquet(path)
+    rows = document_hits(spark.read.parquet(path), items, **options)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return rows.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (n_hit > 0).alias("contaminated"))

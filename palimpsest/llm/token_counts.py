@@ -55,11 +55,25 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         special = sorted((t["content"] for t in said.get("added_tokens", [])), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.odd = regex.compile(f"[{regex.escape(odd)}]") if odd else None
+        self.odd = frozenset(odd)
+        self.odd_in_latin = any(c < "\u0100" for c in odd)
         self.cache: dict[str, int] = {}
 
+    def is_odd(self, text: str) -> bool:
+        """Whether a character of the text is classed otherwise by the library. Texts of Latin-1 are told by their encoding alone."""
+        if not self.odd or (text.isascii() and not self.odd_in_latin):
+            return False
+        if not self.odd_in_latin:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return False
+        return not self.odd.isdisjoint(text)
+
     def cut(self, text: str) -> list[str]:
-        if self.odd and not text.isascii() and self.odd.search(text):
+        if self.is_odd(text):
             return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         return self.find(text)
 

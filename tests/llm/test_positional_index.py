@@ -47,24 +47,37 @@ def test_brute_force_in_one_and_many_parts(spark, sf):
     assert sum(k[2] > 0 for k in got) > 0
 
 
-def test_index_table_gives_the_same_phrases(spark, tmp_path):
+def test_index_table_gives_every_phrase(spark, tmp_path):
     docs, it = frame(spark), spark.createDataFrame(items(), "item_id long, text string")
-    index = P.build_index(docs, it)
-    for k, part in enumerate(index):
-        part.write.parquet(f"{tmp_path}/{k}")
-    stored = [spark.read.parquet(f"{tmp_path}/{k}") for k in range(len(index))]
-    a = Counter(map(tuple, P.stored_matches(stored, it).collect()))
-    b = Counter(map(tuple, P.phrase_matches(docs, it).collect()))
-    assert a == b and a
-    near = Counter(map(tuple, P.stored_matches(stored, it, slop=2).collect()))
-    assert near == Counter(map(tuple, P.proximity_matches(docs, it, slop=2).collect()))
+    P.build_index(docs).write.parquet(f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index")
+    got = Counter(map(tuple, P.phrase_matches(stored, it).collect()))
+    assert got == Counter(map(tuple, P.phrase_matches(P.build_index(docs), it).collect()))
+    want = set()
+    for i, t, *_ in documents():
+        w = toks(t)
+        for item, phrase in items():
+            x = toks(phrase)
+            n = min(10, len(x))
+            want |= {(i, "" if item is None else str(item), k, n) for k in range(len(w) - n + 1) for j in range(len(x) - n + 1) if n and w[k : k + n] == x[j : j + n]}
+    assert set(got) == want
+
+
+def test_contamination_in_flight_agrees(spark):
+    docs, it = frame(spark, clash=True), spark.createDataFrame(items(), "item_id long, text string")
+    for size in (P.MAX_PART_BYTES, 150):
+        rows = P.contamination(docs, it, into="__c", max_part_bytes=size)
+        assert rows.columns == [*docs.columns, "__c"]
+        got = Counter((r["doc_id"], r["__c"]["n_words"], sum(s["end"] - s["start"] for s in r["__c"]["spans"]), len(r["__c"]["items"]), tuple(r["__c"]["items"])) for r in rows.collect())
+        assert got == results(P.decontaminate(docs, it))
 
 
 def test_proximity(spark):
     docs = frame(spark, [(1, "red big fox ran", "en", "a", 1), (2, "red fox", "en", "a", 1), (3, "fox red", "en", "a", 1), (4, "red a b c fox", "en", "a", 1)])
     it = spark.createDataFrame([(1, "Red Fox")], "item_id long, text string")
-    assert {r["doc"] for r in P.phrase_matches(docs, it).collect()} == {2}
-    assert {(r["doc"], r["n_words"]) for r in P.proximity_matches(docs, it, slop=2).collect()} == {(1, 3), (2, 2)}
+    index = P.build_index(docs)
+    assert {r["doc"] for r in P.phrase_matches(index, it).collect()} == {2}
+    assert {(r["doc"], r["n_words"]) for r in P.proximity_matches(index, it, slop=2).collect()} == {(1, 3), (2, 2)}
 
 
 def test_empty_tables(spark):
