@@ -11,19 +11,7 @@ from .fixtures import SCHEMA, documents
 from .test_fair_mix import brute as mix_brute
 from .test_line_dedup import brute as shared_lines
 from .test_positional_index import brute as hits
-from .test_simhash_trie import classes
-
-
-def with_five(text):
-    """The fingerprint over five words, by brute force."""
-    import re
-
-    import xxhash
-
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    grams = [" ".join(w[k : k + 5]) for k in range(len(w) - 4)] or ([" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+from .test_simhash_similar import similar_classes
 
 
 @pytest.fixture(scope="module")
@@ -69,8 +57,7 @@ def test_each_stage_on_its_own_input(spark, world, tmp_path):
             assert not {5000, 5001, 5002, 5003} & {r[0] for r in new}
         elif name == "near_dedup":
             assert not after - before
-            prints = [with_five(r[1]) for r in state]
-            roots = classes(prints)
+            roots = similar_classes([r[1] for r in state])
             kept = [i for i, r in enumerate(state) if r in after]
             assert len(new) == len(set(roots)) and {roots[i] for i in kept} == set(roots)
             for root in set(roots):
