@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from palimpsest.plans import facts, graphs, streams, texts  # noqa: F401
+from palimpsest.plans import facts, graphs, loops, streams, texts  # noqa: F401
 from palimpsest.plans.registry import ORACLES, QUERIES  # noqa: F401
