@@ -4,8 +4,8 @@ Documents are in the order of their ids (equal ids: of their texts' hashes). Eac
 pairs each later holder with the first one, so a line in k documents makes k - 1 pairs, however frequent it is, and no document
 travels: a pair is the list of places of its shared lines in both. For each later document its pairs are aligned, those of
 the rarest shared lines first, with patience diff: lines that occur once in both documents and in the same order are anchors, and runs
-of common lines grow from them. Aligned blocks of at least `min_words` words are deleted from the later document; what was moved is aligned again in
-another round, until nothing is left. If at least `copied_share` of a document's words go, it is a copy, and shorter blocks go too.
+of common lines grow from them. Aligned blocks of at least `min_words` words are deleted from the later document; then all runs of so many words that
+stand in both, but that the alignment did not choose (moved, crossed by another line, repeated), so that none is left. If at least `copied_share` of a document's words go, it is a copy, and shorter blocks go too.
 
 Lines are told apart by 128-bit hashes, without white space at their ends. A line is what stands between line feeds.
 
@@ -17,7 +17,7 @@ come last in the order; an empty table gives no rows; other columns pass through
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pyarrow as pa
 import xxhash
@@ -133,6 +133,34 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def runs(words: dict[int, int], least: int) -> set[tuple[int, int]]:
+    """The shortest runs [a, b) of consecutive places with at least so many words, from each place on and up to each place: they cover every longer run.
+
+    Which of them a text has depends on the run alone, so equal texts have equal ones."""
+    out = set()
+    for step in (1, -1):
+        run: deque[int] = deque()
+        total = 0
+        for x in sorted(words)[::step]:
+            if run and run[-1] + step != x:
+                run.clear()
+                total = 0
+            run.append(x)
+            total += words[x]
+            while total - words[run[0]] >= least:
+                total -= words[run.popleft()]
+            if total >= least:
+                out.add((min(run[0], x), max(run[0], x) + 1))
+    return out
+
+
+def common_runs(common: list[tuple[list[int], list[int]]], words: list[int], least: int) -> set[int]:
+    """Places of the later document in runs of at least so many words that the earlier one has too, wherever they stand."""
+    later, earlier = ({x: n for n, c in enumerate(common) for x in c[side]} for side in (0, 1))
+    found = {tuple(earlier[y] for y in range(a, b)) for a, b in runs({y: words[n] for y, n in earlier.items()}, least)}
+    return {x for a, b in runs({x: words[n] for x, n in later.items()}, least) if tuple(later[x] for x in range(a, b)) in found for x in range(a, b)}
+
+
 def deletions(shared: list[dict], all_words: int, min_words: int = MIN_WORDS, copied_share: float = COPIED_SHARE) -> list[int]:
     """Places of the lines to delete. `shared`: at, first_at, n_words, n_docs, and first (which earlier document) of each shared line."""
     words = {x: s["n_words"] for s in shared for x in s["at"]}
@@ -143,12 +171,9 @@ def deletions(shared: list[dict], all_words: int, min_words: int = MIN_WORDS, co
 
     def sweep(least: int) -> None:
         for lines in sorted(by_first.values(), key=lambda x: min(s["n_docs"] for s in x)):
-            while True:
-                left = [([x for x in s["at"] if x not in gone], s["first_at"]) for s in lines]
-                new = [x for block in blocks(align([c for c in left if c[0]])) if sum(words[x] for x in block) >= least for x in block]
-                if not new:
-                    break
-                gone.update(new)
+            common = [(s["at"], s["first_at"]) for s in lines]
+            gone.update(x for block in blocks(align(common)) if sum(words[x] for x in block) >= least for x in block)
+            gone.update(common_runs(common, [s["n_words"] for s in lines], least))
 
     sweep(min_words)
     if all_words and sum(words[x] for x in gone) >= copied_share * all_words:

@@ -82,3 +82,22 @@ def test_edges(spark):
     assert got.count() == len(documents())
     assert Counter(got.columns) == Counter([*docs.columns, "n_lines", "n_deleted_lines", "n_deleted_words"])
     assert D.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def gone(later, first):
+    """What goes of one later document beside one earlier."""
+    at = lambda lines, line: [k for k, x in enumerate(lines) if x == line]
+    shared = [{"at": at(later, x), "first_at": at(first, x), "n_words": len(x.split()), "n_docs": 2, "first": 0} for x in sorted({*later} & {*first})]
+    return D.deletions(shared, sum(len(x.split()) for x in later))
+
+
+def test_a_short_line_that_crosses_a_long_one():
+    own = [f"own text {k} of which this document has a lot more" for k in range(9)]
+    assert gone([P[0], "Home", *own], ["Home", P[0]]) == [0]
+    assert gone(["All rights reserved.", "Home", P[0], *own], [P[0], "All rights reserved.", "Home"]) == [2]
+
+
+def test_a_repeated_long_line():
+    own = [f"own text {k} of which this document has a lot more" for k in range(9)]
+    assert gone(["Home", P[0], *own, P[0]], [P[0], "x", "Home"]) == [1, 11]
+    assert gone(["Home", P[0], *own], [P[0], "x", P[0], "y", "Home"]) == [1]
