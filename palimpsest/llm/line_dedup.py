@@ -2,7 +2,9 @@
 
 Documents are in the order of their ids (equal ids: of their texts' hashes). Each line that several documents share
 pairs each later holder with the first one, so a line in k documents makes k - 1 pairs, however frequent it is, and no document
-travels: a pair is the list of places of its shared lines in both. For each later document its pairs are aligned, those of
+travels: a pair is the list of places of its shared lines in both. Lines shorter than `min_words` may have been seen first in many
+documents, so the shortest runs of consecutive lines that reach `min_words` words are shared in the same way, each with its own first holder, and bring
+their lines into that pair: what any earlier document has in a run of so many words is found, whoever had its lines first. For each later document its pairs are aligned, those of
 the rarest shared lines first, with patience diff: lines that occur once in both documents and in the same order are anchors, and runs
 of common lines grow from them. Aligned blocks of at least `min_words` words are deleted from the later document; then all runs of so many words that
 stand in both, but that the alignment did not choose (moved, crossed by another line, repeated), so that none is left. If at least `copied_share` of a document's words go, it is a copy, and shorter blocks go too.
@@ -33,45 +35,54 @@ COPIED_SHARE = 0.5
 _SPACE = b" \t\n\x0b\x0c\r"
 
 
-def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document and distinct line: __id, __hash (the document), line, at (its places), n_words; and n_words_of_text."""
-    out = K.schema(__id=docs.schema[id_col].dataType.simpleString(), __hash="bigint", line="binary", at="array<int>", n_words="int", all_words="bigint")
+def line_rows(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per document and distinct line, or run of n_lines lines that is a shortest one of `min_words` words: __id, __hash (the document), line, n_lines, at (its places), n_words; and n_words_of_text."""
+    out = K.schema(__id=docs.schema[id_col].dataType.simpleString(), __hash="bigint", line="binary", n_lines="int", at="array<int>", n_words="int", all_words="bigint")
     rows = docs.select(F.col(id_col), F.xxhash64(text_col), F.col(text_col))
 
     def run(batch: pa.RecordBatch):
-        source, lines, places, bounds, words, all_words = [], [], [], [0], [], []
+        source, lines, n_lines, places, bounds, words, all_words = [], [], [], [], [0], [], []
         for row, text in enumerate(batch.column(2).cast(pa.binary())):
             if not (text := text.as_py()):
                 continue
             found: dict[bytes, list[int]] = {}
-            size: dict[bytes, int] = {}
+            size: dict[bytes, tuple[int, int]] = {}
+            line_of: dict[int, bytes] = {}
             total = 0
             for k, line in enumerate(text.split(b"\n")):
                 n = len(line.split())
                 if n:
                     key = xxhash.xxh3_128_digest(line.strip(_SPACE))
                     found.setdefault(key, []).append(k)
-                    size[key] = n
+                    size[key] = 1, n
+                    line_of[k] = key
                     total += n
+            short = {k: size[key][1] for k, key in line_of.items() if size[key][1] < min_words}
+            for a, b in sorted(runs({k: size[line_of[k]][1] for x in short for k in (x - 1, x, x + 1) if k in line_of}, min_words)) if short else ():
+                if b - a > 1:
+                    key = xxhash.xxh3_128_digest(b"".join(line_of[k] for k in range(a, b)))
+                    found.setdefault(key, []).append(a)
+                    size[key] = b - a, sum(size[line_of[k]][1] for k in range(a, b))
             for key, at in found.items():
                 source.append(row)
                 lines.append(key)
                 places += at
                 bounds.append(len(places))
-                words.append(size[key])
+                n_lines.append(size[key][0])
+                words.append(size[key][1])
                 all_words.append(total)
             if len(lines) > 50_000:
-                yield _columns(batch, source, lines, places, bounds, words, all_words)
-                source, lines, places, bounds, words, all_words = [], [], [], [0], [], []
+                yield _columns(batch, source, lines, n_lines, places, bounds, words, all_words)
+                source, lines, n_lines, places, bounds, words, all_words = [], [], [], [], [0], [], []
         if lines:
-            yield _columns(batch, source, lines, places, bounds, words, all_words)
+            yield _columns(batch, source, lines, n_lines, places, bounds, words, all_words)
 
     return K.map_arrow(rows, run, out)
 
 
-def _columns(batch, source, lines, places, bounds, words, all_words) -> list[pa.Array]:
+def _columns(batch, source, lines, n_lines, places, bounds, words, all_words) -> list[pa.Array]:
     take = pa.array(source, pa.int64())
-    return [batch.column(0).take(take), batch.column(1).take(take), pa.array(lines, pa.binary()), K.lists(places, bounds, pa.int32()), pa.array(words, pa.int32()), pa.array(all_words, pa.int64())]
+    return [batch.column(0).take(take), batch.column(1).take(take), pa.array(lines, pa.binary()), pa.array(n_lines, pa.int32()), K.lists(places, bounds, pa.int32()), pa.array(words, pa.int32()), pa.array(all_words, pa.int64())]
 
 
 # One later document ------------------------------------------------------------------------------------------------
@@ -162,18 +173,24 @@ def common_runs(common: list[tuple[list[int], list[int]]], words: list[int], lea
 
 
 def deletions(shared: list[dict], all_words: int, min_words: int = MIN_WORDS, copied_share: float = COPIED_SHARE) -> list[int]:
-    """Places of the lines to delete. `shared`: at, first_at, n_words, n_docs, and first (which earlier document) of each shared line."""
-    words = {x: s["n_words"] for s in shared for x in s["at"]}
-    by_first: dict = defaultdict(list)
+    """Places of the lines to delete. `shared`: at, first_at, n_words, n_docs, and first (which earlier document) of each shared line, and of each shared run of n_lines lines."""
+    single = [s for s in shared if s.get("n_lines", 1) == 1]
+    words = {x: s["n_words"] for s in single for x in s["at"]}
+    line_at = {x: n for n, s in enumerate(single) for x in s["at"]}
+    # By earlier document and line: the places in it.
+    by_first: dict = defaultdict(lambda: defaultdict(set))
+    rarest: dict = {}
     for s in shared:
-        by_first[s["first"]].append(s)
+        rarest[s["first"]] = min(s["n_docs"], rarest.get(s["first"], s["n_docs"]))
+        for k in range(s.get("n_lines", 1)):
+            by_first[s["first"]][line_at[s["at"][0] + k]].update(y + k for y in s["first_at"])
     gone: set[int] = set()
 
     def sweep(least: int) -> None:
-        for lines in sorted(by_first.values(), key=lambda x: min(s["n_docs"] for s in x)):
-            common = [(s["at"], s["first_at"]) for s in lines]
+        for first in sorted(by_first, key=lambda f: (rarest[f], f)):
+            common = [(single[n]["at"], sorted(places)) for n, places in by_first[first].items()]
             gone.update(x for block in blocks(align(common)) if sum(words[x] for x in block) >= least for x in block)
-            gone.update(common_runs(common, [s["n_words"] for s in lines], least))
+            gone.update(common_runs(common, [single[n]["n_words"] for n in by_first[first]], least))
 
     sweep(min_words)
     if all_words and sum(words[x] for x in gone) >= copied_share * all_words:
@@ -183,7 +200,7 @@ def deletions(shared: list[dict], all_words: int, min_words: int = MIN_WORDS, co
 
 def plan_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, copied_share: float = COPIED_SHARE) -> DataFrame:
     """__id, __hash, gone (places of lines), n_gone_words, all_words: one row per document that loses lines."""
-    rows = line_rows(docs, id_col, text_col)
+    rows = line_rows(docs, id_col, text_col, min_words)
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))
     # Rows of one document in several rows are one holder.
     rows = rows.withColumn("holder", order)
@@ -192,7 +209,7 @@ def plan_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = cut(firsts.where("first.holder <> last").select(F.col("line").alias("shared_line"), F.col("first.holder").alias("first"), F.col("first.at").alias("first_at"), "n_docs"))
     pairs = rows.join(firsts, F.col("line") == F.col("shared_line")).where("holder <> first")
     # The earlier document is told by a hash: two that collide would only be aligned as one.
-    item = F.struct("at", "first_at", "n_words", "n_docs", F.xxhash64("first.id", "first.hash").alias("first"), "line")
+    item = F.struct("at", "first_at", "n_lines", "n_words", "n_docs", F.xxhash64("first.id", "first.hash").alias("first"), "line")
     lists = pairs.groupBy("__id", "__hash", "all_words").agg(F.collect_set(item).alias("shared"))
     out = K.schema(__id=docs.schema[id_col].dataType.simpleString(), __hash="bigint", gone="array<int>", n_gone_words="bigint", all_words="bigint")
 
@@ -201,7 +218,7 @@ def plan_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for shared, total in zip(batch.column(3), batch.column(2).to_pylist(), strict=True):
             shared = shared.as_py()
             at = deletions(sorted(shared, key=lambda s: (s["first"], s["at"])), total, min_words, copied_share)
-            size = {x: s["n_words"] for s in shared for x in s["at"]}
+            size = {x: s["n_words"] for s in shared if s["n_lines"] == 1 for x in s["at"]}
             gone.append(at)
             n_words.append(sum(size[x] for x in at))
         yield [batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(n_words, pa.int64()), batch.column(2)]

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from palimpsest.llm import line_dedup as D
@@ -101,3 +102,42 @@ def test_a_repeated_long_line():
     own = [f"own text {k} of which this document has a lot more" for k in range(9)]
     assert gone(["Home", P[0], *own, P[0]], [P[0], "x", "Home"]) == [1, 11]
     assert gone(["Home", P[0], *own], [P[0], "x", P[0], "y", "Home"]) == [1]
+
+
+def test_a_block_of_short_lines_with_scattered_first_holders(spark):
+    items = [f"item {k}" for k in range(30)]
+    own = [f"own text {{}} {k} of which each document has a lot more than of lists" for k in range(20)]
+    docs = [(k + 1, "\n".join([f"a document {k} with one line of the list", *items[k::7]]), "en", "a", 1) for k in range(7)]
+    docs += [(k, "\n".join([*items, *(x.format(k) for x in own)]), "en", "a", 1) for k in (8, 9)]
+    got = {r["doc_id"]: r["n_deleted_lines"] for r in D.dedup_lines(frame(spark, docs)).collect()}
+    assert got == dict.fromkeys(range(1, 9), 0) | {9: 30}
+
+
+def test_what_any_earlier_document_has_in_a_run_of_five_words(spark):
+    rng = random.Random(5)
+    lines = ["a", "b", "c c", "d d", "e e e", "f f f f", "g g g g g", ""]
+    texts = [[rng.choice(lines) if rng.random() < 0.7 else f"own line {k} {n} is not shared" for n in range(rng.randrange(5, 40))] for k in range(80)]
+
+    def run_at(text, x, other):
+        """Words of the longest run through a place that the other text has too."""
+        best = 0
+        for y, line in enumerate(other):
+            if line == text[x] and line:
+                a = b = 0
+                while x - a > 0 and y - a > 0 and text[x - a - 1] == other[y - a - 1] != "":
+                    a += 1
+                while x + b + 1 < len(text) and y + b + 1 < len(other) and text[x + b + 1] == other[y + b + 1] != "":
+                    b += 1
+                best = max(best, sum(len(t.split()) for t in text[x - a : x + b + 1]))
+        return best
+
+    want = {}
+    for k, text in enumerate(texts):
+        most = [max((run_at(text, x, other) for other in texts[:k]), default=0) for x in range(len(text))]
+        words = [len(t.split()) for t in text]
+        copied = sum(w for w, m in zip(words, most, strict=True) if m >= 5) >= 0.5 * sum(words)
+        if at := [x for x, m in enumerate(most) if m >= 5 or (m and copied)]:
+            want[k] = at
+    docs = [(k, "\n".join(text), "en", "a", 1) for k, text in enumerate(texts)]
+    got = {r["__id"]: r["gone"] for r in D.plan_deletions(frame(spark, docs)).collect()}
+    assert got == want
