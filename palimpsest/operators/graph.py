@@ -101,17 +101,21 @@ def unordered(a: str = "src", b: str = "dst") -> list[Column]:
     return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
 
 
-def cooccurrence(members: DataFrame, group: str = "group", node: str = "node", at_most: int = 64) -> DataFrame:
-    """lo, hi, n: in how many groups two nodes are together. Groups above `at_most` members say little about any pair and are kept as a
-    star around their least node, so that no group makes more pairs than members times `at_most`."""
+def cooccurrence(members: DataFrame, group: str = "group", node: str = "node", at_most: int | None = None, block: int = 1024) -> DataFrame:
+    """lo, hi, n: in how many groups two nodes are together. All pairs of all groups; members of a group above `block` are dealt over blocks
+    that meet in pairs, so no task has a group. Only if `at_most` is given, groups above it are kept as a star around their least node instead."""
     sized = members.select(group, node).distinct()
     sizes = sized.groupBy(group).agg(F.count("*").alias("__n"), F.min(node).alias("__hub"))
     rows = sized.join(sizes, group)
-    small = rows.where(F.col("__n") <= at_most)
-    a, b = small.select(F.col(group).alias("g"), F.col(node).alias("lo")), small.select(F.col(group).alias("g2"), F.col(node).alias("hi"))
-    pairs = a.join(b, (F.col("g") == F.col("g2")) & (F.col("lo") < F.col("hi"))).select("lo", "hi")
-    stars = rows.where((F.col("__n") > at_most) & (F.col(node) != F.col("__hub"))).select(F.col("__hub").alias("lo"), F.col(node).alias("hi"))
-    return pairs.union(stars).groupBy("lo", "hi").agg(F.count("*").alias("n"))
+    small = rows if at_most is None else rows.where(F.col("__n") <= at_most)
+    blocks = F.ceil(F.col("__n") / block).cast("int")
+    dealt = small.select(F.col(group).alias("g"), F.col(node).alias("lo"), F.pmod(F.xxhash64(node), blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    other = dealt.select(F.col("g").alias("g2"), F.col("lo").alias("hi"), F.col("j").alias("i2"), F.col("i").alias("j2"))
+    pairs = dealt.join(other, (F.col("g") == F.col("g2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("lo") < F.col("hi"))).select("lo", "hi")
+    if at_most is not None:
+        stars = rows.where((F.col("__n") > at_most) & (F.col(node) != F.col("__hub"))).select(F.col("__hub").alias("lo"), F.col(node).alias("hi"))
+        pairs = pairs.union(stars)
+    return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

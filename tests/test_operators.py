@@ -107,6 +107,22 @@ def test_cooccurrence_stars(spark):
     assert rows(G.cooccurrence(m, at_most=3), "lo", "hi", "n") == [(0, 1, 2), (0, 2, 1), (0, 3, 1), (0, 4, 1)]
 
 
+def test_cooccurrence_of_large_groups(spark, tmp_path):
+    import duckdb
+
+    from palimpsest.plans import ORACLES, QUERIES
+
+    lines = [(1, k) for k in range(150)] + [(2, k) for k in range(0, 300, 3)] + [(3, 5), (3, 6), (3, 6), (4, 7), (None, 8), (None, 9)]
+    m = spark.createDataFrame(lines, "l_orderkey long, l_partkey long")
+    m.write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLES["densify_cooccurrence"]).fetchall())
+    assert len(want) == 14_900
+    assert sorted(tuple(r) for r in QUERIES["densify_cooccurrence"](spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in G.cooccurrence(m, "l_orderkey", "l_partkey", block=16).collect()) == want
+
+
 def test_context_lines(spark, cycle):
     nodes = spark.createDataFrame([(k, f"n{k}") for k in range(9)], "id int, name string")
     line = {r["node"]: r["line"] for r in G.context_lines(nodes, cycle, 2).collect()}
