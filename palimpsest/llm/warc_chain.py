@@ -10,7 +10,8 @@ split finds the rest. What isn't reached is payload.
 
 Defined results: null payloads are empty; null urls have no Target-URI header; null ids are written empty and read as null;
 rows with the smallest id of their payload are all responses if that id is repeated; an empty table gives no archive and
-no rows; other columns aren't read. Line ends in a url are percent-encoded, as is a magic.
+no rows; other columns aren't read. Line ends in a url are percent-encoded, as is a magic. Headers are read to their blank line, however
+long they are; an archive whose chain reaches what isn't a record before the end of the file is an error.
 """
 
 from __future__ import annotations
@@ -34,7 +35,6 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The WARC standard's name for revisits by equal payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-MAX_HEADER = 1 << 16
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -102,18 +102,19 @@ class _Open:
     """A candidate whose record isn't complete yet."""
 
     def __init__(self, row: dict, want: int, keep: bool):
-        self.row, self.want, self.sha, self.head, self.http, self.n, self.keep, self.body = row, want, hashlib.sha1(), b"", row["http"], 0, keep, []
+        self.row, self.want, self.sha, self.head, self.http, self.n, self.keep, self.body = row, want, hashlib.sha1(), bytearray(), row["http"], 0, keep, []
 
     def feed(self, data: bytes) -> bool:
         """Whether the block is complete."""
         data = data[: self.want]
         self.want -= len(data)
         if self.http:
+            seen = max(0, len(self.head) - 3)
             self.head += data
-            at = self.head.find(b"\r\n\r\n")
-            if at < 0 and self.want and len(self.head) < MAX_HEADER:
+            at = self.head.find(END.encode(), seen)
+            if at < 0 and self.want:
                 return False
-            data, self.head, self.http = (self.head[at + 4 :] if at >= 0 else self.head), b"", False
+            data, self.head, self.http = bytes(self.head[at + 4 :] if at >= 0 else self.head), bytearray(), False
         self.sha.update(data)
         self.n += len(data)
         if self.keep:
@@ -128,8 +129,7 @@ class _Open:
 
 def _header(text: bytes) -> tuple[int, dict[str, str]] | None:
     """Length up to the block, and the fields, of what follows the magic; None if it isn't the header of a record."""
-    end = text.find(b"\r\n\r\n", 0, MAX_HEADER)
-    if end < 0 or not re.match(rb"\d\r\n", text):
+    if not re.match(rb"\d\r\n", text) or (end := text.find(END.encode())) < 0:
         return None
     fields = {}
     for part in text[:end].split(b"\r\n")[1:]:
@@ -146,7 +146,7 @@ class _Split:
         self.file, self.block, self.keep = file, block, keep
         self.rows: list[dict] = []
         self.open: list[_Open] = []
-        self.pending: tuple[dict, bytes] | None = None
+        self.pending: tuple[dict, bytearray] | None = None  # a header whose blank line is in a later piece
         self.at = 0
 
     def add(self, piece: bytes) -> None:
@@ -155,9 +155,13 @@ class _Split:
         self.open = [o for o in self.open if not (o.feed(full) and (o.close() or True))]
         if self.pending:
             before, text = self.pending
-            self.pending = (before, text + full) if not self._start(before, text + full) and len(text) < MAX_HEADER else None
+            seen = max(0, len(text) - 3)
+            text += full
+            if text.find(END.encode(), seen) >= 0:
+                self._start(before, bytes(text))
+                self.pending = None
         if (self.at or self.block) and not self._start(row, piece) and re.match(rb"\d\r\n", piece) and b"\r\n\r\n" not in piece and not self.pending:
-            self.pending = (row, piece)
+            self.pending = (row, bytearray(piece))
         self.at += row["size"]
         self.rows.append(row)
 
@@ -235,8 +239,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     payload_* are computed from the bytes in the archive, stated_* are its headers."""
     rows = cut(scan(spark, path, payload))
     order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("file", "block").agg(F.sum("size").alias("bytes")).withColumn("base", F.coalesce(F.sum("bytes").over(order), F.lit(0))).drop("bytes")
-    rows = rows.join(bases, ["file", "block"]).withColumn("offset", F.col("base") + F.col("rel"))
+    bases = rows.groupBy("file", "block").agg(F.sum("size").alias("bytes")).withColumn("base", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+    rows = rows.join(bases.drop("bytes"), ["file", "block"]).withColumn("offset", F.col("base") + F.col("rel"))
     candidates = cut(rows.where("candidate").withColumn("exit", F.col("base") + F.col("exit")))
     entries = reached(candidates.select("file", "offset", "exit"))
     marked = candidates.join(entries.withColumnRenamed("at", "offset").withColumn("entry", F.lit(True)), ["file", "offset"], "left")
@@ -249,10 +253,16 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
             keep.append(bool(entry) or at in live)
             if keep[-1]:
                 live.add(at + n)
-        return group.filter(pa.array(keep)).select(["file", "offset"])
-
-    alive = marked.select("file", "block", "offset", "length", "entry").groupBy("file", "block").applyInArrow(walk, "file string, offset bigint")
-    records = candidates.join(alive, ["file", "offset"])
+        return group.filter(pa.array(keep)).select(["file", "offset", "length"])
+
+    alive = cut(marked.select("file", "block", "offset", "length", "entry").groupBy("file", "block").applyInArrow(walk, "file string, offset bigint, length bigint"))
+    records = candidates.join(alive.drop("length"), ["file", "offset"])
+    # A file must begin with a record, and each be followed by a record or the end.
+    after = alive.select("file", (F.col("offset") + F.col("length")).alias("at")).union(bases.select("file", F.lit(0).cast("long")).distinct())
+    ends = bases.groupBy("file").agg((F.max(F.col("base") + F.col("bytes")) - len(MAGIC)).alias("file_end"))
+    lost = after.join(alive.select("file", F.col("offset").alias("at")), ["file", "at"], "left_anti").join(ends, "file").where("at < file_end").select("file", "at").head(1)
+    if lost:
+        raise ValueError(f"no record at offset {lost[0]['at']} of {lost[0]['file']}")
     records = _complete(records, path, payload)
     return records.drop("block", "rel", "size", "candidate", "exit", "base", "whole")
 

@@ -81,3 +81,28 @@ def test_supplied_pages_and_empty_table(spark, sf):
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     assert {r["page_id"]: r["record_type"] for r in W.round_trip(pages, min_bytes=3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+@pytest.mark.parametrize("split", ["128m", "4k"])
+def test_a_long_url_and_what_follows(spark, tmp_path, split):
+    pages = [(1, "http://a/1", "one"), (2, "http://a/" + "x" * 100_000, "two"), (3, "http://a/" + "WARC/1.0\r\n" * 20_000, "three"), (4, "http://a/4", "four")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = W.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+        assert results(got) == brute(pages)
+        assert {r["page_id"]: r["url"] for r in got.collect()}[2] == pages[1][1]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_broken_chain_is_an_error(spark, tmp_path):
+    W.write_warc(spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")
+    (file,) = glob.glob(f"{tmp_path}/w/part-*")
+    data = open(file, "rb").read()
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken/a.warc").write_bytes(data.replace(b"<urn:x-page:8>\r\nWARC-Date", b"<urn:x-page:8> longer\r\nWARC-Date").replace(b"Content-Length: 20", b"Content-Length: 10"))
+    with pytest.raises(ValueError, match="no record at offset"):
+        W.read_warc(spark, f"{tmp_path}/broken")
