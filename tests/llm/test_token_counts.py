@@ -36,3 +36,19 @@ def test_every_character_is_cut_as_the_library_does(library):
 
 def test_empty_table(spark):
     assert C.token_counts(frame(spark, []), tokenizer_file()).count() == 0
+
+
+def test_long_texts_in_pieces_and_small_caches(spark, library, monkeypatch):
+    monkeypatch.setattr(C, "PIECE_CHARS", 50)
+    own = C.Encoder(tokenizer_file())
+    texts = [r[1] for r in documents() if r[1]] + ["x" * 500 + " y" * 300, "日本語 " * 100, "a<|endoftext|>b c " * 40, "don't  stop\n\n now 12 34  " * 30, "tab\ta b c d " * 40]
+    for text in texts:
+        parts = list(own.pieces(text))
+        assert "".join(parts) == text
+        words = [w for part in parts for w in own.pre_tokens(part)[0]]
+        assert words == own.pre_tokens(text)[0]
+        for entries in (1, 7, 1000):
+            known = own.remembered(set(words), entries)
+            total = sum(known[w] for w in words) + own.pre_tokens(text)[1]
+            assert total == len(library.encode(text, add_special_tokens=False).ids)
+    assert all(len(w) <= C.LONGEST for w in own.young) and own.old
