@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 2 << 20
+PIECE_BYTES = 4 << 20
 BATCH_BYTES = "16m"
 
 #: Bytes of `[^\x20\x09-\x0D]+`.
@@ -40,6 +41,18 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """Column names like these that none of `columns` has, so that what a user's table brings along is never overwritten."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def schema(**fields: str) -> T.StructType:
     """Nullable columns, in order."""
     return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])
@@ -98,7 +111,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, by differences of one running polynomial sum."""
+    """A 64-bit hash of each span, by differences of a running polynomial sum. Spans ascend and don't overlap.
+
+    Long data are taken in pieces, so that what stands beside them keeps its size; a span over a border is the sum of its parts."""
+    if len(data) <= PIECE_BYTES:
+        return mix(_raw_hashes(data, starts, ends))
+    out = np.zeros(len(starts), np.uint64)
+    for x in range(0, len(data), PIECE_BYTES):
+        y = min(x + PIECE_BYTES, len(data))
+        a, b = int(np.searchsorted(ends, x, "right")), int(np.searchsorted(starts, y))
+        part = _raw_hashes(data[x:y], np.maximum(starts[a:b], x) - x, np.minimum(ends[a:b], y) - x)
+        if a < b and starts[a] < x:
+            part[0] *= np.uint64(pow(int(_P), int(x - starts[a]), 1 << 64))
+        out[a:b] += part
+    return mix(out)
+
+
+def _raw_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     if len(_powers[0]) < n + 1:
         for i, base in enumerate((_P, _P_INVERSE)):
@@ -106,13 +135,23 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             grown[0] = 1
             np.multiply.accumulate(grown, out=grown)
             _powers[i] = grown
-    up, down = _powers[0][:n], _powers[1]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
-    if n > 4 * BLOCK_BYTES:
-        _powers[:] = [p[: 4 * BLOCK_BYTES].copy() for p in _powers]
-        down = down.copy()
-    return mix((total[ends] - total[starts]) * down[starts])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][:n], out=total[1:])
+    return (total[ends] - total[starts]) * _powers[1][starts]
+
+
+def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of n words of each text, from the hashes of its words (of all words if it has fewer), and where each text's begin and end."""
+    counts = np.diff(first)
+    made = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    bounds = np.concatenate([[0], np.cumsum(made)]).astype(np.int64)
+    at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], made)
+    width = np.repeat(np.minimum(counts, n), made)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        inside = np.flatnonzero(width > j)
+        out[inside] = mix(out[inside] * _M2 + hashes[at[inside] + j])
+    return out, bounds
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

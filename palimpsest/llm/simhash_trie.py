@@ -8,7 +8,7 @@ themselves and with each other, a pair of nodes gives four pairs of children, th
 the way, and a pair beyond the error budget is pruned with all below it. A node is a range of the sorted fingerprints,
 so all groups of a task are traversed at once.
 
-A group above `split_above` fingerprints is cut further, by pairs of its nodes 4 levels down that are within the budget.
+A group above `split_above` fingerprints is cut further, by pairs of its nodes 4 levels down that are within the budget, and so on until each fits.
 A task emits no pairs, but for each fingerprint the least one it is linked to in its group: at most one link for each
 fingerprint and trie. Components of these links come from alternating large-star and small-star rounds.
 
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
@@ -38,19 +38,22 @@ BUDGET = 3
 SPLIT_ABOVE = 200_000
 SUB_BITS = 4
 CHUNK = 1 << 20
+SHINGLES = 1 << 16
 
 
-def shingle_hashes(words: list[bytes], n: int, seed: int) -> list[int]:
-    """XXH64 of each run of n words, joined by spaces; of the whole if there are fewer; nothing of nothing."""
-    if not words:
-        return []
-    line = b" ".join(words)
-    if len(words) <= n:
-        return [xxhash.xxh64_intdigest(line, seed)]
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = [0, *ends[: len(words) - n].tolist()]
+def shingle_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, n: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of each run of n words of raw, joined by spaces, in arrays of at most SHINGLES; of the whole if there are fewer words; nothing of nothing."""
     digest = xxhash.xxh64_intdigest
-    return [digest(line[a:b], seed) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
+    if 0 < len(starts) <= n:
+        yield np.array([digest(b" ".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), seed)], np.uint64)
+        return
+    for k in range(0, len(starts) - n + 1, SHINGLES):
+        own = slice(k, k + SHINGLES + n - 1)
+        sizes = ends[own] - starts[own] + 1
+        line = b" ".join([raw[s:e] for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+        stops = np.cumsum(sizes)
+        heads = (stops - sizes)[: len(sizes) - n + 1].tolist()
+        yield np.array([digest(line[x:y], seed) for x, y in zip(heads, (stops[n - 1 :] - 1).tolist(), strict=True)], np.uint64)
 
 
 _LANES = np.uint64(0x0101010101010101)
@@ -90,13 +93,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             data = K.LOWER[data]
             starts, ends, first = K.spans(data, offsets, K.PLAIN)
             raw = data.tobytes()
-            starts, ends = starts.tolist(), ends.tolist()
-            hashes: list[int] = []
+            hashes: list[np.ndarray] = []
             bounds = [0]
-            for i in range(b - a):
-                hashes += shingle_hashes([raw[s:e] for s, e in zip(starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]], strict=True)], words_of_shingle, seed)
-                bounds.append(len(hashes))
-            made = majority_bits(np.array(hashes, np.uint64), np.array(bounds))
+            for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                mine = list(shingle_hashes(raw, starts[x:y], ends[x:y], words_of_shingle, seed))
+                hashes += mine
+                bounds.append(bounds[-1] + sum(map(len, mine)))
+            made = majority_bits(K.concat_rows(hashes, np.uint64), np.array(bounds))
             yield [batch.column(0).slice(a, b - a), pa.array(made.view(np.int64), pa.int64()), *(batch.column(2 + k).slice(a, b - a) for k in range(len(rest)))]
 
     return K.map_arrow(docs.select(id_col, text_col, *rest), run, out)
@@ -170,28 +173,26 @@ def stars(keys: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> n
 
 
 def _links_in(rows: list[pa.RecordBatch], budget: int) -> pa.RecordBatch | None:
-    """Links (fingerprint, least linked one) in whole groups: columns block, a, b, fp; a < 0: the group isn't cut further."""
-    block, a, b, fp = (np.concatenate([r.column(k).to_numpy(zero_copy_only=False) for r in rows]) for k in range(4))
+    """Links (fingerprint, least linked one) in whole groups: columns block, value, depth, a, b, fp. A group is the pair of nodes a and b that lie `depth` bits below a root."""
+    block, _, depth, a, b, fp = (np.concatenate([r.column(k).to_numpy(zero_copy_only=False) for r in rows]) for k in range(6))
     keys = rotated(fp.view(np.uint64), block)
-    order = np.lexsort((keys, b, a, block))
-    block, a, b, keys, fp = block[order], a[order], b[order], keys[order], fp[order]
     root16 = (keys >> np.uint64(48)).astype(np.int64)
-    group = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(root16) != 0)]))
+    order = np.lexsort((keys, b, a, depth, root16, block))
+    block, depth, a, b, root16, keys, fp = (x[order] for x in (block, depth, a, b, root16, keys, fp))
+    group = np.flatnonzero(np.concatenate([[True], np.any([np.diff(x) != 0 for x in (block, root16, depth, a, b)], axis=0)]))
     ends = np.append(group[1:], len(keys))
-    # Sorted within each group, which is all that node ranges need.
-    whole = (a[group] < 0) & (ends - group > 1)
-    zero = np.zeros(int(whole.sum()), np.int64)
-    pairs = [trie_pairs(keys, group[whole], ends[whole], group[whole], ends[whole], zero, BITS // BLOCKS, budget)]
-    cut_ = np.flatnonzero(a[group] >= 0)
-    if len(cut_):
-        lo, hi = group[cut_], ends[cut_]
-        sub = ((keys >> np.uint64(48 - SUB_BITS)) & np.uint64((1 << SUB_BITS) - 1)).astype(np.int64)
-        mid = lo + np.array([np.searchsorted(sub[x:y], a[x], "right") for x, y in zip(lo, hi, strict=True)], np.int64)
+    # Sorted within each group, which is all that node ranges need; the first rows of a pair of two nodes are those of a.
+    pairs = []
+    for d in np.unique(depth).tolist():
+        lo, hi = (x[depth[group] == d] for x in (group, ends))
+        own = (keys >> np.uint64(48 - d)).astype(np.int64) & ((1 << d) - 1)
+        mine = np.concatenate([[0], np.cumsum(own == a)])
         same = a[lo] == b[lo]
+        mid = np.where(same, hi, lo + mine[hi] - mine[lo])
+        lo2 = np.where(same, lo, mid)
+        good = (mid > lo) & (hi > lo2) & ~(same & (hi - lo == 1))
         differ = np.bitwise_count((a[lo] ^ b[lo]).astype(np.uint64)).astype(np.int64)
-        lo2, hi2 = np.where(same, lo, mid), np.where(same, mid, hi)
-        good = (mid > lo) & (hi2 > lo2) & ~(same & (mid - lo == 1))
-        pairs.append(trie_pairs(keys, lo[good], mid[good], lo2[good], hi2[good], differ[good], BITS // BLOCKS + SUB_BITS, budget))
+        pairs.append(trie_pairs(keys, lo[good], mid[good], lo2[good], hi[good], differ[good], BITS // BLOCKS + d, budget))
     root = stars(keys, (p for one in pairs for p in one))
     linked = np.flatnonzero(root != np.arange(len(keys)))
     if not len(linked):
@@ -204,22 +205,30 @@ def links(distinct: DataFrame, column: str = "fingerprint", budget: int = BUDGET
     if budget >= BLOCKS:
         raise ValueError(f"{BLOCKS} blocks find pairs of up to {BLOCKS - 1} bits")
     width = BITS // BLOCKS
-    fp = F.col(column)
-    value = lambda k: F.shiftrightunsigned(fp, BITS - width * (k + 1)).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    # The sub-block is what follows the block in its rotation.
-    sub = lambda k: F.shiftrightunsigned(fp, (BITS - width * (k + 1) - SUB_BITS) % BITS).bitwiseAND(F.lit((1 << SUB_BITS) - 1).cast("long"))
-    tries = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("block"), value(k).alias("value"), sub(k).alias("sub")) for k in range(BLOCKS)]))
-    rows = distinct.select(fp.alias("fp"), tries.alias("t")).select("t.block", "t.value", "t.sub", "fp")
-    large = cut(rows.groupBy("block", "value").count().where(F.col("count") > split_above).select("block", "value", F.lit(True).alias("large")))
-    none = F.lit(-1).cast("long")
-    if large.isEmpty():
-        rows = rows.select("block", "value", none.alias("a"), none.alias("b"), "fp")
-    else:
-        rows = rows.join(large, ["block", "value"], "left")
-        near = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << SUB_BITS) - 1).cast("long")), lambda s: F.bit_count(s.bitwiseXOR(F.col("sub"))) <= budget)
-        others = F.when(F.col("large"), F.transform(near, lambda s: F.struct(F.least(s, F.col("sub")).alias("a"), F.greatest(s, F.col("sub")).alias("b")))).otherwise(F.array(F.struct(none.alias("a"), none.alias("b"))))
-        rows = rows.withColumn("o", F.explode(others)).select("block", "value", "o.a", "o.b", "fp")
-    rows = K.bounded_batches(rows).repartition("block", "value", "a", "b").sortWithinPartitions("block", "value", "a", "b").select("block", "a", "b", "fp", "value")
+    fp = F.col("fp")
+    tries = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("block"), (fp if k == 0 else F.shiftleft(fp, width * k).bitwiseOR(F.shiftrightunsigned(fp, BITS - width * k))).alias("key")) for k in range(BLOCKS)]))
+    zero = F.lit(0).cast("long")
+    rows = distinct.select(F.col(column).alias("fp")).select("fp", tries.alias("t")).select("t.block", F.shiftrightunsigned("t.key", BITS - width).alias("value"), zero.alias("depth"), zero.alias("a"), zero.alias("b"), "fp", "t.key")
+    group = ["block", "value", "depth", "a", "b"]
+    fitting = []
+    for depth in range(0, BITS - width, SUB_BITS):
+        large = cut(rows.groupBy(*group).count().where(F.col("count") > split_above).select(*group))
+        if large.isEmpty():
+            break
+        fitting.append(rows.join(large, group, "left_anti"))
+        # One level of SUB_BITS bits down: a row meets, for its own node there, all nodes of the other side that are within the budget.
+        below = lambda d: F.shiftrightunsigned("key", BITS - width - d).bitwiseAND(F.lit((1 << d) - 1).cast("long"))
+        mine = below(depth + SUB_BITS)
+        first = below(depth) == F.col("a")
+        across = F.when(first, F.col("b")).otherwise(F.col("a"))
+        children = F.transform(F.sequence(zero, F.lit((1 << SUB_BITS) - 1).cast("long")), lambda s: F.shiftleft(across, SUB_BITS).bitwiseOR(s))
+        near = F.filter(children, lambda s: F.bit_count(s.bitwiseXOR(F.col("mine"))) <= budget)
+        pair = F.transform(near, lambda s: F.struct(F.when(F.col("a") == F.col("b"), F.least(s, "mine")).when(first, F.col("mine")).otherwise(s).alias("a"), F.when(F.col("a") == F.col("b"), F.greatest(s, "mine")).when(first, s).otherwise(F.col("mine")).alias("b")))
+        down = rows.join(large, group, "left_semi").withColumn("mine", mine).withColumn("o", F.explode(pair))
+        rows = cut(down.select("block", "value", F.lit(depth + SUB_BITS).cast("long").alias("depth"), "o.a", "o.b", "fp", "key"))
+    for part in fitting:
+        rows = rows.unionByName(part)
+    rows = K.bounded_batches(rows.select(*group, "fp")).repartition(*group).sortWithinPartitions(*group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Groups are whole when another follows: hold rows back from the last group's start.
@@ -228,9 +237,9 @@ def links(distinct: DataFrame, column: str = "fingerprint", budget: int = BUDGET
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if n > SPLIT_ABOVE:
-                key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 4, 1, 2)])
-                last = np.array([[held[-1].column(k)[-1].as_py()] for k in (0, 4, 1, 2)])
+            if n > split_above:
+                key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+                last = np.array([[held[-1].column(k)[-1].as_py()] for k in range(5)])
                 new = np.flatnonzero((key != last).any(axis=0))
                 if len(new):
                     if new[0]:
@@ -293,14 +302,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def marked(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a column, under a name that it lacks, that tells rows apart: a hash of all columns."""
+    (mark,) = K.fresh(docs.columns, "__mark")
+    return docs.withColumn(mark, F.xxhash64(*[F.col(f.name).cast("string") for f in docs.schema])), mark
+
+
+def keep(docs: DataFrame, mark: str, id_col: str, judged: DataFrame) -> DataFrame:
+    """Rows of the marked `docs` that stay, without the mark. `judged`: __id, __head (a row's mark), stays, and n, how many rows are alike in all columns: of these one stays.
+
+    Only the rows that go are joined by id, and only repeats that stay are brought together."""
+    id_, mark_ = K.fresh(docs.columns, "__judged_id", "__judged_mark")
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(mark_))
+    named = lambda rows: rows.select(F.col("__id").alias(id_), F.col("__head").alias(mark_))
+    alike = named(judged.where("stays and n > 1"))
+    kept = docs.join(named(judged.where("not stays or n > 1")), same, "left_anti")
+    if not alike.isEmpty():
+        kept = kept.unionByName(docs.join(alike, same, "left_semi").dropDuplicates([id_col, mark]))
+    return kept.drop(mark)
+
+
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of_shingle: int = 3, seed: int = SEED, budget: int = BUDGET, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """`docs` with one document of each component: that with the least id (nulls last), of several rows with that id the one with
     the least hash of its columns. Its columns and only these."""
-    marked = docs.withColumn("__mark", F.xxhash64(*[F.col(f.name).cast("string") for f in docs.schema]))
-    rows = _classes(marked, id_col, text_col, words_of_shingle, seed, budget, split_above, ["__mark"])
-    head = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__mark").alias("mark"))).alias("head")
-    heads = rows.groupBy("root").agg(head).select(F.col("head.id").alias("__id"), F.col("head.mark").alias("__head"))
-    kept = marked.join(heads, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__head")), "left_semi")
-    # Of rows that are equal in all columns one is as good as another.
-    first = Window.partitionBy(id_col, "__mark").orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__mark")
+    rows_, mark = marked(docs)
+    rows = _classes(rows_, id_col, text_col, words_of_shingle, seed, budget, split_above, [mark])
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(mark).alias("mark"))
+    heads = rows.groupBy("root").agg(F.min(row).alias("stays"))
+    judged = rows.join(heads, "root").select(F.col(id_col).alias("__id"), F.col(mark).alias("__head"), row.eqNullSafe(F.col("stays")).alias("stays"))
+    return keep(rows_, mark, id_col, cut(judged.groupBy("__id", "__head").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))))
