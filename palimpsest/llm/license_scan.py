@@ -1,70 +1,62 @@
 """Licence scans by the Dice coefficient of word bigrams.
 
-A document is looked at in units: each line, each paragraph (lines up to a blank one), and the whole text. A unit is
-normalised (lower case, letters and digits only, years and holders of copyright lines left in) and compared with the licence templates by Dice over bags of word bigrams: twice the
+A text is normalised (lower case, letters and digits only) and looked at in units: each line, each paragraph (lines up to a blank one), the whole
+text, and, wherever they stand, windows of as many words as a template has. A unit is compared with the licence templates by Dice over bags of word bigrams: twice the
 common ones over the sum of both sizes. A template can only reach the threshold t if its size lies between
-t / (2 - t) and (2 - t) / t times the unit's, so units meet only the templates within those bounds, and only if they share a bigram.
+t / (2 - t) and (2 - t) / t times the unit's, so units meet only the templates within those bounds, and only if they share a bigram; windows are only
+slid over the places of a template's bigrams, and only if the text has enough of these together. So a notice is found in comments, inside a longer paragraph, or broken over lines.
+
+Of matches that overlap the best stays: by Dice, then by length, then by name, so that a licence's notice isn't also counted as that of a sister licence.
 
 One narrow pass; the templates are part of the program, so what each task holds has a fixed size.
 
-Defined results: null and empty texts have no unit and no licence; of equal scores the template first by name is named; repeated rows get repeated
-results; an empty table gives no rows; only id and text are read.
+Defined results: null and empty texts have no unit and no licence; of equal scores the longer match and then the template first by name is named; repeated rows get repeated
+results; very long texts are one sequence of words; an empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from palimpsest.llm import kernel as K
+from palimpsest.llm.license_templates import TEMPLATES
 
 THRESHOLD = 0.8
 
-#: Short forms of well-known public licence notices, and openings of their full texts.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    "BSD-3-Clause": (
-        "Released under the BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-        "Licensed under the BSD 3-Clause License.",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "Proprietary": ("All rights reserved.",),
-    "Public-Domain": ("This work is in the public domain.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-}
-
 _WORD = re.compile(r"[^\W_]+")
 
+#: dice, number of words, name, first word, word after the last
+Match = tuple[float, int, str, int, int]
+
 
 def bag_of(words: list[str]) -> Counter:
     """Bag of bigrams of normalised words; a single word is its own."""
     return Counter(zip(words, words[1:], strict=False)) if len(words) > 1 else Counter([(w, "") for w in words])
 
 
+def _rank(m: Match) -> tuple:
+    return -m[0], -m[1], m[2], m[3]
+
+
+def apart(matches: list[Match]) -> list[Match]:
+    """The best of matches that overlap, by their places."""
+    out: list[Match] = []  # by place
+    starts: list[int] = []
+    for m in sorted(matches, key=_rank):
+        k = bisect_left(starts, m[3])
+        if (k == 0 or out[k - 1][4] <= m[3]) and (k == len(out) or m[4] <= starts[k]):
+            out.insert(k, m)
+            starts.insert(k, m[3])
+    return out
+
+
 class Templates:
-    """Bags by size, and the bigrams that any has."""
+    """Bags by size, and which templates have a bigram."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
         bags = [(name, bag_of(_WORD.findall(t.lower()))) for name, texts in sorted(templates.items()) for t in texts]
@@ -73,9 +65,13 @@ class Templates:
         self.least = min(n for n, _, _ in self.bags) * threshold / (2 - threshold)
         self.most = max(n for n, _, _ in self.bags) * (2 - threshold) / threshold
         self.words = {w for _, _, b in self.bags for g in b for w in g}
+        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for k, (_, _, b) in enumerate(self.bags):
+            for g in b:
+                self.having[g].append(k)
 
-    def best(self, words: list[str]) -> tuple[float, str] | None:
-        """The best template that reaches the threshold."""
+    def best(self, words: list[str], start: int) -> Match | None:
+        """The best template that the unit as a whole reaches the threshold with."""
         n = max(1, len(words) - 1)
         # A unit within the bounds shares at least threshold / 2 of its bigrams, so it can't lack most of the words.
         if not words or not self.least <= n <= self.most or sum(w in self.words for w in words) * 2 < self.threshold * n:
@@ -86,39 +82,69 @@ class Templates:
         for size, name, other in self.bags:
             if low <= size <= high:
                 dice = 2 * sum(min(c, other[g]) for g, c in bag.items() if g in other) / (n + size)
-                if dice >= self.threshold and (found is None or (-dice, name) < (-found[0], found[1])):
-                    found = (dice, name)
+                if dice >= self.threshold and (found is None or (-dice, name) < (-found[0], found[2])):
+                    found = (dice, len(words), name, start, start + len(words))
         return found
 
-    def matches(self, text: str) -> list[tuple[float, str]]:
-        """The best template of each unit that has one. Words don't run over line ends, so they are cut once; longer units than any template allows aren't put together."""
+    def windows(self, words: list[str]) -> list[Match]:
+        """Windows of a template's number of words that reach the threshold with it, the best of those that overlap."""
+        places: dict[int, list[int]] = defaultdict(list)
+        for x, g in enumerate(zip(words, words[1:], strict=False)):
+            if g in self.having:
+                for k in self.having[g]:
+                    places[k].append(x)
+        out = []
+        for k, at in places.items():
+            size, name, bag = self.bags[k]
+            if len(at) < self.threshold * size:
+                continue
+            inside: Counter = Counter()
+            common, lo, found = 0, 0, []
+            for hi, x in enumerate(at):
+                g = words[x], words[x + 1]
+                common += inside[g] < bag[g]
+                inside[g] += 1
+                while at[lo] <= x - size:
+                    gone = words[at[lo]], words[at[lo] + 1]
+                    inside[gone] -= 1
+                    common -= inside[gone] < bag[gone]
+                    lo += 1
+                if common >= self.threshold * size:
+                    found.append((common / size, size + 1, name, at[lo], min(len(words), at[lo] + size + 1)))
+            out += found
+        return out
+
+    def matches(self, text: str) -> list[Match]:
+        """The matches of a text that don't overlap, by their places. Words don't run over line ends, so they are cut once; longer units than any template allows aren't put together."""
         lines = [_WORD.findall(x) for x in text.lower().split("\n")]
-        units = list(lines)
-        if len(lines) > 1:
-            blank = [not x.strip() for x in text.split("\n")]
-            runs: list[list[int]] = [[]]
-            for k, empty in enumerate(blank):
-                if empty:
-                    runs.append([])
-                else:
-                    runs[-1].append(k)
-            runs = [r for r in runs if r]
-            several = [r for r in runs if len(r) > 1] + ([[k for r in runs for k in r]] if len(runs) > 1 else [])
-            units += [[w for k in r for w in lines[k]] for r in several if sum(len(lines[k]) for k in r) <= self.most + 1]
-        return [m for u in units if (m := self.best(u))]
+        words = [w for x in lines for w in x]
+        starts = [0]
+        for x in lines:
+            starts.append(starts[-1] + len(x))
+        units = [(a, b) for a, b in zip(starts, starts[1:], strict=False) if b > a]
+        first = None
+        for k, x in enumerate([*text.split("\n"), ""]):
+            if x.strip():
+                first = k if first is None else first
+            elif first is not None:
+                units.append((starts[first], starts[k]))
+                first = None
+        units.append((0, len(words)))
+        found = [m for a, b in dict.fromkeys(units) if b - a <= self.most + 1 and (m := self.best(words[a:b], a))]
+        return apart(found + self.windows(words))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, templates: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license (of the best unit, null if none reaches the threshold), dice, n_matches (units that match), licenses (all, sorted)."""
+    """id, license (of the best match, null if none reaches the threshold), dice, n_matches (that don't overlap), licenses (all, sorted)."""
     known = Templates(templates or TEMPLATES, threshold)
     out = K.schema(**{id_col: docs.schema[id_col].dataType.simpleString(), "license": "string", "dice": "double", "n_matches": "bigint", "licenses": "array<string>"})
 
     def run(batch: pa.RecordBatch):
         columns: tuple[list, ...] = ([], [], [], [])
-        for text in batch.column(1).to_pylist():
-            found = known.matches(text or "")
-            dice, name = min(found, key=lambda m: (-m[0], m[1])) if found else (None, None)
-            for column, value in zip(columns, (name, dice, len(found), sorted({m[1] for m in found})), strict=True):
+        for text in batch.column(1):
+            found = known.matches(text.as_py() or "")
+            dice, _, name, _, _ = min(found, key=_rank) if found else (None,) * 5
+            for column, value in zip(columns, (name, dice, len(found), sorted({m[2] for m in found})), strict=True):
                 column.append(value)
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.list_(pa.string()))
         yield [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
