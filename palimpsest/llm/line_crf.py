@@ -5,8 +5,8 @@ score, a transition score ties neighbouring labels. The labels that we learn fro
 document is taken to have its label. Forward-backward gives each line's marginal of being good; a document's score is
 their mean, weighted by the lines' lengths.
 
-The model is fitted on at most about `TRAIN_DOCS` labelled documents (a documented bound), chosen by a hash of the id;
-their line features are what the driver gathers. Scoring is one narrow pass over all documents.
+The model is fitted on at most about `TRAIN_DOCS` labelled documents and at most `TRAIN_LINES` lines in all (documented bounds of the sample), chosen by a hash of the id;
+of documents with over a twentieth of these lines none are learnt from. Their line features are what the driver gathers (600 bytes a line). Scoring is one narrow pass over all documents.
 
 Defined results: a null or empty text is one line without words and is scored as such; blank lines between others don't
 count; repeated rows get repeated results; a document labelled twice counts as bad if either says so; null labels aren't learnt from; without
@@ -27,6 +27,8 @@ from palimpsest.llm import kernel as K
 
 #: Bound of the fitting sample, documents.
 TRAIN_DOCS = 6_000
+#: Bound of the fitting sample, lines; a document with more than a twentieth of them isn't learnt from.
+TRAIN_LINES = 100_000
 EPOCHS = 150
 RATE = 0.1
 DECAY = 1e-3
@@ -177,14 +179,23 @@ def fold_of(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = TRAIN_DOCS, train_lines: int = TRAIN_LINES) -> Crf:
     """Fit on the labelled documents outside the held-out fold. The ids of the bounded sample are broadcast, so that documents aren't shuffled."""
     rows = labels.where(F.col(label_col).isNotNull() & (fold_of(id_col) != 0))
     n = rows.count()
     if n > train_docs:
         rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(1e6 * train_docs / n))
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__good"))
-    sample = docs.join(F.broadcast(rows), F.col(id_col) == F.col("__id")).select(F.col("__good"), F.col(text_col))
+    draw = F.xxhash64(F.col(id_col).cast("string"))
+    n_lines = F.coalesce(F.regexp_count(F.col(text_col), F.lit("\n")), F.lit(0)) + 1
+    sample = docs.join(F.broadcast(rows), F.col(id_col) == F.col("__id")).select("__good", F.col(text_col), draw.alias("__draw"), n_lines.alias("__lines")).where(F.col("__lines") <= train_lines // 20)
+    # One number of lines for each document of the sample: those first by the hash that fit.
+    total, last = 0, None
+    for d, n in sorted(tuple(r) for r in sample.select("__draw", "__lines").collect()):
+        if total + n > train_lines:
+            break
+        total, last = total + n, d
+    sample = sample.where(F.lit(False) if last is None else F.col("__draw") <= last).select("__good", text_col)
 
     def run(batch: pa.RecordBatch):
         for a, b, data, offsets in K.text_blocks(batch.column(1)):

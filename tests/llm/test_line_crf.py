@@ -55,3 +55,31 @@ def test_edges(spark):
     assert C.score(frame(spark, []), C.train(docs, labels)).count() == 0
     none = C.train(docs, labels.where("false"))
     assert {r["score"] for r in C.score(docs, none).collect()} == {1.0}
+
+
+def test_score_by_brute_force(spark):
+    """Marginals by enumeration over all labellings of short documents, weighted by the bytes of their lines."""
+    docs = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(["One line.", "a b c\n\n### $$$ !!!\nGood words here, in a row.", "x\ny\nz\nx", "é ü\n日本語 words", None, ""])])
+    rng = np.random.default_rng(5)
+    model = C.Crf(rng.normal(size=C.WIDTH), 0.4, 0.5)
+    for r in C.score(docs, model).collect():
+        text = {d: t for d, t, *_ in [tuple(x) for x in docs.collect()]}[r["doc_id"]] or ""
+        data = np.frombuffer(text.encode(), np.uint8)
+        x, _, _ = C.line_features(data, np.array([0, len(data)]))
+        lines = [len(line.encode()) for line in text.split("\n") if line.split()] or [1]
+        s = x @ model.weights
+        total, good = 0.0, np.zeros(len(lines))
+        for y in itertools.product((0, 1), repeat=len(lines)):
+            w = math.exp(sum(v for v, k in zip(s, y, strict=True) if k) + model.stay * sum(p == q for p, q in itertools.pairwise(y)))
+            total += w
+            good += w * np.array(y)
+        assert r["n_lines"] == len(lines) and np.isclose(r["score"], (good / total) @ lines / sum(lines), atol=1e-5)
+
+
+def test_the_sample_is_bounded_in_lines(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    long = spark.createDataFrame([(10**6 + k, "a line\n" * 5000) for k in range(20)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(long)
+    marks = labels.select("doc_id", "quality").union(spark.createDataFrame([(10**6 + k, 0) for k in range(20)], "doc_id long, quality int"))
+    one, other = C.train(docs, labels, train_lines=2000), C.train(both, marks, train_lines=2000)
+    assert one.fitted and other.fitted and np.allclose(one.weights, other.weights)
