@@ -8,7 +8,9 @@ within a split is contracted to where it leaves the split; pointer jumping from
 exits, doubling the jump each round, finds the candidates that are reached in each split, and a walk within the
 split finds the rest. What isn't reached is payload.
 
-Defined results: null payloads are empty; null urls have no Target-URI header; null ids are written empty and read as null;
+A split keeps digests of at most `OPEN` candidates that overlap at a time; what is reached beyond them is read again, as are records over several splits.
+
+Defined results: null payloads are empty; null urls have no Target-URI header; ids of any type are percent-encoded and come back in their type, null ids as null;
 rows with the smallest id of their payload are all responses if that id is repeated; an empty table gives no archive and
 no rows; other columns aren't read. Line ends in a url are percent-encoded, as is a magic. Headers are read to their blank line, however
 long they are; an archive whose chain reaches what isn't a record before the end of the file is an error.
@@ -35,6 +37,11 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: The WARC standard's name for revisits by equal payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+URN = "urn:x-page"
+#: Candidates of a split that are digested at the same time. Real records don't overlap, so more are false ones, as in payloads full of headers.
+OPEN = 8
+#: Bytes of an archive that pieces and the records that need them meet in.
+BAND = 1 << 22
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -67,7 +74,7 @@ def record(target: Column, payload: Column) -> Column:
     """The bytes of a record without the two line ends that close it, as text."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     revisit = F.col("refers_to").isNotNull()
-    urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c: F.concat(F.lit(f"<{URN}"), F.coalesce(F.concat(F.lit(":"), F.url_encode(c.cast("string"))), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     length = F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
     safe = F.replace(F.replace(F.replace(target, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), F.lit(MAGIC), F.lit("WARC/1%2E"))
@@ -174,6 +181,8 @@ class _Split:
         block = int(x["content-length"])
         row |= {"candidate": True, "length": len(MAGIC) + n + block + len(END), "type": x["warc-type"], "record_id": unquote(x.get("warc-record-id")), "uri": x.get("warc-target-uri"), "refers_to": unquote(x.get("warc-refers-to"))}
         row |= {"stated_digest": (x.get("warc-payload-digest") or "").removeprefix("sha1:") or None, "stated_bytes": int(v) if (v := x.get("x-payload-length", "")).isdigit() else None, "http": "application/http" in x.get("content-type", "")}
+        if len(self.open) >= OPEN:
+            return True
         o = _Open(row, block, self.keep)
         if o.feed(text[n : n + block]) or not block:
             o.close()
@@ -268,7 +277,7 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
 
 
 def _complete(records: DataFrame, path: str, payload: bool) -> DataFrame:
-    """Records that run into the next split with a magic in their payload are read again from the pieces of both."""
+    """Records that run into the next split, or weren't digested, are read again from their pieces. Both meet by bands of the archive."""
     records = cut(records)
     parts = records.where("not whole")
     if parts.isEmpty():
@@ -280,8 +289,9 @@ def _complete(records: DataFrame, path: str, payload: bool) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = text.groupBy("file", "block").agg(F.sum("n_bytes").alias("b")).withColumn("base", F.coalesce(F.sum("b").over(before), F.lit(0))).drop("b")
     text = text.join(bases, ["file", "block"]).withColumn("at", F.col("base") + F.coalesce(F.sum("n_bytes").over(in_block), F.lit(0)) - len(MAGIC))
-    wanted = parts.select("file", F.col("offset"), F.col("length"))
-    pieces = text.join(wanted, "file").where("at >= offset and at < offset + length").select("file", "offset", "length", "at", "value")
+    band = lambda c: F.floor(c / BAND).cast("long")
+    wanted = parts.select("file", "offset", "length", F.explode(F.sequence(band(F.col("offset")), band(F.col("offset") + F.col("length") - 1))).alias("band"))
+    pieces = text.withColumn("band", band(F.col("at"))).join(wanted, ["file", "band"]).where("at >= offset and at < offset + length").select("file", "offset", "length", "at", "value")
 
     def gather(group):
         group = group.sort_by("at")
@@ -298,13 +308,13 @@ def _complete(records: DataFrame, path: str, payload: bool) -> DataFrame:
     return out.drop("b2", "d2", "p2")
 
 
-def round_trip(pages: DataFrame, path: str | None = None, id_type: str = "bigint", **options) -> DataFrame:
+def round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", **options) -> DataFrame:
     """Write, read back, and describe each page: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write_warc(pages, path, **options)
+    write_warc(pages, path, id_col=id_col, **options)
     rows = read_warc(spark, path)
-    id_of = lambda c: F.nullif(F.substring_index(F.col(c), ":", -1), F.lit("")).cast(id_type)
+    id_of = lambda c: F.when(F.col(c) != URN, F.url_decode(F.substr(F.col(c), F.lit(len(URN) + 2)))).cast(pages.schema[id_col].dataType)
     revisit = F.col("type") == "revisit"
     return rows.select(
         id_of("record_id").alias("page_id"),

@@ -106,3 +106,23 @@ def test_a_broken_chain_is_an_error(spark, tmp_path):
     (tmp_path / "broken/a.warc").write_bytes(data.replace(b"<urn:x-page:8>\r\nWARC-Date", b"<urn:x-page:8> longer\r\nWARC-Date").replace(b"Content-Length: 20", b"Content-Length: 10"))
     with pytest.raises(ValueError, match="no record at offset"):
         W.read_warc(spark, f"{tmp_path}/broken")
+
+
+def test_ids_that_are_strings(spark, tmp_path):
+    pages = [("a:b c%", "u", "one"), ("", "u", "two"), (None, "u", "three"), ("é\r\n>", "u", "one"), ("z", "u", "five")]
+    got = W.round_trip(spark.createDataFrame(pages, "page_id string, url string, html string"), f"{tmp_path}/w")
+    assert results(got) == brute(pages)
+
+
+@pytest.mark.parametrize("split", ["128m", "4k"])
+def test_payloads_full_of_open_headers(spark, tmp_path, split):
+    header = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99999999\r\n\r\n"
+    pages = [(k, "u", header * 400 + str(k)) for k in range(3)] + [(9, "u", "plain")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert results(W.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/w")) == brute(pages)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
