@@ -51,3 +51,81 @@ def test_the_sample_is_bounded_per_language(spark):
     model = L.train(docs, train_docs=40)
     got = L.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.95
+
+
+def plain_trigrams(text):
+    """Buckets of byte trigrams of the folded text, by the letter."""
+    out = []
+    data = bytearray(text.encode())
+    for k, b in enumerate(data):
+        if 0x41 <= b <= 0x5A:
+            data[k] = b + 32
+        elif b < 0x80 and not 0x61 <= b <= 0x7A:
+            data[k] = 32
+        elif k and 0x80 <= b <= 0x9E and b != 0x97 and data[k - 1] == 0xC3:
+            data[k] = b + 32
+    padded = " " + "".join(map(chr, data)) + " "
+    while "  " in padded:
+        padded = padded.replace("  ", " ")
+    for k in range(len(padded) - 2):
+        a, b, c = map(ord, padded[k : k + 3])
+        out.append(((a << 16 | b << 8 | c) * 0x9E3779B1 % (1 << 32)) >> (32 - L.BITS))
+    return out
+
+
+def test_prediction_by_brute_force(spark):
+    """Learning and choosing anew with plain loops: counts by language, likelihoods, mixtures on a grid of steps."""
+    docs = frame(spark)
+    rows = [(r[0], r[1], r[2]) for r in documents()]
+    counts = {}
+    for i, text, lang in rows:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            own = counts.setdefault(lang, [L.SMOOTHING] * L.BUCKETS)
+            for g in plain_trigrams(text or ""):
+                own[g] += 1
+    languages = sorted(counts)
+    logs = [[float(np.log(x / sum(counts[lang]))) for x in counts[lang]] for lang in languages]
+
+    def predict(text):
+        grams = plain_trigrams(text)
+        value = lambda share: sum(np.log(sum(s * np.exp(logs[k][g]) for k, s in share.items())) for g in grams)
+        chosen = {max(range(len(languages)), key=lambda k: (value({k: 1.0}), -k)): 1.0}
+        best = value(chosen)
+        price = L.PENALTY * 0.5 * np.log(max(2, len(grams)))
+        while len(chosen) < len(languages):
+            mixed = [sum(s * np.exp(logs[k][g]) for k, s in chosen.items()) for g in grams]
+            pull = {k: sum(np.exp(logs[k][g]) / m for g, m in zip(grams, mixed, strict=True)) for k in range(len(languages)) if k not in chosen}
+            more = max(pull, key=lambda k: (pull[k], -k))
+            if pull[more] <= len(grams):
+                break
+            share = dict.fromkeys([*chosen, more], 1 / (len(chosen) + 1))
+            for _ in range(L.STEPS):
+                new = dict.fromkeys(share, 0.0)
+                for g in grams:
+                    parts = {k: s * np.exp(logs[k][g]) for k, s in share.items()}
+                    for k in parts:
+                        new[k] += parts[k] / sum(parts.values()) / len(grams)
+                done = max(abs(new[k] - share[k]) for k in share) < 1e-4
+                share = new
+                if done:
+                    break
+            if value(share) - best <= price:
+                break
+            chosen, best = share, value(share)
+        top = min(chosen, key=lambda k: (-chosen[k], k))
+        return languages[top], chosen[top]
+
+    got = L.identify(docs, L.train(docs)).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for r, want in ((r, rows_of) for r in got for rows_of in [[t for i, t, _ in rows if i == r["doc_id"]]]):
+        text = want[0]
+        if r["doc_id"] is None or len(set(want)) > 1 or len(text or "") > 3000:
+            continue
+        if not any(map(str.isalpha, text or "")):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        if text not in by_text:
+            by_text[text] = predict(text)
+        assert r["lang_pred"] == by_text[text][0] and r["score"] == pytest.approx(by_text[text][1], abs=1e-6), text
+    assert len(by_text) > 50
