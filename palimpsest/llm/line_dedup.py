@@ -21,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import defaultdict, deque
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -199,7 +200,7 @@ def deletions(shared: list[dict], all_words: int, min_words: int = MIN_WORDS, co
 
 
 def plan_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, copied_share: float = COPIED_SHARE) -> DataFrame:
-    """__id, __hash, gone (places of lines), n_gone_words, all_words: one row per document that loses lines."""
+    """__id, __hash, gone (places of lines), goes (by place, whether the line is one of them, up to the last), n_gone_words, all_words: one row per document that loses lines."""
     rows = line_rows(docs, id_col, text_col, min_words)
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__hash").alias("hash"))
     # Rows of one document in several rows are one holder.
@@ -211,31 +212,35 @@ def plan_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # The earlier document is told by a hash: two that collide would only be aligned as one.
     item = F.struct("at", "first_at", "n_lines", "n_words", "n_docs", F.xxhash64("first.id", "first.hash").alias("first"), "line")
     lists = pairs.groupBy("__id", "__hash", "all_words").agg(F.collect_set(item).alias("shared"))
-    out = K.schema(__id=docs.schema[id_col].dataType.simpleString(), __hash="bigint", gone="array<int>", n_gone_words="bigint", all_words="bigint")
+    out = K.schema(__id=docs.schema[id_col].dataType.simpleString(), __hash="bigint", gone="array<int>", goes="array<boolean>", n_gone_words="bigint", all_words="bigint")
 
     def run(batch: pa.RecordBatch):
-        gone, n_words = [], []
+        gone, goes, n_words = [], [], []
         for shared, total in zip(batch.column(3), batch.column(2).to_pylist(), strict=True):
             shared = shared.as_py()
             at = deletions(sorted(shared, key=lambda s: (s["first"], s["at"])), total, min_words, copied_share)
             size = {x: s["n_words"] for s in shared if s["n_lines"] == 1 for x in s["at"]}
             gone.append(at)
+            flags = np.zeros(at[-1] + 1 if at else 0, bool)
+            flags[at] = True
+            goes.append(flags)
             n_words.append(sum(size[x] for x in at))
-        yield [batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(n_words, pa.int64()), batch.column(2)]
+        yield [batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32())), pa.array(goes, pa.list_(pa.bool_())), pa.array(n_words, pa.int64()), batch.column(2)]
 
     return K.map_arrow(lists.select("__id", "__hash", "all_words", "shared"), run, out).where(F.size("gone") > 0)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, copied_share: float = COPIED_SHARE, into: tuple[str, str, str] = ("n_lines", "n_deleted_lines", "n_deleted_words")) -> DataFrame:
     """`docs` with `text` rid of deleted lines, and the columns of `into` (which replace such columns of `docs`)."""
-    plan = plan_deletions(docs, id_col, text_col, min_words, copied_share)
-    plan = plan.select(F.col("__id"), F.col("__hash"), F.col("gone").alias("__gone"), "n_gone_words", "all_words")
     kept = [c for c in docs.columns if c not in into]
-    rows = docs.select(*kept).withColumn("__key", F.xxhash64(text_col))
-    rows = rows.join(plan, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
+    id_, hash_, goes, n_gone, gone_words, all_words, key = K.fresh(kept, "__id", "__hash", "__goes", "__n_gone", "__gone_words", "__all_words", "__key")
+    plan = plan_deletions(docs, id_col, text_col, min_words, copied_share)
+    plan = plan.select(F.col("__id").alias(id_), F.col("__hash").alias(hash_), F.col("goes").alias(goes), F.size("gone").alias(n_gone), F.col("n_gone_words").alias(gone_words), F.col("all_words").alias(all_words))
+    rows = docs.select(*kept).withColumn(key, F.xxhash64(text_col))
+    rows = rows.join(plan, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(key) == F.col(hash_)), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, k: ~F.array_contains(F.col("__gone"), k)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).when(F.col("n_gone_words") >= F.col("all_words"), F.lit("")).otherwise(left)
+    left = F.array_join(F.filter(lines, lambda x, k: ~F.coalesce(F.get(F.col(goes), k), F.lit(False))), "\n")
+    text = F.when(F.col(goes).isNull(), F.col(text_col)).when(F.col(gone_words) >= F.col(all_words), F.lit("")).otherwise(left)
     n_lines = F.when(F.coalesce(F.length(text_col), F.lit(0)) == 0, F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return rows.select(*[text.cast(T.StringType()).alias(c) if c == text_col else F.col(c) for c in kept], n_lines.alias(into[0]), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(into[1]), F.coalesce("n_gone_words", F.lit(0)).cast("long").alias(into[2]))
-
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return rows.select(*[text.cast(T.StringType()).alias(c) if c == text_col else F.col(c) for c in kept], n_lines.alias(into[0]), number(n_gone).alias(into[1]), number(gone_words).alias(into[2]))

@@ -141,3 +141,15 @@ def test_what_any_earlier_document_has_in_a_run_of_five_words(spark):
     docs = [(k, "\n".join(text), "en", "a", 1) for k, text in enumerate(texts)]
     got = {r["__id"]: r["gone"] for r in D.plan_deletions(frame(spark, docs)).collect()}
     assert got == want
+
+
+def test_many_equal_lines_take_one_pass(spark):
+    import time
+
+    n = 100_000
+    start = time.perf_counter()
+    assert len(D.deletions([{"at": list(range(n)), "first_at": [3], "n_words": 6, "n_docs": 2, "first": 1, "n_lines": 1}], 6 * n)) == n
+    assert time.perf_counter() - start < 10
+    rows = [(1, "one two three four five six"), (2, "one two three four five six\n" * n + "and words of its own are here")]
+    got = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "and words of its own are here"}
