@@ -10,7 +10,7 @@ Running sums don't gather a source in one task: each source is dealt over ranges
 are summed first, and a document adds the sum of the ranges before its own to the running sum within its range.
 
 Defined results: a null or empty text has size 0 and is taken 0 times; a null source is a source of its own and
-last by code point; equal rows are each dealt their own place; an empty table gives no rows; the id may be null. Only id,
+last by code point; equal rows are each dealt their own place, rows of equal id by a hash of their texts; an empty table gives no rows; the id may be null. Only id,
 text and source are read, other columns pass through `mix` under their names (result columns of those names replace them).
 """
 
@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm import kernel as K
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -63,25 +65,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """`docs` with size, source_size, target, virtual_start (of epoch 1), virtual_finish and taken. The text passes through only if `docs` is asked for it later."""
     added = ("size", "source_size", "target", "virtual_start", "virtual_finish", "taken")
     rest = [c for c in docs.columns if c not in (*added, source_col)]
-    rows = docs.withColumn("__size", size_of(F.col(text_col)) if size is None else size).withColumn("__key", shuffle_key(id_col, seed))
-    rows = rows.withColumn("__range", F.conv(F.substring("__key", 1, 4), 16, 10).cast("long") * RANGES / 65536).withColumn("__range", F.col("__range").cast("int"))
-    rows = rows.select(*rest, F.col(source_col).alias("__source"), "__size", "__key", "__range")
-
-    sums = rows.groupBy("__source", "__range").agg(F.sum("__size").alias("__in_range"))
-    aims = targets(sums.groupBy(F.col("__source").alias("source")).agg(F.sum("__in_range").alias("source_size")), weights, share, epochs)
-    aims = aims.select(F.col("source").alias("__source_t"), "source_size", "target")
-    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("__before", F.coalesce(F.sum("__in_range").over(before), F.lit(0)))
-    starts = starts.join(aims, F.col("__source").eqNullSafe(F.col("__source_t"))).select(F.col("__source").alias("__source_s"), F.col("__range").alias("__range_s"), "__before", "source_size", "target")
-
-    rows = rows.join(starts, F.col("__source").eqNullSafe(F.col("__source_s")) & (F.col("__range") == F.col("__range_s")))
-    within = Window.partitionBy("__source", "__range").orderBy("__key", F.col(id_col).asc_nulls_last(), "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__start", F.col("__before") + F.coalesce(F.sum("__size").over(within), F.lit(0)))
+    size_, mark, key, range_, source, source_t, source_s, range_s, before_, in_range, start = K.fresh(docs.columns, "__size", "__mark", "__key", "__range", "__source", "__source_t", "__source_s", "__range_s", "__before", "__in_range", "__start")
+    rows = docs.withColumn(size_, size_of(F.col(text_col)) if size is None else size).withColumn(mark, F.xxhash64(text_col)).withColumn(key, shuffle_key(id_col, seed))
+    rows = rows.withColumn(range_, (F.conv(F.substring(key, 1, 4), 16, 10).cast("long") * RANGES / 65536).cast("int"))
+    rows = rows.select(*rest, F.col(source_col).alias(source), size_, mark, key, range_)
+
+    sums = rows.groupBy(source, range_).agg(F.sum(size_).alias(in_range))
+    aims = targets(sums.groupBy(F.col(source).alias("source")).agg(F.sum(in_range).alias("source_size")), weights, share, epochs)
+    aims = aims.select(F.col("source").alias(source_t), "source_size", "target")
+    before = Window.partitionBy(source).orderBy(range_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn(before_, F.coalesce(F.sum(in_range).over(before), F.lit(0)))
+    starts = starts.join(aims, F.col(source).eqNullSafe(F.col(source_t))).select(F.col(source).alias(source_s), F.col(range_).alias(range_s), before_, "source_size", "target")
+
+    rows = rows.join(starts, F.col(source).eqNullSafe(F.col(source_s)) & (F.col(range_) == F.col(range_s)))
+    within = Window.partitionBy(source, range_).orderBy(key, F.col(id_col).asc_nulls_last(), size_, mark).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(start, F.col(before_) + F.coalesce(F.sum(size_).over(within), F.lit(0)))
     aim = F.floor("target").cast("long")
-    epoch = lambda k: F.greatest(F.lit(0), F.least(F.col("__size"), aim - k * F.col("source_size") - F.col("__start")))
+    epoch = lambda k: F.greatest(F.lit(0), F.least(F.col(size_), aim - k * F.col("source_size") - F.col(start)))
     taken = sum((epoch(k) for k in range(1, epochs)), epoch(0)).cast("long")
     over = lambda words: F.when(F.col("target") > 0, words / F.col("target")).otherwise(F.lit(0.0))
-    return rows.select(*rest, F.col("__source").alias(source_col), F.col("__size").alias("size"), "source_size", "target", over(F.col("__start")).alias("virtual_start"), over(F.col("__start") + F.col("__size")).alias("virtual_finish"), taken.alias("taken"))
+    return rows.select(*rest, F.col(source).alias(source_col), F.col(size_).alias("size"), "source_size", "target", over(F.col(start)).alias("virtual_start"), over(F.col(start) + F.col(size_)).alias("virtual_finish"), taken.alias("taken"))
 
 
 def entries(mixed: DataFrame, epochs: int = EPOCHS) -> DataFrame:
