@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK_BYTES = 2 << 20
@@ -53,6 +54,12 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def marked(df: DataFrame) -> tuple[DataFrame, str]:
+    """`df` with a column, under a name that it lacks, that tells rows apart: a hash of all columns."""
+    (mark,) = fresh(df.columns, "__mark")
+    return df.withColumn(mark, F.xxhash64(*[F.col(f.name).cast("string") for f in df.schema])), mark
+
+
 def schema(**fields: str) -> T.StructType:
     """Nullable columns, in order."""
     return T.StructType([T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()])

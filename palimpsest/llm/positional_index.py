@@ -6,30 +6,35 @@ each segment by intersecting the lists of its terms, each moved back by the term
 the commonest; with a slop, each term may stand somewhat later than right behind the one before.
 
 `build_index` makes the segments of a corpus, whatever is asked later; they are written as a table once. `document_hits`, `phrase_matches` and
-`proximity_matches` read the table, `contamination` does both in flight (same tasks, nothing written) for filters over documents.
+`proximity_matches` read the table; `clean` filters documents by it. `contamination` does both in flight (same tasks, nothing written) and adds what it finds to the documents.
 
-Test items are broadcast in parts of at most `max_part_bytes`; a larger test set takes several passes over the index.
+Test items are broadcast in parts of at most `max_part_bytes` of text (on a driver or worker about ten times that in windows and term numbers); a larger test set takes
+several passes, one part after the other, each written before the next part is made.
 
-Terms are found by 64-bit hashes and compared by their letters. Defined results: null or empty texts have no words and no hits; null item ids count as
+In the index terms are found by 64-bit hashes and compared by their letters; in flight by their hashes only. Defined results: null or empty texts have no words and no hits; null item ids count as
 ''; repeated documents get repeated results, repeated items count once by their id; an empty test set hits nothing; columns other
 than id and text aren't read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
-from palimpsest.runtime import shared_path
+from palimpsest.runtime import cut, shared_path
 
 WINDOW = 10
-MAX_PART_BYTES = 32 << 20
+MAX_PART_BYTES = 8 << 20
+#: Segments are large rows: row groups of a few of them keep writers and readers small.
+ROW_GROUP_BYTES = 8 << 20
 #: Between two documents of a shard, so that no phrase or proximity runs from one to the next.
 GAP = 1 << 12
 
@@ -59,14 +64,17 @@ class Items:
         self.seen[(hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
         self.ids = sorted({i for i, _ in rows})
         place = {x: k for k, x in enumerate(self.ids)}
-        by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
+        by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for (item, _), ws in zip(rows, words, strict=True):
-            ws = [number[w] for w in ws]
-            n = min(window, len(ws))
-            for k in range(len(ws) - n + 1 if n else 0):
-                by_length.setdefault(n, {}).setdefault(tuple(ws[k : k + n]), set()).add(place[item])
-        #: (length, terms of each window, items of each window)
-        self.windows = [(n, np.array(list(w), np.int64), [sorted(x) for x in w.values()]) for n, w in sorted(by_length.items())]
+            if ws:
+                n = min(window, len(ws))
+                by_length.setdefault(n, []).append((place[item], np.lib.stride_tricks.sliding_window_view(np.array([number[w] for w in ws], np.int64), n)))
+        #: (length, terms of each distinct window, where its items end, items of all windows)
+        self.windows = []
+        for n, found in sorted(by_length.items()):
+            every, of = np.unique(np.concatenate([w for _, w in found]), axis=0, return_inverse=True)
+            owner = np.unique(np.stack([of.ravel(), np.concatenate([np.full(len(w), i) for i, w in found])], axis=1), axis=0)
+            self.windows.append((n, every, np.searchsorted(owner[:, 0], np.arange(len(every) + 1)), owner[:, 1]))
 
     def term_numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary number of each hash, or -1."""
@@ -80,8 +88,8 @@ class Items:
         return out
 
 
-def parts_of(items: DataFrame, window: int, id_col: str, text_col: str, max_part_bytes: int) -> list:
-    """The test set, broadcast in parts of a checked size."""
+def passes(items: DataFrame, window: int, id_col: str, text_col: str, max_part_bytes: int, one_pass: Callable[[Broadcast, DataFrame | None], DataFrame]) -> list[DataFrame]:
+    """What one_pass makes of each part of the test set, broadcast in parts of a checked size, and of the pass before. Of several passes each is written, and its part dropped, before the next."""
     spark = items.sparkSession
     items = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("words"))
     total = items.agg(F.sum(F.octet_length("words")), F.count("*")).first()
@@ -90,7 +98,11 @@ def parts_of(items: DataFrame, window: int, id_col: str, text_col: str, max_part
     out = []
     for k in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
-        out.append(spark.sparkContext.broadcast(Items([tuple(r) for r in part.collect()], window)))
+        held = spark.sparkContext.broadcast(Items([tuple(r) for r in part.collect()], window))
+        made = one_pass(held, out[-1] if out else None)
+        out.append(made if n == 1 else cut(made))
+        if n > 1:
+            held.destroy()
     return out
 
 
@@ -127,17 +139,27 @@ class Shard:
 
     def near(self, windows: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, first, last position) where all its terms stand in order, each at most slop words later than right after the one before."""
-        owner = np.repeat(np.arange(len(windows)), n := self.count(windows[:, 0]) if len(windows) else np.zeros(0, np.int64))
-        lo = np.searchsorted(self.keys, windows[:, 0] * self.span) if len(windows) else n
-        first = self.keys[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(n.sum())] % self.span if len(owner) else owner
+        if not len(windows) or not len(self.keys):
+            return (np.zeros(0, np.int64),) * 3
+        n = self.count(windows[:, 0])
+        owner = np.repeat(np.arange(len(windows)), n)
+        first = self.keys[_runs(np.searchsorted(self.keys, windows[:, 0] * self.span), n)] % self.span
         last = first
-        for step in range(1, windows.shape[1] if len(windows) else 0):
+        for step in range(1, windows.shape[1]):
             base = windows[owner, step] * self.span
-            k = np.searchsorted(self.keys, base + last + 1)
-            found = np.where(k < len(self.keys), self.keys[np.minimum(k, len(self.keys) - 1)] - base, -1)
-            good = (found > last) & (found <= last + 1 + slop)
-            owner, first, last = owner[good], first[good], found[good]
-        return owner, first, last
+            # All places within the slop, not the next one only: a later one may be what the terms behind it need.
+            lo, hi = np.searchsorted(self.keys, base + last + 1), np.searchsorted(self.keys, np.minimum(base + last + 2 + slop, base + self.span))
+            found = self.keys[_runs(lo, hi - lo)] % self.span
+            owner, first = np.repeat(owner, hi - lo), np.repeat(first, hi - lo)
+            owner, first, last = np.unique(np.stack([owner, first, found]), axis=1)
+        # Of the ways from one place the shortest.
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(first) != 0)])) if len(owner) else owner
+        return owner[head], first[head], last[head]
+
+
+def _runs(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places lo[i], lo[i] + 1, ... of runs of lengths n, one after the other."""
+    return (np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())).astype(np.int64)
 
 
 def shards(texts: pa.Array, items: Items) -> Iterator[tuple[int, int, np.ndarray, Shard]]:
@@ -209,11 +231,9 @@ def document_hits(index: DataFrame, items: DataFrame, item_id: str = "item_id",
     """Per indexed document: id, n_words, items (ids of those with an occurring window, sorted), spans (merged runs of hit words)."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
     out = K.schema(segment="bigint", place="int", id=kind, n_words="bigint", items="array<string>", spans="array<struct<start:bigint,end:bigint>>")
-    parts = parts_of(items, window, item_id, item_text, max_part_bytes)
-    found = None
-    for part in parts:
 
-        def run(batch: pa.RecordBatch, part=part):
+    def one_pass(part: Broadcast, _: DataFrame | None) -> DataFrame:
+        def run(batch: pa.RecordBatch):
             own: Items = part.value
             for row in rows_of(batch):
                 base, shard = segment(row, own)
@@ -226,8 +246,10 @@ def document_hits(index: DataFrame, items: DataFrame, item_id: str = "item_id",
                 n = len(items_of)
                 yield [pa.array([name] * n, pa.int64()), pa.array(range(n), pa.int32()), row["ids"], row["n_words"], pa.array([sorted(x, key=str.encode) for x in items_of], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
-        one = K.map_arrow(index, run, out)
-        found = one if found is None else found.unionByName(one)
+        return K.map_arrow(index, run, out)
+
+    parts = passes(items, window, item_id, item_text, max_part_bytes, one_pass)
+    found = functools.reduce(DataFrame.unionByName, parts)
     if len(parts) > 1:
         runs = F.array_sort(F.flatten(F.collect_list("spans")))
         join = lambda acc, s: F.when((F.size(acc) > 0) & (s["start"] <= F.element_at(acc, -1)["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(s["end"], F.element_at(acc, -1)["end"]).alias("end"))))).otherwise(F.array_append(acc, s))
@@ -242,10 +264,9 @@ def matches(index: DataFrame, items: DataFrame, slop: int | None, item_id: str =
     """Matches (doc, item, start, n_words); slop None: exact phrases."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
     out = K.schema(doc=kind, item="string", start="bigint", n_words="bigint")
-    found = None
-    for part in parts_of(items, window, item_id, item_text, max_part_bytes):
 
-        def run(batch: pa.RecordBatch, part=part):
+    def one_pass(part: Broadcast, _: DataFrame | None) -> DataFrame:
+        def run(batch: pa.RecordBatch):
             own: Items = part.value
             for row in rows_of(batch):
                 base, shard = segment(row, own)
@@ -254,9 +275,9 @@ def matches(index: DataFrame, items: DataFrame, slop: int | None, item_id: str =
                     d, i, s, n = zip(*rows, strict=True)
                     yield [row["ids"].take(pa.array(d)), pa.array(i, pa.string()), pa.array(s, pa.int64()), pa.array(n, pa.int64())]
 
-        one = K.map_arrow(index, run, out)
-        found = one if found is None else found.unionByName(one)
-    return found
+        return K.map_arrow(index, run, out)
+
+    return functools.reduce(DataFrame.unionByName, passes(items, window, item_id, item_text, max_part_bytes, one_pass))
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, **options) -> DataFrame:
@@ -269,7 +290,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, slop: int = 2, **optio
 
 def hits(shard: Shard, base: np.ndarray, own: Items, slop: int | None = None):
     """(document, items, start word, words) of each occurrence of a window in a shard."""
-    for n, windows, items_of in own.windows:
+    for n, windows, bounds, items_of in own.windows:
         if slop is None:
             owner, at = shard.phrases(windows)
             ends = at + n
@@ -278,7 +299,7 @@ def hits(shard: Shard, base: np.ndarray, own: Items, slop: int | None = None):
             ends = last + 1
         doc = np.searchsorted(base, at, "right") - 1
         for w, d, s, e in zip(owner.tolist(), doc.tolist(), at.tolist(), ends.tolist(), strict=True):
-            yield d, items_of[w], s - int(base[d]), e - s
+            yield d, items_of[bounds[w] : bounds[w + 1]].tolist(), s - int(base[d]), e - s
 
 
 # In flight ----------------------------------------------------------------------------------------------------
@@ -288,15 +309,15 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """`docs` with a struct column `into`: n_words, n_hit, items (array of ids, sorted), spans (hit runs as start and end). All other columns pass through."""
     state = "struct<n_words:bigint,items:array<string>,spans:array<struct<start:bigint,end:bigint>>>"
     docs = docs.withColumn(into, F.lit(None).cast(state))
-    for part in parts_of(items, window, item_id, item_text, max_part_bytes):
 
-        def run(batch: pa.RecordBatch, part=part):
+    def one_pass(part: Broadcast, before: DataFrame | None) -> DataFrame:
+        def run(batch: pa.RecordBatch):
             own: Items = part.value
             text, old = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.num_columns - 1)
             for a, b, base, shard in shards(text, own):
-                before = old.slice(a, b - a).to_pylist()
-                items_of: list[set] = [set((x or {}).get("items") or ()) for x in before]
-                spans_of: list[list] = [[(s["start"], s["end"]) for s in (x or {}).get("spans") or ()] for x in before]
+                earlier = old.slice(a, b - a).to_pylist()
+                items_of: list[set] = [set((x or {}).get("items") or ()) for x in earlier]
+                spans_of: list[list] = [[(s["start"], s["end"]) for s in (x or {}).get("spans") or ()] for x in earlier]
                 for d, its, s, n in hits(shard, base, own):
                     items_of[d].update(own.ids[i] for i in its)
                     spans_of[d].append((s, s + n))
@@ -304,8 +325,10 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                 now = [{"n_words": int(n), "items": sorted(i, key=lambda x: x.encode()), "spans": [{"start": x, "end": y} for x, y in merged(s)]} for n, i, s in zip(n_words, items_of, spans_of, strict=True)]
                 yield [*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(now, old.type)]
 
-        docs = K.map_arrow(docs, run, docs.schema)
-    return docs
+        rows = docs if before is None else before
+        return K.map_arrow(rows, run, rows.schema)
+
+    return passes(items, window, item_id, item_text, max_part_bytes, one_pass)[-1]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -322,7 +345,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, path: str | None = None, id
     """Per document: id, n_words, n_hit, n_items, items, spans, contaminated. The index is written to `path` (a new one in the shared folder) and read from there."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "positional-index")
-    build_index(docs, id_col, text_col).write.parquet(path)
+    build_index(docs, id_col, text_col).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     rows = document_hits(spark.read.parquet(path), items, **options)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return rows.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """`docs` without the rows that a window of an item occurs in, told by the stored index. Its columns and only these."""
+    rows, mark = K.marked(docs)
+    found = decontaminate(rows, items, id_col=mark, text_col=text_col, **options).where("contaminated")
+    (hit,) = K.fresh(rows.columns, "__hit")
+    return rows.join(found.select(F.col(mark).alias(hit)).distinct(), F.col(mark) == F.col(hit), "left_anti").drop(mark)

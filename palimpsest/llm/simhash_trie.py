@@ -302,12 +302,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def marked(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` with a column, under a name that it lacks, that tells rows apart: a hash of all columns."""
-    (mark,) = K.fresh(docs.columns, "__mark")
-    return docs.withColumn(mark, F.xxhash64(*[F.col(f.name).cast("string") for f in docs.schema])), mark
-
-
 def keep(docs: DataFrame, mark: str, id_col: str, judged: DataFrame) -> DataFrame:
     """Rows of the marked `docs` that stay, without the mark. `judged`: __id, __head (a row's mark), stays, and n, how many rows are alike in all columns: of these one stays.
 
@@ -325,7 +319,7 @@ def keep(docs: DataFrame, mark: str, id_col: str, judged: DataFrame) -> DataFram
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of_shingle: int = 3, seed: int = SEED, budget: int = BUDGET, split_above: int = SPLIT_ABOVE) -> DataFrame:
     """`docs` with one document of each component: that with the least id (nulls last), of several rows with that id the one with
     the least hash of its columns. Its columns and only these."""
-    rows_, mark = marked(docs)
+    rows_, mark = K.marked(docs)
     rows = _classes(rows_, id_col, text_col, words_of_shingle, seed, budget, split_above, [mark])
     row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(mark).alias("mark"))
     heads = rows.groupBy("root").agg(F.min(row).alias("stays"))

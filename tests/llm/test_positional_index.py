@@ -85,3 +85,31 @@ def test_empty_tables(spark):
     assert P.decontaminate(frame(spark, []), it).count() == 0
     none = P.decontaminate(frame(spark), it.where("false")).collect()
     assert len(none) == len(documents()) and not any(r["contaminated"] for r in none)
+
+
+def test_proximity_by_brute_force(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    texts = ["a b x b x c", "a x x x b c", "a a b b c c"] + [" ".join(rng.choices("abcx", k=12)) for _ in range(40)]
+    docs = frame(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])
+    phrases = ["a b c", "a a b", "c b"]
+    it = spark.createDataFrame(list(enumerate(phrases)), "item_id long, text string")
+    for slop in (0, 1, 2):
+        want = {}
+        for (d, t), (i, p) in itertools.product(enumerate(texts), enumerate(phrases)):
+            w, p = t.split(), p.split()
+            for at in itertools.combinations(range(len(w)), len(p)):
+                if [w[k] for k in at] == p and all(y - x <= slop + 1 for x, y in itertools.pairwise(at)):
+                    n = at[-1] - at[0] + 1
+                    want[d, str(i), at[0]] = min(n, want.get((d, str(i), at[0]), n))
+        got = P.proximity_matches(P.build_index(docs), it, slop=slop).collect()
+        assert {(r["doc"], r["item"], r["start"]): r["n_words"] for r in got} == want and len(got) == len(want)
+
+
+def test_clean_keeps_rows_and_columns(spark):
+    docs, it = frame(spark, clash=True), spark.createDataFrame(items(), "item_id long, text string")
+    kept = P.clean(docs, it)
+    assert kept.dtypes == docs.dtypes
+    assert Counter((r[0], r[1]) for r in kept.select("doc_id", "text").collect()) == Counter((r[0], r[1]) for r in documents() if not brute(r[1], items())[1])
