@@ -33,8 +33,9 @@ from palimpsest.runtime import cut, shared_path
 
 WINDOW = 10
 MAX_PART_BYTES = 8 << 20
-#: Segments are large rows: row groups of a few of them keep writers and readers small.
-ROW_GROUP_BYTES = 8 << 20
+SEGMENT_BYTES = 1 << 20
+#: Segments are large rows, and Parquet looks at the size of a row group only every hundred rows: groups of a few keep writers and readers small.
+ROW_GROUP_ROWS = 8
 #: Between two documents of a shard, so that no phrase or proximity runs from one to the next.
 GAP = 1 << 12
 
@@ -186,7 +187,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = K.schema(ids=f"array<{docs.schema[id_col].dataType.simpleString()}>", **SEGMENT)
 
     def run(batch: pa.RecordBatch):
-        for a, b, data, offsets in K.text_blocks(batch.column(1)):
+        for a, b, data, offsets in K.text_blocks(batch.column(1), SEGMENT_BYTES):
             data = K.LOWER[data]
             starts, ends, first = K.spans(data, offsets, K.ALNUM)
             hashes = K.span_hashes(data, starts, ends)
@@ -345,7 +346,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, path: str | None = None, id
     """Per document: id, n_words, n_hit, n_items, items, spans, contaminated. The index is written to `path` (a new one in the shared folder) and read from there."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "positional-index")
-    build_index(docs, id_col, text_col).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    build_index(docs, id_col, text_col).write.option("parquet.block.row.count.limit", ROW_GROUP_ROWS).parquet(path)
     rows = document_hits(spark.read.parquet(path), items, **options)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return rows.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (n_hit > 0).alias("contaminated"))
