@@ -30,6 +30,16 @@ def clamp01(c: Column, default: float = 0.5) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c.try_cast("double"), F.lit(default))))
 
 
+def mean_of_known(parts: Column) -> Column:
+    """The mean of an array's values that aren't null, to 4 digits; null if there are none."""
+    known = F.filter(parts, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.round(F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known), 4))
+
+
+def hex_of(c: Column) -> Column:
+    return F.lower(F.hex(c))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -66,12 +76,12 @@ def id_millis(c: Column) -> Column:
 
 def next_due(kind: Column, after: Column, last_fired: Column, minutes: Column, hhmm: Column, weekdays: Column, month_day: Column) -> Column:
     """When a job with a cadence is next due after `after`. weekdays: array of 0 (Monday) to 6. month_day: 1 to 28."""
-    midnight = F.date_trunc("day", after)
+    midnight = F.date_trunc("day", after).cast("timestamp_ntz")
     clock = F.make_dt_interval(F.lit(0), F.substring(hhmm, 1, 2).cast("int"), F.substring(hhmm, 4, 2).cast("int"), F.lit(0))
     days = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: midnight + F.make_dt_interval(k, F.lit(0), F.lit(0), F.lit(0)) + clock)
     ahead = F.filter(days, lambda d: d > after)
     weekly = F.filter(ahead, lambda d: F.array_contains(weekdays, F.weekday(d)))
-    month = F.date_trunc("month", after)
+    month = F.date_trunc("month", after).cast("timestamp_ntz")
     this = month + F.make_dt_interval(month_day - 1, F.lit(0), F.lit(0), F.lit(0)) + clock
     following = F.add_months(month.cast("date"), 1).cast("timestamp_ntz") + F.make_dt_interval(month_day - 1, F.lit(0), F.lit(0), F.lit(0)) + clock
     every = F.make_dt_interval(F.lit(0), F.lit(0), F.greatest(minutes, F.lit(5)), F.lit(0))
@@ -81,3 +91,15 @@ def next_due(kind: Column, after: Column, last_fired: Column, minutes: Column, h
         .when(kind == "weekly", F.try_element_at(weekly, F.lit(1)))
         .when(kind == "monthly", F.when(this > after, this).otherwise(following))
     )
+
+
+def cadence_error(kind: Column, hhmm: Column, weekdays: Column, month_day: Column) -> Column:
+    """What is wrong with a job's cadence, or null."""
+    bad_time = ~F.coalesce(hhmm.rlike(r"^([01]?\d|2[0-3]):[0-5]?\d$"), F.lit(False))
+    bad_days = (F.coalesce(F.size(weekdays), F.lit(0)) <= 0) | F.exists(F.coalesce(weekdays, F.array()), lambda x: (x < 0) | (x > 6))
+    return (
+        F.when(~kind.isin("every", "daily", "weekly", "monthly"), "unknown_cadence")
+        .when((kind == "weekly") & bad_days, "bad_weekdays")
+        .when((kind == "monthly") & ~month_day.between(1, 28), "bad_day")
+        .when((kind != "every") & bad_time, "bad_time")
+    )

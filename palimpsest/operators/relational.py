@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.runtime import cut
+
 
 def keep_first(df: DataFrame, key: list, order: list) -> DataFrame:
     """One row per key, the first in the order."""
@@ -57,33 +62,92 @@ def gap_sessions(df: DataFrame, key: list[str], at: str, gap: str, order: list |
     return df.withColumn("__new", new).withColumn("session", F.sum("__new").over(w).cast("long")).drop("__new")
 
 
+def ranged(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """`df` dealt over ranges of key and order, with the range's number: a key of any number of rows is several ranges. Written, so that the ranges stay as they are."""
+    return cut(df.repartitionByRange(*key, *order).withColumn("__range", F.spark_partition_id().cast("long")))
+
+
+def numbered(df: DataFrame, key: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """Adds each row's place in its key, from 1. Ranges are numbered one by one, and add what stands before them."""
+    rows = ranged(df, key, order)
+    names = [*key, "__range"]
+    sizes = rows.groupBy(*names).agg(F.count("*").alias("__size"))
+    ahead = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(k).alias(f"__of_{k}") for k in names], F.coalesce(F.sum("__size").over(ahead), F.lit(0)).alias("__before"))
+    joined = rows.join(before, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in names]).drop(*[f"__of_{k}" for k in names])
+    return joined.withColumn(name, F.col("__before") + F.row_number().over(Window.partitionBy(*names).orderBy(*order))).drop("__before", "__range")
+
+
+def previous(df: DataFrame, key: list[str], order: list[str], column: str, name: str) -> DataFrame:
+    """Adds, under `name`, the column's value in the row before of the same key. Ranges are looked at one by one, and the first row of each takes the last value of the one before."""
+    rows = ranged(df, key, order)
+    last = rows.groupBy(*key, "__range").agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(*order)).alias("__last"))
+    names = [*key, "__range"]
+    carry = last.select(*[F.col(k).alias(f"__of_{k}") for k in names], F.lag("__last").over(Window.partitionBy(*key).orderBy("__range")).alias("__carry"))
+    joined = rows.join(carry, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in names], "left").drop(*[f"__of_{k}" for k in names])
+    w = Window.partitionBy(*names).orderBy(*order)
+    before = F.coalesce(F.lag(F.struct(F.col(column).alias("v"))).over(w), F.col("__carry"))
+    return joined.withColumn(name, before["v"]).drop("__carry", "__range")
+
+
 def segments(df: DataFrame, key: list[str], order: str, shift: Column, least: int = 3) -> DataFrame:
     """key, order, segment: a boundary where `shift` is true and the running segment has `least` members already.
 
-    That depends on the length so far, so each key's flags are folded in order; a key's rows are its group."""
-    rows = df.select(*key, F.col(order).alias("__o"), F.coalesce(shift, F.lit(False)).alias("__s"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("seg"), F.array().cast("array<bigint>").alias("out"))
+    That depends on the length so far, of which only whether it has reached `least` counts. So each range of a key says for each such length what it makes of it; these are
+    put together range after range, and then each range is walked once more from where it really starts."""
+    rows = ranged(df.select(*key, order, F.coalesce(shift, F.lit(False)).alias("__s")), key, [order])
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    keys = ", ".join(f"{k} {kinds[k]}" for k in key)
+
+    def walk(flags: list[bool], n: int) -> tuple[list[int], int]:
+        seg, out = 0, []
+        for s in flags:
+            n, seg = (1, seg + 1) if s and n >= least else (min(n + 1, least), seg)
+            out.append(seg)
+        return out, n
+
+    def maps(group: pa.Table) -> pa.Table:
+        flags = group.sort_by(order)["__s"].to_pylist()
+        ends = [walk(flags, n) for n in range(least + 1)]
+        first = group.slice(0, 1).select([*key, "__range"])
+        return first.append_column("to", pa.array([[n for _, n in ends]], pa.list_(pa.int64()))).append_column("more", pa.array([[out[-1] for out, _ in ends]], pa.list_(pa.int64())))
+
+    def chain(group: pa.Table) -> pa.Table:
+        group = group.sort_by("__range")
+        n, seg, starts, before = 0, 0, [], []
+        for to, more in zip(group["to"].to_pylist(), group["more"].to_pylist(), strict=True):
+            starts.append(n)
+            before.append(seg)
+            n, seg = to[n], seg + more[n]
+        return group.select([*key, "__range"]).append_column("n", pa.array(starts, pa.int64())).append_column("seg", pa.array(before, pa.int64()))
+
+    def number(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        out, _ = walk(group["__s"].to_pylist(), group["n"][0].as_py())
+        return group.select([*key, order]).append_column("segment", pa.array([x + group["seg"][0].as_py() for x in out], pa.int64()))
+
+    of_ranges = rows.groupBy(*key, "__range").applyInArrow(maps, f"{keys}, __range bigint, to array<bigint>, more array<bigint>")
+    starts = of_ranges.groupBy(*key).applyInArrow(chain, f"{keys}, __range bigint, n bigint, seg bigint")
+    return rows.join(starts, [*key, "__range"]).groupBy(*key, "__range").applyInArrow(number, f"{keys}, {order} {kinds[order]}, segment bigint")
+
 
-    def step(acc: Column, x: Column) -> Column:
-        cut = x["__s"] & (acc["n"] >= least)
-        seg = acc["seg"] + cut.cast("long")
-        return F.struct(F.when(cut, 1).otherwise(acc["n"] + 1).cast("long").alias("n"), seg.alias("seg"), F.array_append(acc["out"], seg).alias("out"))
+def hash_chain(df: DataFrame, key: list[str], order: str, body: Column) -> DataFrame:
+    """key, order, prev_hash, entry_hash: entry_hash = SHA-256(previous hash, SHA-256 of the body), in hex; the first previous hash is 64 zeros.
 
-    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__o", "__s"))).alias("__l"))
-    out = lists.withColumn("__seg", F.aggregate("__l", start, step)["out"])
-    zipped = F.explode(F.arrays_zip(F.col("__l").getField("__o").alias("o"), F.col("__seg").alias("s")))
-    return out.select(*key, zipped.alias("z")).select(*key, F.col("z.o").alias(order), F.col("z.s").alias("segment"))
+    A chain is one after the other by what it is, so a key is one group: of a run or a conversation, of which only the hashes of the bodies are held."""
+    rows = df.select(*key, order, F.sha2(body.cast("binary"), 256).alias("__b"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
+    def link(group: pa.Table) -> pa.Table:
+        group = group.sort_by(order)
+        last, before, entries = "0" * 64, [], []
+        for b in group["__b"].to_pylist():
+            before.append(last)
+            last = hashlib.sha256((last + b).encode()).hexdigest()
+            entries.append(last)
+        return group.select([*key, order]).append_column("prev_hash", pa.array(before)).append_column("entry_hash", pa.array(entries))
 
-def hash_chain(df: DataFrame, key: list[str], order: str, body: Column) -> DataFrame:
-    """key, order, prev_hash, entry_hash: entry_hash = SHA-256(previous hash, SHA-256 of the body), in hex; the first previous hash is 64 zeros."""
-    zero = F.lit("0" * 64)
-    rows = df.select(*key, F.col(order).alias("__o"), F.sha2(body.cast("binary"), 256).alias("__b"))
-    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("__o", "__b"))).alias("__l"))
-    hashes = F.aggregate("__l", F.array(zero), lambda acc, x: F.array_append(acc, F.sha2(F.concat(F.element_at(acc, -1), x["__b"]).cast("binary"), 256)))
-    out = lists.withColumn("__h", hashes)
-    item = F.explode(F.transform(F.col("__l"), lambda x, k: F.struct(x["__o"].alias("o"), F.get(F.col("__h"), k).alias("p"), F.get(F.col("__h"), k + 1).alias("e"))))
-    return out.select(*key, item.alias("i")).select(*key, F.col("i.o").alias(order), F.col("i.p").alias("prev_hash"), F.col("i.e").alias("entry_hash"))
+    return rows.groupBy(*key).applyInArrow(link, ", ".join(f"{c} {kinds[c]}" for c in (*key, order)) + ", prev_hash string, entry_hash string")
 
 
 def first_break(chain: DataFrame, key: list[str], order: str, body: Column) -> DataFrame:
@@ -104,3 +168,58 @@ def run_lengths(df: DataFrame, key: list[str], order: list, flag: Column) -> Dat
 
 def nulls_last_desc(*columns: str) -> list[Column]:
     return [F.desc_nulls_last(c) for c in columns]
+
+
+def with_defaults(own: DataFrame, preset: DataFrame, key: list[str], value: str = "value") -> DataFrame:
+    """key, value, origin: what is set, else the default; keys that have none are free."""
+    a, b = own.select(*key, F.col(value).alias("__own")), preset.select(*key, F.col(value).alias("__preset"))
+    origin = F.when(F.col("__preset").isNull(), "free").when(F.col("__own").isNull(), "default").otherwise("set")
+    return a.join(b, key, "full").select(*key, F.coalesce("__own", "__preset").alias(value), origin.alias("origin"))
+
+
+def not_in(df: DataFrame, column: str, others: DataFrame) -> DataFrame:
+    """SQL's NOT IN (others has one column): nothing is left if any other is null, and rows of null only if there are none."""
+    (name,) = others.columns
+    nulls, some = others.where(F.col(name).isNull()), others.where(F.col(name).isNotNull())
+    left = df.join(some.select(F.col(name).alias("__other")).distinct(), F.col(column) == F.col("__other"), "left_anti")
+    if not nulls.isEmpty():
+        return left.where(F.lit(False))
+    return left if some.isEmpty() else left.where(F.col(column).isNotNull())
+
+
+def latest_with_ties(df: DataFrame, key: list[str], at: str) -> DataFrame:
+    """All rows of each key that have its greatest value. One value per key is found first, so that a key's rows need no order."""
+    last = df.groupBy(*key).agg(F.max(at).alias("__last"))
+    return df.join(last, key).where(F.col(at) == F.col("__last")).drop("__last")
+
+
+def tagged_union(frames: dict[str, DataFrame], tag: str = "kind") -> DataFrame:
+    """The rows of several frames of equal columns, each with the name of its own."""
+    rows = None
+    for name, df in frames.items():
+        one = df.select(F.lit(name).alias(tag), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def capped(asked: int | None, most: int) -> int:
+    """A limit between 1 and what is allowed."""
+    return max(1, min(most if asked is None else asked, most))
+
+
+def matching_first(df: DataFrame, column: str, needle: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows, those that contain the needle before all others, with their place. The n are found by partial top-n before they are numbered."""
+    best = df.withColumn("__hit", F.col(column).ilike(f"%{needle}%")).orderBy(F.desc("__hit"), *order).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__hit"), *order)).cast("long")).drop("__hit")
+
+
+def next_version(names: DataFrame, versions: DataFrame, name: str, version: str) -> DataFrame:
+    """name, next_version: one more than the greatest there is."""
+    return names.join(versions.groupBy(name).agg(F.max(version).alias("__v")), name, "left").select(name, (F.coalesce("__v", F.lit(0)) + 1).alias("next_version"))
+
+
+def children(parents: DataFrame, rows: DataFrame, parent: str, child: str, id_col: str = "id") -> DataFrame:
+    """Parents with an array of their children, in order; an empty one if they have none."""
+    lists = rows.groupBy(F.col(parent).alias("__p")).agg(F.array_sort(F.collect_list(child)).alias("children"))
+    out = parents.join(lists, F.col(id_col) == F.col("__p"), "left").drop("__p")
+    return out.withColumn("children", F.coalesce("children", F.array().cast(lists.schema["children"].dataType)))

@@ -10,6 +10,7 @@ from palimpsest.functions import scalars as S
 from palimpsest.functions import text as X
 from palimpsest.operators import decisions as D
 from palimpsest.operators import relational as R
+from palimpsest.operators import words as O
 from palimpsest.plans.registry import query
 from palimpsest.runtime import read_table
 from palimpsest.sources import roles
@@ -46,25 +47,17 @@ _TOP = """w AS (SELECT id, scope, created_at, unnest(string_split_regex(lower(co
 c AS (SELECT id, word, count(*) AS n, min(pos) AS pos FROM w WHERE length(word) >= 3 AND word NOT IN ({stop}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, pos) AS rank FROM c)"""
 
 
-def _top_words(eps, stop, n=5):
-    """id, word, rank by grouping, not by a pass over each text for every word."""
-    words = eps.select("id", F.posexplode(X.tokens(F.col("content"))).alias("at", "word")).where((F.length("word") >= 3) & ~F.col("word").isin(*stop))
-    counted = words.groupBy("id", "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    return R.top_per_key(counted, ["id"], [F.desc("n"), F.asc("at")], n)
-
-
 @query(f"WITH {EPISODES}, {_TOP.format(stop=_in(L.CHAPTER_STOP_WORDS))} SELECT id, word, n, rank FROM r WHERE rank <= 5")
 def doc_keywords(spark, d):
-    return _top_words(roles.episodes(spark, d), L.CHAPTER_STOP_WORDS).select("id", "word", "n", "rank")
+    return O.word_counts(roles.episodes(spark, d), "id", "content", 3, L.CHAPTER_STOP_WORDS, 5).select("id", "word", "n", "rank")
 
 
 def _similarity_to_previous(spark, d, stop):
     """Episodes with the similarity of their top words to those of the episode before in their scope."""
     eps = roles.episodes(spark, d)
-    sets = _top_words(eps, stop).groupBy("id").agg(F.collect_set("word").alias("top"))
-    rows = eps.select("id", "scope", "created_at", "content").join(sets, "id", "left").withColumn("top", F.coalesce("top", F.array().cast("array<string>")))
-    w = Window.partitionBy("scope").orderBy("created_at", "id")
-    return rows.withColumn("before", F.lag("top").over(w)).withColumn("similarity", F.when(F.col("before").isNotNull(), X.jaccard(F.col("top"), F.col("before"))))
+    tops = O.top_word_lists(eps, "id", "content", 5, 3, stop).withColumnRenamed("words", "top")
+    rows = R.previous(eps.select("id", "scope", "created_at").join(tops, "id"), ["scope"], ["created_at", "id"], "top", "before")
+    return rows.withColumn("similarity", F.when(F.col("before").isNotNull(), X.jaccard(F.col("top"), F.col("before"))))
 
 
 _PREV = """s AS (SELECT id, list(word) FILTER (WHERE rank <= 5) AS top FROM r GROUP BY 1), e AS (SELECT episodes.id, scope, created_at, coalesce(top, []) AS top FROM episodes LEFT JOIN s ON s.id = episodes.id),
@@ -89,12 +82,13 @@ def topic_segments(spark, d):
     return R.segments(rows, ["scope"], "id", F.col("similarity") < 0.3).select("id", "scope", "segment")
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS category, count(*) FILTER (WHERE {_contains_any('text', w)} AND doc_id < 500) AS first_half, count(*) FILTER (WHERE {_contains_any('text', w)} AND doc_id >= 500) AS second_half, round(count(*) FILTER (WHERE {_contains_any('text', w)}) / count(*) * 100, 1) AS percentage FROM documents" for k, w in L.CATEGORY_KEYWORDS.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS category, count(*) FILTER (WHERE {_contains_any('text', w)} AND doc_id < (SELECT max(doc_id) + 1 FROM documents) / 2) AS first_half, count(*) FILTER (WHERE {_contains_any('text', w)} AND doc_id >= (SELECT max(doc_id) + 1 FROM documents) / 2) AS second_half, round(count(*) FILTER (WHERE {_contains_any('text', w)}) / count(*) * 100, 1) AS percentage FROM documents" for k, w in L.CATEGORY_KEYWORDS.items()))
 def category_allocation(spark, d):
     docs = read_table(spark, d, "documents")
     tags = F.explode(F.array(*[F.struct(F.lit(k).alias("category"), X.has_any(F.col("text"), w).alias("hit")) for k, w in L.CATEGORY_KEYWORDS.items()]))
     rows = docs.select("doc_id", tags.alias("t")).select("doc_id", "t.*")
-    return rows.groupBy("category").agg(F.count_if(F.col("hit") & (F.col("doc_id") < 500)).alias("first_half"), F.count_if(F.col("hit") & (F.col("doc_id") >= 500)).alias("second_half"), F.round(F.count_if("hit") / F.count("*") * 100, 1).alias("percentage"))
+    half = (docs.agg(F.max("doc_id")).first()[0] or 0) / 2 + 0.5
+    return rows.groupBy("category").agg(F.count_if(F.col("hit") & (F.col("doc_id") < half)).alias("first_half"), F.count_if(F.col("hit") & (F.col("doc_id") >= half)).alias("second_half"), F.round(F.count_if("hit") / F.count("*") * 100, 1).alias("percentage"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS signal, count(*) FILTER (WHERE {_contains_any('text', w)}) AS mentions, count(*) FILTER (WHERE {_contains_any('text', w)}) > 0 AS active FROM conversations" for k, w in L.HEALTH_KEYWORDS.items()))

@@ -30,13 +30,13 @@ def test_keys_and_prefixes(spark):
     assert of(spark, X.source_system, "brain:a:b") == "brain" and of(spark, X.source_system, None) == "unknown" and of(spark, X.source_system, ":x") == "unknown"
     assert of(spark, X.nested_prefix, "mind:notes/a/b.md") == "notes"
     assert of(spark, X.scope_level, "user:u1") == "user" and of(spark, X.scope_level, "u1") == "user" and of(spark, X.scope_ident, "ws:a:b") == "a:b"
-    assert of(spark, X.predicate_name, " Has Full-Name ") == "name" and of(spark, X.predicate_name, "is_happy") == "happy"
+    assert of(spark, lambda c: X.predicate_name(c, {"full_name": "name"}), " Has Full-Name ") == "name" and of(spark, X.predicate_name, "is_happy") == "happy"
     assert of(spark, X.entity_label, " tool ") == "Tool" and of(spark, X.entity_label, "gizmo") == "Other"
 
 
 @pytest.mark.parametrize("predicate,name", [("name", "identity"), ("works_on_x", "project"), ("has_friend", "relationship"), ("medical_note", "health"), ("tool_used", "skill"), ("colour", "fact")])
 def test_predicate_class(spark, predicate, name):
-    assert of(spark, X.predicate_class, predicate) == name
+    assert of(spark, lambda c: X.predicate_class(c, ("name", "age")), predicate) == name
 
 
 @pytest.mark.parametrize("text,trivial", [("ok thanks", True), ("use Postgres for X", False), ("eleven char", True), ("twelve chars", False), ("Sounds good, thank you!!", True), (None, True), ("yes please do that thing", False)])
