@@ -8,36 +8,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import lexicon as L
 from palimpsest.functions import text as X
-from palimpsest.operators.relational import top_per_key
+from palimpsest.operators.graph import components
+from palimpsest.operators.relational import keep_first, numbered, top_per_key
+from palimpsest.runtime import cut
 
 
-def similarity_classes(rows: DataFrame, tau: float = 0.92, newest: int = 2000, block: int = 256) -> DataFrame:
-    """id, class_id (least id connected within the scope), n_links (neighbours with cosine of at least tau).
+def _alike(rows: DataFrame, tau: float, out: T.StructType, judge, block: int) -> DataFrame:
+    """What `judge` makes of the likenesses of two blocks of a scope's rows: judge(ids, created, keys, i, j, cosines) for pairs i, j of places, each pair once.
 
-    Only the newest rows of a scope are compared: that window is the pass's own bound, so a scope's group has at most `newest` rows. Within it
-    blocks of rows meet all others as a matrix product."""
-    recent = top_per_key(rows, ["scope"], [F.desc("created"), F.asc("id")], newest)
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("class_id", T.LongType()), T.StructField("n_links", T.LongType())])
+    Scopes are dealt over blocks that meet in pairs, so no task has a scope; a pair of blocks is a matrix product."""
+    rows = rows.where("embedding is not null").select("scope", "id", "created", "key", F.col("embedding").cast("array<double>").alias("v"))
+    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "scope").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
 
-    def link(group):
-        ids = group["id"].to_numpy()
-        v = np.stack([np.asarray(x, np.float64) for x in group["embedding"].to_pylist()])
+    def meet(group: pa.Table) -> pa.Table:
+        group = group.sort_by("id")
+        v = np.stack([np.asarray(x, np.float64) for x in group["v"].to_pylist()])
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        order = np.argsort(ids)
-        ids, v = ids[order], v[order]
-        root, n = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-        for a in range(0, len(ids), block):
-            i, j = np.nonzero(v[a : a + block] @ v.T >= tau)
-            i, j = i[i + a != j] + a, j[i + a != j]
-            n += np.bincount(i, minlength=len(ids))
-            while not (root[i] == root[j]).all():
-                np.minimum.at(root, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
-                while not (root[root] == root).all():
-                    root = root[root]
-        return pa.table({"id": pa.array(ids), "class_id": pa.array(ids[root]), "n_links": pa.array(n)})
-
-    return recent.select("scope", "id", F.col("embedding").cast("array<double>").alias("embedding")).groupBy("scope").applyInArrow(link, schema)
+        mine, across = group["mine"].to_numpy(), group["a"][0].as_py() != group["b"][0].as_py()
+        cosine = v @ v.T
+        i, j = np.nonzero(np.triu(cosine >= tau, 1) & ((mine[:, None] != mine[None, :]) | (not across)))
+        return judge(group["id"], group["created"], group["key"], i, j, cosine[i, j])
+
+    return dealt.select("scope", "a", "b", "mine", "id", "created", "key", "v").groupBy("scope", "a", "b").applyInArrow(meet, out)
+
+
+def similarity_classes(rows: DataFrame, tau: float = 0.92, newest: int | None = None, block: int = 1024) -> DataFrame:
+    """id, class_id (least id connected within the scope), n_links (neighbours with cosine of at least tau): one row per row.
+
+    All rows of a scope are compared; if `newest` is given only so many of each scope, and the others stand for themselves."""
+    kind = rows.schema["id"].dataType
+    seen = rows if newest is None else top_per_key(rows, ["scope"], [F.desc("created"), F.asc("id")], newest)
+
+    def pairs(ids, created, keys, i, j, cosine) -> pa.Table:
+        return pa.table({"src": ids.take(pa.array(i)), "dst": ids.take(pa.array(j))})
+
+    links = cut(_alike(seen.withColumn("key", F.lit(None).cast("string")), tau, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]), pairs, block))
+    n = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    classes = components(links).select(F.col("node").alias("id"), F.col("component").alias("class_id"))
+    return rows.select("id").join(classes, "id", "left").join(n, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def duplicates(rows: DataFrame, tau: float = 0.92, auto: float = 0.985, block: int = 1024) -> DataFrame:
+    """id, superseded_by: rows that a newer one of their scope repeats, with the newest that does. rows: scope, id, created, key, embedding.
+
+    From `auto` on likeness is enough, from `tau` on keys (as a confirming score, an equal statement) must agree. Of equal age the greater id is the newer one."""
+    kind = rows.schema["id"].dataType
+    out = T.StructType([T.StructField("id", kind), T.StructField("by", kind), T.StructField("by_created", rows.schema["created"].dataType)])
+
+    def newest(ids, created, keys, i, j, cosine) -> pa.Table:
+        said = keys.to_pylist()
+        good = (cosine >= auto) | np.array([said[x] is not None and said[x] == said[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = i[good], j[good]
+        made, names = created.to_pylist(), ids.to_pylist()
+        best: dict[int, int] = {}
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            old, new = sorted((x, y), key=lambda p: (made[p], names[p]))
+            if old not in best or (made[best[old]], names[best[old]]) < (made[new], names[new]):
+                best[old] = new
+        old, new = pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())
+        return pa.table({"id": ids.take(old), "by": ids.take(new), "by_created": created.take(new)})
+
+    found = _alike(rows, tau, out, newest, block)
+    return found.groupBy("id").agg(F.max(F.struct("by_created", "by")).alias("m")).select("id", F.col("m.by").alias("superseded_by"))
 
 
 def promote(memories: DataFrame, t: Column, at_most: int = 100) -> DataFrame:
@@ -49,17 +85,80 @@ def promote(memories: DataFrame, t: Column, at_most: int = 100) -> DataFrame:
     return rows.withColumn("tier", F.when(up, "semantic").otherwise(F.col("tier"))).withColumn("episode", F.when(up, F.concat(F.lit("working:"), F.col("id").cast("string")))).withColumn("updated_at", F.when(up, t)).drop("__id", "__up")
 
 
-def recombine(memories: DataFrame, cap: int = 20, recent: int = 100) -> DataFrame:
-    """Conjectures from pairs of the newest canonical statements whose word overlap lies between 0.2 and 0.7: id1, id2, overlap, text.
-
-    The pass looks at the newest `recent` rows only, which bounds its pairs."""
-    rows = memories.where("status = 'canonical' and valid_to is null").orderBy(F.desc("created_at"), "id").limit(recent)
-    words = rows.select("id", X.word_set(F.col("statement"), 3).alias("w")).where(F.size("w") >= 3)
-    terms = words.select("id", "w", F.explode("w").alias("t"))
-    pairs = terms.alias("a").join(terms.alias("b"), F.expr("a.t = b.t and a.id < b.id")).select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2"), F.col("a.w").alias("w1"), F.col("b.w").alias("w2")).distinct()
-    scored = pairs.withColumn("overlap", X.overlap_of_least(F.col("w1"), F.col("w2"))).where("overlap >= 0.2 and overlap <= 0.7")
+def recombine(memories: DataFrame, cap: int = 20, least: float = 0.2, most: float = 0.7) -> DataFrame:
+    """Conjectures from pairs of current canonical statements of a scope whose word overlap lies between the two: id1, id2, overlap, text; the `cap` of the greatest overlap.
+
+    Pairs meet by shared words. A word that very many statements have says little and would pair them all; but a statement of n words that shares at least
+    least * n of them with another shares one of its n - ceil(least * n) + 1 rarest, so the smaller one of a pair is looked up by these only."""
+    rows = memories.where("status = 'canonical' and valid_to is null")
+    words = rows.select("scope", "id", X.word_set(F.col("statement"), 3).alias("w")).where(F.size("w") >= 3)
+    terms = cut(words.select("scope", "id", "w", F.explode("w").alias("t")))
+    rank = F.row_number().over(Window.partitionBy("scope", "id").orderBy("df", "t"))
+    kept = F.size("w") - F.ceil(F.lit(least) * F.size("w") - 1e-9) + 1
+    rare = terms.join(terms.groupBy("scope", "t").agg(F.count("*").alias("df")), ["scope", "t"]).withColumn("r", rank).where(F.col("r") <= kept).select("scope", F.col("id").alias("i"), F.col("w").alias("w1"), "t")
+    met = rare.join(terms.withColumnRenamed("w", "w2"), ["scope", "t"]).where((F.col("i") != F.col("id")) & (F.size("w1") <= F.size("w2")))
+    pairs = met.select(F.least("i", "id").alias("id1"), F.greatest("i", "id").alias("id2"), "w1", "w2").dropDuplicates(["id1", "id2"])
+    scored = pairs.withColumn("overlap", F.round(X.overlap_of_least(F.col("w1"), F.col("w2")), 6)).where(F.col("overlap").between(least, most))
     shared = F.array_join(F.slice(F.array_sort(F.array_intersect("w1", "w2")), 1, 5), ", ")
-    return scored.orderBy(F.desc("overlap"), "id1", "id2").limit(cap).select("id1", "id2", F.round("overlap", 6).alias("overlap"), F.concat(F.lit("These may be linked by: "), shared).alias("text"))
+    return scored.orderBy(F.desc("overlap"), "id1", "id2").limit(cap).select("id1", "id2", "overlap", F.concat(F.lit("These may be linked by: "), shared).alias("text"))
+
+
+def to_distil(episodes: DataFrame, memories: DataFrame, limit: int | None = None, batch: int = 6, skip: str = "jrnl:") -> tuple[DataFrame, DataFrame]:
+    """(episodes with their batch, markers): what is to be distilled into facts, the oldest first in batches, and what can't hold any.
+
+    Episodes that a memory comes from, and those whose source begins with `skip`, are done. Trivial turns get a marker: a retired working row that keeps them from being looked at again.
+    episodes: id, scope, content, source_ref, created_at."""
+    done = memories.select(F.col("source_episode_id").alias("__e"), F.col("scope").alias("__s")).distinct()
+    rows = episodes.where(X.lacks_prefix(F.col("source_ref"), skip)).join(done, (F.col("id") == F.col("__e")) & (F.col("scope") == F.col("__s")), "left_anti")
+    if limit is not None:
+        rows = top_per_key(rows, ["scope"], ["created_at", "id"], limit).drop("rank")
+    trivial = X.is_trivial_turn(F.col("content"))
+    markers = rows.where(trivial).select("id", "scope", F.concat(F.lit("_distilled:"), F.col("id").cast("string")).alias("statement_key"), F.lit("working").alias("tier"), F.lit("hypothesis").alias("status"))
+    kept = numbered(rows.where(~trivial), ["scope"], ["created_at", "id"], "n")
+    return kept.withColumn("batch", F.floor((F.col("n") - 1) / batch).cast("long")).drop("n"), markers
+
+
+def distil(episodes: DataFrame, facts: Column, most: int = 3, least_chars: int = 8, kinds: tuple[str, ...] = ("fact", "preference", "decision")) -> DataFrame:
+    """episode, kind, statement, statement_key: the facts of each episode, an array of (kind, statement), the first `most` of some length and a known kind; of equal keys of an episode the first."""
+    good = F.filter(facts, lambda f: f["kind"].isin(*kinds) & (F.length(F.trim(f["statement"])) >= least_chars))
+    rows = episodes.select(F.col("id").alias("episode"), "scope", F.posexplode(F.slice(good, 1, most)).alias("k", "f"))
+    rows = rows.select("episode", "scope", "k", "f.kind", "f.statement", X.statement_key(F.col("f.statement")).alias("statement_key"))
+    return keep_first(rows, ["episode", "statement_key"], ["k"]).drop("k")
+
+
+def run_passes(state: dict[str, DataFrame], passes: dict, mode: str = "fast") -> tuple[dict[str, DataFrame], list[str]]:
+    """All passes of a mode in their order, each from the state (frames by name) that the one before leaves; and which were run. A pass without a function is left out."""
+    done = []
+    for name in L.PASSES[mode]:
+        if name in passes:
+            state = {**state, **{k: cut(v) for k, v in passes[name](state).items()}}
+            done.append(name)
+    return state, done
+
+
+def promote_identity(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """scope, predicate, object, confidence: of what reflections suggest (scope, predicate, object, confidence, seq), the best per predicate, unless it is known already. Pieces of transcripts are left out; of equal confidence the first wins.
+
+    facts: scope, predicate, object, valid_to."""
+    good = candidates.where(F.col("predicate").isNotNull() & F.col("object").isNotNull()).where(~X.is_transcript(F.col("object")))
+    best = keep_first(good.withColumn("confidence", F.coalesce("confidence", F.lit(0.6))), ["scope", "predicate"], [F.desc("confidence"), F.asc("seq")])
+    known = facts.where("valid_to is null").select("scope", "predicate", "object").distinct()
+    return best.join(known, ["scope", "predicate", "object"], "left_anti").select("scope", "predicate", "object", "confidence")
+
+
+def apply_goal_deltas(goals: DataFrame, reports: DataFrame) -> DataFrame:
+    """Goals with what the latest report of their scope says of them: status, and progress 1 if it is completed. reports: scope, seq, deltas (array of goal_id, status)."""
+    last = keep_first(reports, ["scope"], [F.desc("seq")]).select("scope", F.explode("deltas").alias("d")).select("scope", F.col("d.goal_id").alias("id"), F.col("d.status").alias("__status"))
+    one = last.groupBy("scope", "id").agg(F.max("__status").alias("__status"))
+    rows = goals.join(one, ["scope", "id"], "left")
+    return rows.withColumn("progress", F.when(F.col("__status") == "completed", 1.0).otherwise(F.col("progress"))).withColumn("status", F.coalesce("__status", "status")).drop("__status")
+
+
+def mirror_principles(principles: DataFrame, memories: DataFrame) -> DataFrame:
+    """scope, statement of current principles that no current memory says; those that only count words are none."""
+    rows = principles.where("valid_to is null").where(F.length(F.trim("statement")) > 0).where(~X.is_counted_principle(F.col("statement")))
+    said = memories.where("valid_to is null").select("scope", "statement").distinct()
+    return rows.select("scope", "statement").distinct().join(said, ["scope", "statement"], "left_anti")
 
 
 def project_events(log: DataFrame, watermark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,3 +194,9 @@ def forget(memories: DataFrame, requests: DataFrame, approvals: DataFrame, now:
     out = memories.join(gone, (F.col("id") == F.col("__m")) & (F.col("scope") == F.col("__sc")), "left")
     hit = F.col("__m").isNotNull()
     return out.withColumn("statement", F.when(hit, "[redacted]").otherwise(F.col("statement"))).withColumn("statement_key", F.when(hit, F.lit(None)).otherwise(F.col("statement_key"))).withColumn("valid_to", F.when(hit, F.coalesce("valid_to", now)).otherwise(F.col("valid_to"))).drop("__m", "__sc"), judged
+
+
+def action_histogram(log: DataFrame) -> DataFrame:
+    """action, n, scopes: what a projection makes of the events of a log (scope, kind)."""
+    action = F.when(F.col("kind").isin("stored", "consolidated", "invalidated"), F.col("kind")).otherwise("noop")
+    return log.groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.countDistinct("scope").alias("scopes"))

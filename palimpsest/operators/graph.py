@@ -5,9 +5,14 @@ components loop over frames that are written each round; nothing of the graph co
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as X
+from palimpsest.functions.scalars import cosine
+from palimpsest.operators.relational import keep_first
+from palimpsest.operators.retrieval import knn
 from palimpsest.runtime import cut
 
 
@@ -41,7 +46,8 @@ def neighbours(edges: DataFrame, seeds: DataFrame, direction: str = "both") -> D
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = True, include_seeds: bool = False) -> DataFrame:
     """node, depth: what is reached from the seeds, with its least depth."""
     steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if directed else ends(edges).select(F.col("node").alias("a"), F.col("other").alias("b"))
-    steps = steps.distinct()
+    # Dealt by where they start once, for all hops.
+    steps = steps.distinct().repartition("a").persist(StorageLevel.DISK_ONLY)
     reached = seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
     frontier = reached
     for k in range(1, hops + 1):
@@ -101,21 +107,97 @@ def unordered(a: str = "src", b: str = "dst") -> list[Column]:
     return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
 
 
-def cooccurrence(members: DataFrame, group: str = "group", node: str = "node", at_most: int | None = None, block: int = 1024) -> DataFrame:
+def cooccurrence(members: DataFrame, group: str = "group", node: str = "node", block: int = 1024) -> DataFrame:
     """lo, hi, n: in how many groups two nodes are together. All pairs of all groups; members of a group above `block` are dealt over blocks
-    that meet in pairs, so no task has a group. Only if `at_most` is given, groups above it are kept as a star around their least node instead."""
-    sized = members.select(group, node).distinct()
-    sizes = sized.groupBy(group).agg(F.count("*").alias("__n"), F.min(node).alias("__hub"))
-    rows = sized.join(sizes, group)
-    small = rows if at_most is None else rows.where(F.col("__n") <= at_most)
-    blocks = F.ceil(F.col("__n") / block).cast("int")
-    dealt = small.select(F.col(group).alias("g"), F.col(node).alias("lo"), F.pmod(F.xxhash64(node), blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    other = dealt.select(F.col("g").alias("g2"), F.col("lo").alias("hi"), F.col("j").alias("i2"), F.col("i").alias("j2"))
-    pairs = dealt.join(other, (F.col("g") == F.col("g2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("lo") < F.col("hi"))).select("lo", "hi")
-    if at_most is not None:
-        stars = rows.where((F.col("__n") > at_most) & (F.col(node) != F.col("__hub"))).select(F.col("__hub").alias("lo"), F.col(node).alias("hi"))
-        pairs = pairs.union(stars)
-    return pairs.groupBy("lo", "hi").agg(F.count("*").alias("n"))
+    that meet in pairs, so no task has a group."""
+    pairs = _together(members, group, [F.col(node).alias("node")], "node", block)
+    return pairs.select(F.col("a.node").alias("lo"), F.col("b.node").alias("hi")).groupBy("lo", "hi").agg(F.count("*").alias("n"))
+
+
+def _together(members: DataFrame, group: str, columns: list[Column], node: str, block: int) -> DataFrame:
+    """Structs a and b of each pair a < b of a group's distinct members."""
+    rows = members.select(F.col(group).alias("g"), F.struct(*columns).alias("m")).withColumn("k", F.col("m")[node]).dropDuplicates(["g", "k"])
+    rows = rows.join(rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "g")
+    dealt = rows.select("g", "k", F.col("m").alias("a"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    other = dealt.select(F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("a").alias("b"), F.col("j").alias("i2"), F.col("i").alias("j2"))
+    return dealt.join(other, (F.col("g") == F.col("g2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("k") < F.col("k2"))).select("g", "a", "b")
+
+
+def densify(nodes: DataFrame, edges: DataFrame, strong: float = 0.70, together: float = 0.60, k: int = 5, block: int = 1024) -> DataFrame:
+    """lo, hi, rel_type, method, score: edges that a graph lacks. nodes: id, episode, embedding.
+
+    Nodes of one episode with a cosine of at least `together` co-occur; a node's k nearest with one of at least `strong` are related; what has no edge then, is tied to
+    its nearest. A pair has one edge, of co-occurrence first. That tie is by sets: two nodes without an edge may both be tied, where one after the other the first tie might have served both."""
+    have = edges.where("src <> dst").select(*unordered()).distinct()
+    vectors = nodes.where("embedding is not null")
+    near = cut(knn(vectors.select(F.col("id").alias("query"), "embedding"), vectors.select("id", "embedding"), k))
+    pairs = near.select(F.least("query", "id").alias("lo"), F.greatest("query", "id").alias("hi"), "score")
+    related = pairs.where(F.col("score") >= strong).groupBy("lo", "hi").agg(F.max("score").alias("score")).select("lo", "hi", "score", F.lit(2).alias("order"), F.lit("similarity").alias("method"))
+    both = _together(vectors.where("episode is not null"), "episode", [F.col("id"), F.col("embedding")], "id", block).withColumn("score", cosine(F.col("a.embedding"), F.col("b.embedding"))).where(F.col("score") >= together)
+    cooccur = both.groupBy(F.col("a.id").alias("lo"), F.col("b.id").alias("hi")).agg(F.max("score").alias("score")).select("lo", "hi", "score", F.lit(1).alias("order"), F.lit("cooccurrence").alias("method"))
+    found = cut(keep_first(cooccur.unionByName(related).join(have, ["lo", "hi"], "left_anti"), ["lo", "hi"], ["order"]))
+    joined = edges.select(F.explode(F.array("src", "dst")).alias("id")).union(found.select(F.explode(F.array("lo", "hi")))).distinct()
+    alone = near.where("rank = 1").join(joined, F.col("query") == joined["id"], "left_anti")
+    rescued = alone.select(F.least("query", "id").alias("lo"), F.greatest("query", "id").alias("hi"), "score").groupBy("lo", "hi").agg(F.max("score").alias("score")).withColumn("method", F.lit("orphan_rescue"))
+    out = found.drop("order").unionByName(rescued)
+    return out.select("lo", "hi", F.when(F.col("method") == "cooccurrence", "co_occurs_with").otherwise("related_to").alias("rel_type"), "method", F.round("score", 3).alias("score"))
+
+
+def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, src, dst, score: for each component but the largest, its node that is most like one of the largest (ties: least ids), and that one. nodes: id, embedding; nodes without edges are components."""
+    own = components(edges.select("src", "dst").unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"))))
+    own = cut(own)
+    main = own.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
+    inside = nodes.join(own.join(main, "component", "left_semi").select(F.col("node").alias("id")), "id")
+    outside = nodes.join(own.join(main, "component", "left_anti").select(F.col("node").alias("id"), "component"), "id")
+    best = knn(outside.select(F.col("id").alias("query"), "embedding"), inside, 1).join(own.select(F.col("node").alias("query"), "component"), "query")
+    return keep_first(best.withColumn("score", F.round("score", 9)), ["component"], [F.desc("score"), F.asc("query")]).select("component", F.col("query").alias("src"), F.col("id").alias("dst"), F.round("score", 3).alias("score"))
+
+
+def touched_edges(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """edge_id, hop: the edges at the nodes that each step of an undirected walk stands on; an edge that is met again has several rows."""
+    at = k_hop(edges, seeds, hops - 1, directed=False, include_seeds=True) if hops > 1 else seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long"))
+    return ends(edges).join(at, "node").select("edge_id", (F.col("depth") + 1).alias("hop")).distinct()
+
+
+def neighbourhoods(edges: DataFrame, names: DataFrame, most: int = 6) -> DataFrame:
+    """node, n_others, others: the first `most` of the distinct names of a node's neighbours, in order. names: id, name."""
+    rows = ends(edges).where("node <> other").select("node", "other").distinct().join(names.select(F.col("id").alias("other"), "name"), "other")
+    few = rows.groupBy("node", "name").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("node").agg(F.count("*").alias("n_others"))
+    top = few.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy("name"))).where(F.col("k") <= most)
+    return top.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("others")).join(counts, "node").select("node", "n_others", "others")
+
+
+def resolve(mentions: DataFrame, entities: DataFrame, tau: float = 0.85, least_chars: int = 2) -> DataFrame:
+    """mention, entity, how: the oldest entity of the same name, else the nearest by at least tau, else the mention itself as a new one. Names that are too short are nobody's.
+
+    mentions: mention, scope, name, embedding; entities: id, scope, name, embedding, created_at."""
+    m = mentions.withColumn("k", X.mention_key(F.col("name"))).where(F.length("k") >= least_chars)
+    known = keep_first(entities.withColumn("k", X.mention_key(F.col("name"))), ["scope", "k"], ["created_at", "id"]).select("scope", "k", F.col("id").alias("same"))
+    rows = cut(m.join(known, ["scope", "k"], "left"))
+    left = rows.where("same is null")
+    near = knn(left.select(F.col("mention").alias("query"), "scope", "embedding"), entities, 1, within="scope").where(F.round("score", 9) >= tau).select(F.col("query").alias("mention"), F.col("id").alias("near"))
+    out = rows.join(near, "mention", "left")
+    how = F.when(F.col("same").isNotNull(), "name").when(F.col("near").isNotNull(), "nearest").otherwise("new")
+    return out.select("mention", F.coalesce("same", "near", "mention").alias("entity"), how.alias("how"))
+
+
+def project_triples(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges) of triples scope, episode, subject, predicate, object: an entity per name of a scope with its aliases and number of mentions, an edge per pair and predicate with its first episode. Edges from a name to itself and names of one letter are left out."""
+    keyed = triples.withColumn("s", X.mention_key(F.col("subject"))).withColumn("o", X.mention_key(F.col("object"))).where((F.length("s") >= 2) & (F.length("o") >= 2) & (F.col("s") != F.col("o")))
+    said = keyed.select("scope", "episode", F.explode(F.array(F.struct(F.col("s").alias("name"), F.col("subject").alias("alias")), F.struct(F.col("o").alias("name"), F.col("object").alias("alias")))).alias("m")).select("scope", "episode", "m.name", "m.alias")
+    # What an episode says several times is one mention.
+    entities = said.distinct().groupBy("scope", "name").agg(F.countDistinct("episode").alias("mention_count"), F.array_join(F.array_sort(F.collect_set("alias")), "|").alias("aliases"))
+    edges = keyed.groupBy("scope", F.col("s").alias("src"), F.col("o").alias("dst"), F.col("predicate").alias("rel_type")).agg(F.min("episode").alias("episode"), F.count("*").alias("n"))
+    return entities, edges
+
+
+def apply_actions(nodes: DataFrame, actions: DataFrame, now: Column) -> DataFrame:
+    """Nodes (id, label, status, valid_to) after decisions about them (id, action: prune, retype or claim; label). Pruned nodes end, retyped ones take the label, claims become canonical."""
+    rows = nodes.join(actions.select("id", "action", F.col("label").alias("__label")), "id", "left")
+    is_ = lambda a: F.coalesce(F.col("action") == a, F.lit(False))
+    return rows.select("id", F.when(is_("retype"), F.col("__label")).otherwise(F.col("label")).alias("label"), F.when(is_("claim"), "canonical").otherwise(F.col("status")).alias("status"), F.when(is_("prune") & F.col("valid_to").isNull(), now).otherwise(F.col("valid_to")).alias("valid_to"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

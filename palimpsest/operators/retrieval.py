@@ -1,24 +1,29 @@
 """Hybrid retrieval: dense, sparse and entity channels, rank fusion, diversity, and packing to a token budget.
 
-All work for many queries at once: a channel gives rows (query, id, rank, score), fused per query. Searches
-take the query vectors in blocks of bounded size against all rows; a task returns the best k of each of its batches,
-so what is exchanged is k rows per query and batch."""
+All work for many queries at once: a channel gives rows (query, id, rank, score), fused per query. Searches by vector
+deal queries and items over blocks that meet in pairs; a pair gives the best k of each query, and the best of these are the result."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.functions import lexicon as L
 from palimpsest.functions import scalars as S
 from palimpsest.functions import text as X
+from palimpsest.operators.relational import top_per_key
+from palimpsest.operators.temporal import as_of
+from palimpsest.operators.words import word_counts
+from palimpsest.runtime import cut
 
 RRF_K = 60
 BLOCK = 2048
+ITEM_BLOCK = 1 << 16
+# What parts the aspects of a question, in the order of the tests.
+ASPECTS = (" and ", " or ", " vs ", " versus ", " compared ", " difference ")
 # Shares of the token budget by tier.
 TIER_SHARES = {"semantic": 0.40, "episodic": 0.30, "graph": 0.20, "working": 0.10}
 
@@ -28,64 +33,58 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query", item_id: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """query, id, score, rank: the exact k nearest by cosine (ties: least id), never the query itself. Null vectors match nothing.
-
-    Queries come to the driver one block at a time, by their order, and go out as a broadcast of that block; there may be any number of blocks."""
-    spark = items.sparkSession
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query"), F.col(vector).cast("array<double>").alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // block))
-    rows = items.where(F.col(vector).isNotNull()).select(F.col(item_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    schema = T.StructType([T.StructField("query", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        got = part.collect()
-        q = spark.sparkContext.broadcast((np.array([r["query"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            ids, vectors = q.value
-            if not len(ids):
-                return
-            unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                v = _matrix(batch.column(1))
-                if not len(v):
-                    continue
-                mine = batch.column(0).to_numpy()
-                order = np.argsort(mine, kind="stable")
-                mine, v = mine[order], v[order]
-                score = unit @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                score[ids[:, None] == mine[None, :]] = -np.inf
-                best = np.argsort(-np.round(score, 12), axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(score, best, 1)
-                keep = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[keep.ravel()]), pa.array(mine[best][keep]), pa.array(value[keep])], ["query", "id", "score"])
-
-        one = rows.mapInArrow(run, schema)
-        found = one if found is None else found.unionByName(one)
+def _blocks(df: DataFrame, key: str, block: int) -> tuple[DataFrame, int]:
+    n = max(1, -(-df.count() // block))
+    return df.withColumn("__mine", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")), n
+
+
+def knn(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query", item_id: str = "id", vector: str = "embedding", within: str | None = None, block: int = BLOCK, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """query, id, score, rank: the exact k nearest by cosine (ties: least id), never the query itself. Null vectors match nothing. With `within` only items that are equal in that column.
+
+    Queries and items are dealt over blocks, and each pair of blocks is a group of bounded size that gives its best k of each query: nothing comes to the driver but the numbers of blocks."""
+    group = F.lit(0) if within is None else F.xxhash64(within)
+    asked, n_asked = _blocks(queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query"), F.col(vector).cast("array<double>").alias("v"), group.alias("g")), "query", block)
+    rows, n_rows = _blocks(items.where(F.col(vector).isNotNull()).select(F.col(item_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), group.alias("g")), "id", item_block)
+    asked = asked.withColumn("qb", F.col("__mine")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))).drop("__mine")
+    rows = rows.withColumn("ib", F.col("__mine")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).drop("__mine")
+    schema = T.StructType([T.StructField("query", asked.schema["query"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def best(q: pa.Table, t: pa.Table) -> pa.Table:
+        names = ["query", "id", "score"]
+        kinds = [q.schema.field("query").type, t.schema.field("id").type, pa.float64()]
+        if not q.num_rows or not t.num_rows:
+            return pa.table([pa.array([], x) for x in kinds], names)
+        t = t.sort_by("id")
+        ids, own = q["query"].to_numpy(), t["id"].to_numpy()
+        score = _unit(_matrix(q["v"].combine_chunks())) @ _unit(_matrix(t["v"].combine_chunks())).T
+        score[ids[:, None] == own[None, :]] = -np.inf
+        score[q["g"].to_numpy()[:, None] != t["g"].to_numpy()[None, :]] = -np.inf
+        top = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(score, top, 1)
+        keep = np.isfinite(value)
+        return pa.table([q["query"].take(pa.array(np.repeat(np.arange(len(ids)), top.shape[1])[keep.ravel()])), t["id"].take(pa.array(top[keep])), pa.array(value[keep])], names)
+
+    found = asked.groupBy("qb", "ib").cogroup(rows.groupBy("qb", "ib")).applyInArrow(best, schema)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """term, id, tf, n_words (of the document)."""
-    words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w"))
-    return words.select("id", F.size("w").cast("long").alias("n_words"), F.explode("w").alias("term")).groupBy("term", "id", "n_words").agg(F.count("*").alias("tf"))
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, all_terms: bool = True) -> DataFrame:
     """query, id, score, rank for queries (query, text). With all_terms a document must hold every word of the query.
 
-    Only postings of the queries' words are made; their list is joined to the exploded words before anything is counted."""
-    sizes = docs.select(F.size(X.tokens(F.col(text_col))).cast("long").alias("n")).agg(F.count("*").alias("n_docs"), F.avg("n").alias("mean")).first()
-    n_docs, mean = sizes["n_docs"], sizes["mean"] or 1.0
+    Texts are cut into words once: each gives its distinct words with their counts, of which those of the queries and one row of its size are written."""
     asked = queries.select("query", F.explode(X.word_set(F.col("text"))).alias("term"))
     need = asked.groupBy("query").agg(F.count("*").alias("need"))
-    words = docs.select(F.col(id_col).alias("id"), X.tokens(F.col(text_col)).alias("w"))
-    wanted = asked.select("term").distinct()
-    held = words.select("id", F.size("w").cast("long").alias("n_words"), F.explode("w").alias("term")).join(wanted, "term").groupBy("term", "id", "n_words").agg(F.count("*").alias("tf"))
+    counts = word_counts(docs, id_col, text_col, sizes=True)
+    wanted = asked.select(F.col("term").alias("word")).distinct().withColumn("asked", F.lit(True))
+    held = cut(counts.join(wanted, "word", "left").where("word is null or asked").select(F.col("word").alias("term"), "id", F.col("n").alias("tf"), "n_words"))
+    sizes = held.where("term is null").agg(F.count("*").alias("n_docs"), F.avg("n_words").alias("mean")).first()
+    n_docs, mean = sizes["n_docs"], sizes["mean"] or 1.0
+    held = held.where("term is not null")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n_words") / F.lit(mean)))
@@ -96,6 +95,76 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_c
     return rows.select("query", "id", "score", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
 
 
+def or_else(first: DataFrame, second: DataFrame, key: str = "query") -> DataFrame:
+    """The rows of `first`, and those of `second` for queries that have none there."""
+    return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
+
+
+def sparse_channel(docs: DataFrame, queries: DataFrame, k: int, **options) -> DataFrame:
+    """Documents with all words of a query; for queries that no document has all words of, those with any."""
+    return or_else(bm25(docs, queries, k, **options), bm25(docs, queries, k, all_terms=False, **options))
+
+
+def dense_channel(memories: DataFrame, queries: DataFrame, t: Column, mode: str = "fast", k: int | None = None) -> DataFrame:
+    """The nearest memories of the query's scope that are valid at t and of a status that the mode includes. memories: id, scope, status, valid_from, valid_to, embedding; queries: query, scope, embedding."""
+    rows = as_of(memories, t).where(F.col("status").isin(*L.MODE_STATUSES[mode]))
+    return knn(queries, rows, k or {"fast": 20}.get(mode, 50), within="scope")
+
+
+def graph_channel(seeds: DataFrame, memories: DataFrame, entities: DataFrame, edges: DataFrame, hops: int = 1, statuses: tuple[str, ...] = ("canonical",)) -> DataFrame:
+    """query, id, depth, score: memories of the episodes that the graph leads to from the seeds' episodes, best first by 1 / (1 + depth).
+
+    seeds: query, id (memories). memories: id, episode, status. entities: id, episode, status. edges: src, dst; validity is the caller's filter. Walks follow edges outwards."""
+    named = memories.select(F.col("id").alias("m"), F.col("episode").alias("m_episode"))
+    start = seeds.join(named, F.col("id") == F.col("m")).select("query", F.col("m_episode").alias("episode")).distinct()
+    of = entities.select(F.col("id").alias("node"), "episode", F.col("status").alias("entity_status"))
+    steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    reached = start.join(of.where(F.col("entity_status").isin(*statuses)), "episode").select("query", "node").distinct().withColumn("depth", F.lit(0).cast("long"))
+    frontier = reached
+    for k in range(1, hops + 1):
+        new = frontier.join(steps, F.col("node") == F.col("a")).select("query", F.col("b").alias("node")).distinct()
+        frontier = cut(new.join(reached.select("query", "node"), ["query", "node"], "left_anti").withColumn("depth", F.lit(k).cast("long")))
+        reached = reached.unionByName(frontier)
+    episodes = reached.join(of.select("node", "episode"), "node").groupBy("query", "episode").agg(F.min("depth").alias("depth"))
+    rows = episodes.join(memories.where(F.col("status").isin(*statuses)).select("id", "episode"), "episode")
+    return rows.select("query", "id", "depth", (1.0 / (1.0 + F.col("depth"))).alias("score"))
+
+
+def rerank(rows: DataFrame, queries: DataFrame, items: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """query, id, score, rank: candidates by their true cosine with the query; those without a vector have `least`."""
+    q = queries.select("query", F.col("embedding").alias("__q"))
+    v = items.select("id", F.col("embedding").alias("__v"))
+    scored = rows.select("query", "id").join(q, "query", "left").join(v, "id", "left").withColumn("score", F.round(F.coalesce(S.cosine(F.col("__q"), F.col("__v")), F.lit(least)), 9))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return scored.select("query", "id", "score", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
+
+
+def follow_up_queries(queries: DataFrame, results: DataFrame) -> DataFrame:
+    """query, text: a second question where the results (query, score) don't cover the first one: nothing found, nothing good, or one of several aspects only."""
+    found = results.groupBy("query").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+    rows = queries.select("query", "text").join(found, "query", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    words = F.split(F.trim("text"), r"\s+")
+    brief = F.when(F.size(words) > 3, F.array_join(F.slice(words, 1, 3), " ")).otherwise(F.concat("text", F.lit(" overview")))
+    rest = F.coalesce(*[F.nullif(F.trim(F.substring_index(F.lower("text"), m, -1)), F.trim(F.lower("text"))) for m in ASPECTS])
+    second = F.when(F.col("n") == 0, F.concat("text", F.lit(" details"))).when(F.col("best") < 0.05, brief).when(F.col("n") < 3, F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, F.lit(2), F.length(rest))))
+    return rows.select("query", second.alias("text")).where("text is not null")
+
+
+def narrative_material(episodes: DataFrame, queries: DataFrame, matches: int = 20, recent: int = 12, leave_out: tuple[str, ...] = L.OPERATIONAL_SOURCES) -> DataFrame:
+    """query, id, origin, rank: the newest episodes that contain the query's text, or, for queries that none does, the newest of all. Sources of operation are no material, nor are episodes without a source.
+
+    episodes: id, content, source_ref, created_at; queries: query, text (few: each is a filter of the one scan)."""
+    rows = episodes.where(X.source_not_in(F.col("source_ref"), leave_out))
+    asked = [tuple(r) for r in queries.select("query", "text").collect()]
+    hit = F.filter(F.array(*[F.when(F.contains(F.lower("content"), F.lit(text.lower())), F.lit(q)) for q, text in asked]), lambda x: x.isNotNull())
+    newest = [F.desc("created_at"), F.asc("id")]
+    found = rows.select("id", "created_at", F.explode(hit).alias("query"))
+    found = top_per_key(found, ["query"], newest, matches).select("query", "id", F.lit("match").alias("origin"), "rank")
+    last = rows.select("id", "created_at").orderBy(*newest).limit(recent).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*newest)).cast("long"))
+    fallback = last.withColumn("query", F.explode(F.array(*[F.lit(q) for q, _ in asked]))).select("query", "id", F.lit("recent").alias("origin"), "rank")
+    return or_else(found, fallback)
+
+
 def entity_channel(facts: DataFrame, needle: str, k: int, id_col: str = "id") -> DataFrame:
     """Identity facts whose predicate or object contains the needle, best confidence first: id, text, score, rank."""
     rows = facts.where(F.col("predicate").ilike(f"%{needle}%") | F.col("object").ilike(f"%{needle}%"))
@@ -173,7 +242,7 @@ def follow_up(query: str, scores: list[float]) -> str | None:
         return " ".join(words[:3]) if len(words) > 3 else f"{query} overview"
     low = query.lower()
     if len(scores) < 3:
-        for marker in (" and ", " or ", " vs ", " versus ", " compared ", " difference "):
+        for marker in ASPECTS:
             rest = low.split(marker, 1)[1].strip() if marker in low else ""
             if rest:
                 return rest.capitalize()

@@ -97,11 +97,10 @@ def knn_exact(spark, d):
 SELECT id, label, nearest FROM s WHERE n = 1""")
 def nearest_prototype(spark, d):
     v = read_table(spark, d, "embeddings")
-    # One prototype per label of a fixed taxonomy: they go into each row as an array, which makes no rows.
-    table = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("p")).agg(F.array_sort(F.collect_list(F.struct("label", "p"))).alias("table"))
-    rows = v.join(F.broadcast(table))
-    scored = F.transform("table", lambda t: F.struct((-F.round(S.cosine(F.col("embedding"), t["p"]), 9)).alias("s"), t["label"].alias("l")))
-    return rows.select(F.col("vec_id").alias("id"), "label", F.array_min(scored)["l"].alias("nearest"))
+    # Labels are other ids than the vectors', so no vector is left out as itself.
+    prototypes = v.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).withColumn("id", F.col("label").cast("long") - (1 << 40))
+    near = R.knn(v.select(F.col("vec_id").alias("query"), "embedding"), prototypes, 1)
+    return v.select(F.col("vec_id").alias("query"), "label").join(near, "query").select(F.col("query").alias("id"), "label", (F.col("id") + (1 << 40)).cast("int").alias("nearest"))
 
 
 @query("SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM embeddings), 2) AS share FROM embeddings GROUP BY 1")
@@ -171,9 +170,10 @@ def mmr(spark, d):
     return recall(spark, d, divergent=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {_COS.format(a='a', b='b')} >= 0.35), r AS (SELECT vec_id AS id, vec_id AS at FROM embeddings UNION SELECT r.id, l.v FROM r JOIN l ON l.u = r.at),
+n AS (SELECT u AS id, count(*) AS n_links FROM l GROUP BY 1) SELECT id, min(at) AS class_id, coalesce(any_value(n_links), 0) AS n_links FROM r LEFT JOIN n USING (id) GROUP BY 1""".replace(" AS at ", " AS place ").replace(", at ", ", place ").replace("r.at", "r.place").replace("min(at)", "min(place)"))
 def dup_pairs(spark, d):
-    """Vectors of a label, the newest 2000 of each, within cosine 0.35: id, class_id (least id connected), n_links."""
+    """Vectors of a label within cosine 0.35: id, class_id (least id connected), n_links."""
     from palimpsest.operators.consolidation import similarity_classes
 
     v = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("scope"), "embedding", F.col("vec_id").alias("created"))

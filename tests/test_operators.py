@@ -102,9 +102,10 @@ def test_long_path_is_one_component(spark):
     assert G.components(path).select("component").distinct().count() == 1
 
 
-def test_cooccurrence_stars(spark):
-    m = spark.createDataFrame([("g", k) for k in range(5)] + [("h", 0), ("h", 1)], "group string, node int")
-    assert rows(G.cooccurrence(m, at_most=3), "lo", "hi", "n") == [(0, 1, 2), (0, 2, 1), (0, 3, 1), (0, 4, 1)]
+def test_cooccurrence_by_blocks(spark):
+    m = spark.createDataFrame([("g", k) for k in range(5)] + [("h", 0), ("h", 1), ("h", 1)], "group string, node int")
+    want = [(a, b, 2 if (a, b) == (0, 1) else 1) for a in range(5) for b in range(a + 1, 5)]
+    assert rows(G.cooccurrence(m, block=2), "lo", "hi", "n") == rows(G.cooccurrence(m), "lo", "hi", "n") == want
 
 
 def test_cooccurrence_of_large_groups(spark, tmp_path):
@@ -201,7 +202,44 @@ def test_reinforce_3(spark):
 def test_dup_chain(spark):
     v = [(1, "s", [1.0, 0.0], 1), (2, "s", [0.95, 0.312], 2), (3, "s", [0.8, 0.6], 3), (4, "t", [1.0, 0.0], 4)]
     df = spark.createDataFrame(v, "id long, scope string, embedding array<double>, created int")
-    assert rows(C.similarity_classes(df, tau=0.94), "id", "class_id", "n_links") == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 4, 0)]
+    for block in (1, 2, 1024):
+        assert rows(C.similarity_classes(df, tau=0.94, block=block), "id", "class_id", "n_links") == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 4, 0)]
+    assert rows(C.similarity_classes(df, tau=0.94, newest=2), "id", "class_id", "n_links") == [(1, 1, 0), (2, 2, 1), (3, 2, 1), (4, 4, 0)]
+    for block in (1, 1024):
+        assert rows(C.duplicates(df.withColumn("key", F.lit("k")), tau=0.7, block=block), "id", "superseded_by") == [(1, 3), (2, 3)]
+        assert rows(C.duplicates(df.withColumn("key", F.col("id").cast("string")), tau=0.7, auto=0.94, block=block), "id", "superseded_by") == [(1, 2), (2, 3)]
+
+
+def test_passes_run_in_order(spark):
+    df = spark.range(3)
+    passes = {name: (lambda s, name=name: {"m": s["m"].unionByName(spark.range(1))}) for name in ("dedup", "projection")}
+    state, done = C.run_passes({"m": df}, passes)
+    assert done == ["projection", "dedup"] and state["m"].count() == 5
+    assert C.run_passes({"m": df}, {}, "deep")[1] == []
+
+
+def test_order_over_ranges(spark):
+    import random
+
+    rng = random.Random(1)
+    data = [("a" if k % 3 else rng.choice("abc"), k, rng.random() < 0.5) for k in range(300)]
+    df = spark.createDataFrame(data, "g string, k long, s boolean")
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        seg, before, place = {}, {}, {}
+        for g in "abc":
+            n = number = 0
+            last = None
+            for at, (_, k, s) in enumerate(sorted((r for r in data if r[0] == g), key=lambda r: r[1])):
+                n, number = (1, number + 1) if s and n >= 3 else (n + 1, number)
+                seg[g, k], before[g, k], place[g, k] = number, last, at + 1
+                last = k if k % 5 else None
+        assert {(r["g"], r["k"]): r["segment"] for r in R.segments(df, ["g"], "k", F.col("s")).collect()} == seg
+        assert {(r["g"], r["k"]): r["b"] for r in R.previous(df.withColumn("v", F.when(F.col("k") % 5 != 0, F.col("k"))), ["g"], ["k"], "v", "b").collect()} == before
+        assert {(r["g"], r["k"]): r["n"] for r in R.numbered(df, ["g"], ["k"]).collect()} == place
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
 
 
 def test_projection_and_replay(spark):
@@ -224,7 +262,7 @@ def test_forget_needs_its_approval(spark):
 
 
 def test_recombine_band(spark):
-    m = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "alpha beta other words"), (3, "alpha beta gamma delta")], "id int, statement string")
+    m = spark.createDataFrame([(1, "a", "alpha beta gamma delta"), (2, "a", "alpha beta other words"), (3, "a", "alpha beta gamma delta"), (4, "b", "alpha beta other words")], "id int, scope string, statement string")
     m = m.withColumn("status", F.lit("canonical")).withColumn("valid_to", F.lit(None)).withColumn("created_at", F.lit(NOW))
     assert rows(C.recombine(m), "id1", "id2", "overlap") == [(1, 2, 0.5), (2, 3, 0.5)]
 
