@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators import consolidation as C
 from palimpsest.operators import graph as G
+from palimpsest.operators import lifecycles as Y
 from palimpsest.operators import relational as R
 from palimpsest.operators import temporal as T
 from palimpsest.operators import writing as W
@@ -32,9 +33,8 @@ def promote_opportunities(spark, d):
 @query("SELECT c_custkey AS id FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) < 12")
 def goals_without_plan(spark, d):
     """Goals with no live plan and fewer plans than the cap: one count per goal answers both."""
-    plans = read_table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "P").alias("live"))
-    rows = read_table(spark, d, "customer").join(plans, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.where("coalesce(live, 0) = 0 and coalesce(n, 0) < 12").select(F.col("c_custkey").alias("id"))
+    plans = read_table(spark, d, "orders").select(F.col("o_custkey").alias("goal_id"), F.when(F.col("o_orderstatus") == "P", "executing").otherwise("completed").alias("status"))
+    return Y.live_plans(read_table(spark, d, "customer").select(F.col("c_custkey").alias("id")), plans, 12)
 
 
 @query(f"SELECT CASE WHEN o_orderstatus = 'P' AND o_orderdate + INTERVAL 30 DAY <= TIMESTAMP '{_NOW}' THEN 'expired' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'granted' END AS state, count(*) AS n FROM orders GROUP BY 1")
@@ -73,8 +73,7 @@ def alignment_gaps(spark, d):
 
 @query("SELECT event_type AS name, count(*) AS calls, count(*) FILTER (WHERE value > 400) AS errors, round(count(*) FILTER (WHERE value > 400) / count(*), 4) AS error_rate, round(avg(value), 6) AS mean_ms FROM events GROUP BY 1")
 def call_rollup(spark, d):
-    bad = F.count_if(F.col("value") > 400)
-    return roles.events(spark, d).groupBy(F.col("event_type").alias("name")).agg(F.count("*").alias("calls"), bad.alias("errors"), F.round(bad / F.count("*"), 4).alias("error_rate"), F.round(F.avg("value"), 6).alias("mean_ms"))
+    return Y.call_rollup(roles.events(spark, d), "event_type", F.col("value") > 400, "value")
 
 
 @query("""SELECT n, count(*) AS facts FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'empty_statement' WHEN c_custkey IS NULL THEN 'episode_missing' WHEN c_nationkey <> o_custkey % 25 AND o_orderkey % 2 = 0 THEN 'scope_mismatch' ELSE 'accepted' END AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey * (CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 1 END)) GROUP BY 1""")
@@ -121,9 +120,8 @@ def reversed_tail(spark, d):
 
 @query("""SELECT item_id AS id, round(len(list_filter(w, lambda x: contains(t, x))) / len(w), 6)::DOUBLE AS share FROM (SELECT item_id, lower(text) AS t, list_distinct(list_filter(string_split_regex(lower(before), '[^a-z]+'), lambda x: length(x) >= 4)) AS w FROM (SELECT item_id, text, lag(text) OVER (ORDER BY item_id) AS before FROM benchmark) WHERE before IS NOT NULL) WHERE len(w) > 0""")
 def eval_containment(spark, d):
-    """How many of the words of the item before an answer contains. One row per benchmark item, so the items' order is one small window."""
-    before = F.lag("text").over(Window.partitionBy(F.lit(0)).orderBy("item_id"))
-    rows = read_table(spark, d, "benchmark").withColumn("before", before).where("before is not null")
+    """How many of the words of the item before an answer contains."""
+    rows = R.previous(read_table(spark, d, "benchmark").withColumn("all", F.lit(1)), ["all"], ["item_id"], "text", "before").where("before is not null")
     rows = rows.withColumn("w", X.word_set(F.col("before"), 4)).where(F.size("w") > 0)
     return rows.select(F.col("item_id").alias("id"), F.round(X.share_contained(F.col("text"), F.col("w")), 6).alias("share"))
 
@@ -139,8 +137,8 @@ def graph_context(spark, d):
 @query("SELECT tier, kind, count(*) AS n FROM (SELECT CASE WHEN o_totalprice >= 200000 THEN 'canonical' ELSE 'hypothesis' END AS tier, o_orderpriority AS kind, o_totalprice FROM orders WHERE o_totalprice >= 100000) GROUP BY 1, 2")
 def principle_gate(spark, d):
     """Candidates below the least confidence go, those above the gate are canonical."""
-    rows = read_table(spark, d, "orders").where("o_totalprice >= 100000")
-    return rows.groupBy(F.when(F.col("o_totalprice") >= 200000, "canonical").otherwise("hypothesis").alias("tier"), F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("n"))
+    rows = read_table(spark, d, "orders").select(F.col("o_totalprice").alias("confidence"), F.col("o_orderpriority").alias("kind"))
+    return Y.gate_principles(rows, 100000, 200000).groupBy(F.col("status").alias("tier"), "kind").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {roles.FACTS} SELECT id, CASE WHEN status = 'P' AND valid_to IS NULL THEN TIMESTAMP '{_NOW}' ELSE valid_to END AS valid_to FROM facts""")

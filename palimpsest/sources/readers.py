@@ -11,8 +11,9 @@ from palimpsest.functions import text as X
 def vault(spark: SparkSession, path: str, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), pattern: str = "*.md") -> DataFrame:
     """Text files below a folder: path (from the folder), top (first folder), text."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-    root = path.rstrip("/")
-    rel = F.regexp_replace(F.split_part(F.col("_metadata.file_path"), F.lit(root), F.lit(-1)), "^/", "")
+    # By the folder's name: the scheme before it may be written otherwise than it was given.
+    root = path.rstrip("/").rsplit("/", 1)[-1] + "/"
+    rel = F.split_part(F.col("_metadata.file_path"), F.lit(root), F.lit(-1))
     rows = rows.select(rel.alias("path"), F.col("value").alias("text"))
     rows = rows.withColumn("top", F.when(F.contains("path", F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1))).otherwise(""))
     rows = rows.where(F.col("top").isin(*include)) if include else rows
@@ -40,6 +41,11 @@ def triples(spark: SparkSession, path: str, least: float = 0.5) -> DataFrame:
     return rows.withColumn("class", X.predicate_class(F.col("predicate")))
 
 
+def by_source(rows: DataFrame) -> DataFrame:
+    """source_file, triples: imported triples by the file that they come from, each an array in the order of its parts."""
+    return rows.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("subject", "predicate", "object", "confidence", "class"))).alias("triples"))
+
+
 def vectors_tsv(spark: SparkSession, path: str) -> DataFrame:
     """id, embedding from lines of id, tab, JSON array."""
     rows = spark.read.option("sep", "\t").option("quote", "").schema("id string, vector string").csv(path)

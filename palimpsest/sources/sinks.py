@@ -26,3 +26,8 @@ def with_events(rows: DataFrame, kind: str, id_col: str = "id", scope_col: str =
 def deliver_once(runs: DataFrame, delivered: DataFrame, key: str = "run_id") -> DataFrame:
     """Runs that haven't been delivered, each once."""
     return runs.dropDuplicates([key]).join(delivered.select(key), key, "left_anti")
+
+
+def write_vectors_tsv(rows: DataFrame, path: str, id_col: str = "id", column: str = "embedding") -> None:
+    """Lines of id, tab, JSON array, as vectors_tsv reads them; added to what is there."""
+    rows.select(F.concat_ws("\t", F.col(id_col).cast("string"), F.to_json(F.col(column))).alias("value")).write.mode("append").text(path)

@@ -1,7 +1,7 @@
 """Structured Streaming over the append-only log: replayable projections, current state, windows and idempotent delivery.
 
 A log is a folder of Parquet files. The consumed position is the stream's checkpoint, so one query per sink takes the place of locks, and replay is the
-same query from an empty checkpoint. Snapshots are versioned by batch id: a batch that is repeated writes the same version again."""
+same query from an empty checkpoint. State is versioned by batch id: a batch that is repeated writes the same version again."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.runtime import shared_path
+from palimpsest.runtime import exists, remove, shared_path
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
@@ -33,22 +33,40 @@ def run_to_end(writer, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def current_state(log: DataFrame, out: str, checkpoint: str, key: tuple[str, ...] = ("user_id", "event_type"), seq: str = "event_id") -> DataFrame:
-    """The last event of each key, folded batch by batch into a versioned snapshot; returns the last version."""
+def _latest(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
+    """The rows of each bucket's last version (below `before`). Only buckets and versions, a few numbers each, are looked at first."""
+    rows = spark.read.option("basePath", out).parquet(out)
+    rows = rows if before is None else rows.where(F.col("v") < before)
+    return rows.join(F.broadcast(rows.groupBy("bucket").agg(F.max("v").alias("v"))), ["bucket", "v"])
+
+
+def current_state(log: DataFrame, out: str, checkpoint: str, key: tuple[str, ...] = ("user_id", "event_type"), seq: str = "event_id", buckets: int = 16) -> DataFrame:
+    """The last event of each key, folded batch by batch; returns the state.
+
+    Keys are dealt over buckets, and a batch rewrites only those that it has keys of, as a new version; of a bucket's versions the last two stay. A batch that is
+    repeated starts from the versions before it and writes the same again."""
     spark = log.sparkSession
+    where = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = batch.sparkSession.read.parquet(f"{out}/v={batch_id - 1}").unionByName(batch)
+        own = batch.sparkSession
+        rows = batch.withColumn("bucket", where)
+        touched = [r[0] for r in rows.select("bucket").distinct().collect()]
+        older = []
+        if batch_id and exists(own, out):
+            old = _latest(own, out, batch_id).where(F.col("bucket").isin(touched))
+            older = [tuple(r) for r in own.read.option("basePath", out).parquet(out).where(F.col("bucket").isin(touched)).select("bucket", "v").distinct().collect()]
+            rows = rows.unionByName(old.select(*rows.columns))
         whole = F.struct(seq, *[c for c in batch.columns if c not in (seq, *key)])
-        last = rows.groupBy(*key).agg(F.max_by(whole, F.col(seq)).alias("last"))
-        last.select(*key, "last.*").write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+        last = rows.groupBy("bucket", *key).agg(F.max_by(whole, F.col(seq)).alias("last"))
+        last.select("bucket", *key, "last.*").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/v={batch_id}")
+        kept = {b: max((v for x, v in older if x == b and v < batch_id), default=batch_id) for b in touched}
+        for b, v in older:
+            if v < kept[b]:
+                remove(own, f"{out}/v={v}/bucket={b}")
 
     run_to_end(log.writeStream.foreachBatch(fold), checkpoint)
-    # The commit log of the checkpoint names the last batch.
-    done = spark.read.option("pathGlobFilter", "[0-9]*").text(f"{checkpoint}/commits").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)$", 1).cast("int").alias("b")).agg(F.max("b")).first()[0]
-    return spark.read.parquet(f"{out}/v={done}")
+    return _latest(spark, out).drop("bucket", "v")
 
 
 def append_table(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
