@@ -37,7 +37,7 @@ BLOCKS = 4
 BUDGET = 3
 SPLIT_ABOVE = 200_000
 SUB_BITS = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 SHINGLES = 1 << 16
 
 
