@@ -34,11 +34,11 @@ def chunks(text: Column, size: int = 1200) -> Column:
     return F.aggregate(pieces, F.array().cast("array<string>"), lambda acc, p: F.when(F.size(acc) == 0, F.array(p)).otherwise(step(acc, p)))
 
 
-def triples(spark: SparkSession, path: str, least: float = 0.5) -> DataFrame:
-    """JSON triples (subject, predicate, object, confidence, source_file) with normalised predicate and class; those below the confidence are dropped."""
+def triples(spark: SparkSession, path: str, least: float = 0.5, aliases: dict[str, str] | None = None, identity: tuple[str, ...] = ()) -> DataFrame:
+    """JSON triples (subject, predicate, object, confidence, source_file) with normalised predicate and class; those below the confidence are dropped. aliases: renamed predicates; identity: those of identity."""
     rows = spark.read.option("multiLine", True).schema("subject string, predicate string, object string, confidence double, source_file string").json(path)
-    rows = rows.where(F.coalesce("confidence", F.lit(1.0)) >= least).withColumn("predicate", X.predicate_name(F.col("predicate")))
-    return rows.withColumn("class", X.predicate_class(F.col("predicate")))
+    rows = rows.where(F.coalesce("confidence", F.lit(1.0)) >= least).withColumn("predicate", X.predicate_name(F.col("predicate"), aliases))
+    return rows.withColumn("class", X.predicate_class(F.col("predicate"), identity))
 
 
 def by_source(rows: DataFrame) -> DataFrame:

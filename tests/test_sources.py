@@ -37,7 +37,7 @@ def test_vault(spark, tmp_path):
 
 def test_triples_and_vectors(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"subject": "a", "predicate": "Has Full Name", "object": "b", "confidence": 0.9, "source_file": "f"}, {"subject": "a", "predicate": "x", "object": "b", "confidence": 0.4}]))
-    assert [(r["predicate"], r["class"]) for r in readers.triples(spark, f"{tmp_path}/t.json").collect()] == [("name", "identity")]
+    assert [(r["predicate"], r["class"]) for r in readers.triples(spark, f"{tmp_path}/t.json", aliases={"full_name": "name"}, identity=("name",)).collect()] == [("name", "identity")]
     (tmp_path / "v.tsv").write_text("a\t[1.0,2.0]\nb\t[3.0]\n")
     loaded = readers.vectors_tsv(spark, f"{tmp_path}/v.tsv")
     items = spark.createDataFrame([("a", None), ("b", [9.0]), ("c", None)], "id string, embedding array<float>")
