@@ -213,7 +213,7 @@ def context_lines(nodes: DataFrame, edges: DataFrame, top: int, max_rels: int =
 
     best = hubs(edges, top)
     rels = ends(edges).join(best, "node").join(nodes.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other", "left")
-    few = top_per_key(rels, ["node"], ["edge_id", "direction"], max_rels)
+    few = top_per_key(rels, ["node"], ["edge_id", "direction", "other"], max_rels)
     said = F.concat(F.when(F.col("direction") == "out", "-> ").otherwise("<- "), F.coalesce("other_name", F.col("other").cast("string")))
     lines = few.groupBy("node", "degree").agg(F.array_sort(F.collect_list(F.struct("rank", said.alias("said")))).alias("l"))
     return lines.select("node", "degree", F.array_join(F.transform("l", lambda x: x["said"]), "; ").alias("line"))

@@ -214,7 +214,7 @@ def entity_actions(spark, d):
 
 
 @query(f"""WITH {PART_EDGES}, h AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30),
-x AS (SELECT src AS node, dst AS other, edge_id, 'out' AS direction FROM edges UNION ALL SELECT dst, src, edge_id, 'in' FROM edges), r AS (SELECT x.*, degree, row_number() OVER (PARTITION BY x.node ORDER BY edge_id, direction) AS k FROM x JOIN h USING (node))
+x AS (SELECT src AS node, dst AS other, edge_id, 'out' AS direction FROM edges UNION ALL SELECT dst, src, edge_id, 'in' FROM edges), r AS (SELECT x.*, degree, row_number() OVER (PARTITION BY x.node ORDER BY edge_id, direction, other) AS k FROM x JOIN h USING (node))
 SELECT node, any_value(degree) AS degree, string_agg(CASE direction WHEN 'out' THEN '-> ' ELSE '<- ' END || coalesce(p_brand, other::VARCHAR), '; ' ORDER BY k) AS line FROM r LEFT JOIN part ON p_partkey * 2 = other WHERE k <= 4 GROUP BY 1""")
 def graph_lines(spark, d):
     """The hubs, each with a line of its first relations."""
