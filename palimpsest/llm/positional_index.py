@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
-from palimpsest.runtime import cut, shared_path
+from palimpsest.runtime import cut, remove, shared_path
 
 WINDOW = 10
 MAX_PART_BYTES = 8 << 20
@@ -354,7 +354,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, path: str | None = None, id
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """`docs` without the rows that a window of an item occurs in, told by the stored index. Its columns and only these."""
+    spark = docs.sparkSession
     rows, mark = K.marked(docs)
-    found = decontaminate(rows, items, id_col=mark, text_col=text_col, **options).where("contaminated")
     (hit,) = K.fresh(rows.columns, "__hit")
-    return rows.join(found.select(F.col(mark).alias(hit)).distinct(), F.col(mark) == F.col(hit), "left_anti").drop(mark)
+    found = decontaminate(rows, items, path := shared_path(spark, "positional-index"), id_col=mark, text_col=text_col, **options).where("contaminated")
+    # What was hit is written, so the index may go.
+    found = cut(found.select(F.col(mark).alias(hit)).distinct())
+    remove(spark, path)
+    return rows.join(found, F.col(mark) == F.col(hit), "left_anti").drop(mark)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
-from palimpsest.runtime import cut
+from palimpsest.runtime import cut, release
 
 SEED = 42
 BITS = 64
@@ -278,6 +278,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = sign(edges)
     while True:
         edges = cut(star(star(edges, True), False))
+        release(edges.sparkSession)
         now = sign(edges)
         if now == before:
             break

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
-CLASH = ["n_words", "size", "target", "taken", "kept", "score", "fingerprint", "component_id", "failures", "__mark", "found", "items", "lang_pred", "held_out", "n_tokens"]
+CLASH = ["n_words", "size", "target", "taken", "kept", "score", "fingerprint", "component_id", "failures", "__mark", "found", "items", "lang_pred", "held_out", "n_tokens", "__key", "__gone", "__goes", "__hash", "__id", "__size", "__range", "__source", "__start", "__found", "__n", "__n_gone", "__words_gone", "__hit", "mark", "stays"]
 
 
 def words(rng, n, pool="the of and re thion anst eau über ñado 12 x".split()):

@@ -7,7 +7,7 @@ import corpus_pipeline as C
 from palimpsest.llm import mixture_langid as L
 from palimpsest.llm.queries import oracle_sql, queries
 
-from .fixtures import SCHEMA, documents
+from .fixtures import SCHEMA, documents, frame
 from .test_fair_mix import brute as mix_brute
 from .test_line_dedup import brute as shared_lines
 from .test_positional_index import brute as hits
@@ -57,7 +57,13 @@ def test_each_stage_on_its_own_input(spark, world, tmp_path):
             assert not {5000, 5001, 5002, 5003} & {r[0] for r in new}
         elif name == "near_dedup":
             assert not after - before
-            roots = similar_classes([r[1] for r in state])
+            # Documents that line dedup changed stand for both their texts.
+            once = lambda rows: {r[0]: r for r in rows if r[0] is not None and Counter(x[0] for x in rows)[r[0]] == 1}
+            came, now = once([tuple(r) for r in spark.read.parquet(f"{d}/documents.parquet").select(*names).collect()]), once(state)
+            place = {r: i for i, r in reversed(list(enumerate(state)))}
+            two = [(place[r], came[i][1]) for i, r in now.items() if i in came and came[i][1] != r[1]]
+            assert len(two) > 3
+            roots = similar_classes([r[1] for r in state] + [t for _, t in two], [(i, len(state) + k) for k, (i, _) in enumerate(two)])[: len(state)]
             kept = [i for i, r in enumerate(state) if r in after]
             assert len(new) == len(set(roots)) and {roots[i] for i in kept} == set(roots)
             for root in set(roots):
@@ -103,3 +109,15 @@ def test_contract_columns(spark):
     assert set(oracle_sql()) <= set(queries())
     rows = queries()["op8_mixture_langid"](spark, d).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_stages_keep_columns_of_any_name(spark, world):
+    d, _ = world
+    docs = frame(spark, [r for r in documents() if r[0] != 9], clash=True)
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, d)
+        passed = [c for c in docs.columns if name != "mix" or c not in ("size", "source_size", "target", "virtual_start", "virtual_finish", "taken")]
+        if name != "mix":
+            assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == "clash" for r in rows for c in passed if c not in SCHEMA.fieldNames()), name
