@@ -6,14 +6,14 @@ components loop over frames that are written each round; nothing of the graph co
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.functions.scalars import cosine
 from palimpsest.operators.relational import keep_first
 from palimpsest.operators.retrieval import knn
-from palimpsest.runtime import cut
+from palimpsest.runtime import cut, remove, shared_path, written
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -58,32 +58,55 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = True,
     return reached if include_seeds else reached.where("depth > 0")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component: the least node that each node of an edge is connected with.
-
-    Rounds of large and small stars: a node's greater neighbours are tied to its least one, then its lesser ones, until nothing changes."""
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            pairs = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        else:
-            pairs = e.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"))
-        low = pairs.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        tied = pairs.join(low, "x")
-        if large:
-            return tied.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        return tied.where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).union(low.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
-
-    sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    pairs = cut(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct())
-    before = sign(pairs)
-    while True:
-        pairs = cut(star(star(pairs, True), False))
-        now = sign(pairs)
+def star_roots(edges: DataFrame, hub: int = 4096, rows_per_file: int = 200_000) -> DataFrame:
+    """node, root: the least node that links (u, v) connect each node with, for all nodes but the roots themselves.
+
+    Links lie as (greater, lesser). A small star ties a node's lesser neighbours and itself to the least of them, a large star moves a link from a lesser
+    end to what that end is tied to; when neither changes anything, the links are stars around the roots. Each round is a table of few
+    files, and goes when the next one is written. Ends that more links share than `hub` and than a 65,536th of all (so 65,536 at most) meet theirs by broadcast, so that no task gets all links of a hub.
+    Links with a null end connect nothing."""
+    spark = edges.sparkSession
+    base = shared_path(spark, "stars")
+
+    def round_(e: DataFrame, k: int, files: int | None) -> tuple[DataFrame, int, tuple]:
+        seen = Observation()
+        e = e.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("sign"))
+        out = written(e.coalesce(files) if files else e, f"{base}/{k}")
+        return out, seen.get["n"], (seen.get["n"], seen.get["sign"])
+
+    def tied(e: DataFrame, end: str, n: int) -> DataFrame:
+        """e with m, the least node that its `end` is tied to (or that end itself)."""
+        few = "few_" + end
+        own = F.struct(F.col("u").alias("x"), F.col("v").alias("y"), F.lit(1 if end == "u" else 0).alias("here"))
+        other = F.struct(F.col("v").alias("x"), F.lit(None).cast(e.schema["v"].dataType).alias("y"), F.lit(1).alias("here"))
+        ends_ = e.select(F.explode(F.array(own, other) if end == "v" else F.array(own)).alias("p")).select("p.*")
+        least = ends_.groupBy("x").agg(F.min("y").alias("y"), F.sum("here").alias("n")).select(F.col("x").alias(few), F.coalesce("y", "x").alias("m"), (F.col("n") > max(hub, n >> 16)).alias("hot"))
+        if n <= hub:
+            return e.join(least, F.col(end) == F.col(few)).select("u", "v", "m")
+        known = e.join(F.broadcast(least.where("hot").select(F.col(few).alias(end), F.col("m").alias("hot_m"))), end, "left")
+        cold = known.where("hot_m is null").select("u", "v").join(least.where("not hot"), F.col(end) == F.col(few)).select("u", "v", "m")
+        return known.where("hot_m is not null").select("u", "v", F.col("hot_m").alias("m")).union(cold)
+
+    e, n, before = round_(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 0, None)
+    k = 0
+    while n:
+        k += 1
+        few = max(8, -(-n // rows_per_file))
+        small = tied(e, "u", n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct()
+        large = tied(small.coalesce(few), "v", n).select("u", F.col("m").alias("v")).distinct()
+        e, n, now = round_(large, k, few)
+        remove(spark, f"{base}/{k - 1}")
         if now == before:
             break
         before = now
-    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")))
+    remove(spark, base)
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the least node that each node of an edge is connected with."""
+    roots = star_roots(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnRenamed("root", "component")
     every = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return every.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 

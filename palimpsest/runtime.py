@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
@@ -54,10 +53,10 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete what earlier rounds of a loop wrote. Shuffle files and checkpoints of frames that nobody holds go when the driver collects its garbage, which by itself may be long after they fill the disks."""
-    gc.collect()
-    spark._jvm.System.gc()
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows of `df`, read again from a table at the path: like `cut`, but the caller can remove it by name."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
