@@ -1,18 +1,16 @@
 """Near-duplicates by similarity: anchors let documents meet, SimHash tries propose, shingle sets decide.
 
 At a Jaccard similarity of 0.8 over word shingles SimHashes differ in about 10 of 64 bits, far beyond what blocks of
-a fingerprint can find. So documents first meet by anchors: each of `ANCHORS` keys is made of `ROWS` minima of its shingles'
+a fingerprint can find. So documents meet by anchors: each of `ANCHORS` keys is made of `ROWS` minima of its shingles'
 hashes, and documents of similarity s share one with probability 1 - (1 - s ** ROWS) ** ANCHORS (0.9998 at 0.8).
 
-A document is first compared with the least holders of its anchors, as far as sizes and fingerprints allow. So a group of k copies costs at most `ANCHORS` * k comparisons, not pairs.
-What that connects is a class. Documents that share anchors, directly or by others, are a cluster; in clusters that are still several classes, the tries
-of the fingerprints of the shingle sets are joined with themselves within a budget of `NEAR_BITS` bits (about four standard deviations above the mean at 0.8), and the
-pairs of different classes that come out are compared. Within the largest class of a cluster nothing is looked at again. Links go through components.
+A document is first compared with the least holders of its anchors, as far as sizes and fingerprints allow. Holders of an anchor that are of different
+classes then are pairs of a trie: the fingerprints of each group are joined with themselves within a budget of
+`NEAR_BITS` bits (about four standard deviations above the mean at 0.8). Full sets of 64-bit hashes decide. set_links has the joins, and says how groups are bounded; documents
+meet by the anchors that they share, never by what others share.
 
-Documents of one shingle set (copies) are one until the end. Clusters are dealt over blocks of at most about `CLUSTER_BLOCK` documents, and each pair of
-blocks is a group of its own, so a group's size has a bound; joins by a key that many rows may have are dealt by a second one.
-
-A caller may give other texts of the documents, those that they had before a stage that changed them: documents that are near copies by either are linked.
+A caller may give other texts of the documents, those that they had before a stage that changed them: documents that are near copies by either are linked, and so are
+the two texts of a row. Rows of one id are told apart by the text that they have now, so each of them is tied to every other text of that id.
 
 Defined results: null and empty texts have no shingle and are copies of each other; repeated rows are copies; the document with the least
 id stays (nulls last), of several rows with that id the one with the least hash of its columns; an empty table gives no rows; columns pass through.
@@ -23,37 +21,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
-from palimpsest.llm.simhash_trie import components, keep, majority_bits, trie_pairs
-from palimpsest.runtime import cut, release
+from palimpsest.llm import set_links as S
+from palimpsest.llm.simhash_trie import keep, majority_bits, trie_pairs
+from palimpsest.operators.graph import star_roots
+from palimpsest.runtime import cut
 
 WORDS = 5
-SIMILARITY = 0.8
+PERCENT = 80
 ANCHORS = 12
 ROWS = 3
 NEAR_BITS = 20
 #: Six standard deviations above the mean at 0.8: a bound for pairs whose sets are compared in any case.
 FAR_BITS = 26
-CLUSTER_BLOCK = 256
-DEALS = 64
-#: Bits of the bitmap of texts whose sets are needed, 16 MB: beyond some ten millions of them it rules out less and less, and sets of others are made in vain, but none is lost.
-PLACES = 1 << 27
 
 _MULTIPLIERS = K.mix(np.arange(1, ANCHORS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def _hashes(batch_column: pa.Array, words_of_shingle: int):
-    """Rows [a, b), all shingle hashes of these texts, and where each text's begin and end."""
-    for a, b, data, offsets in K.text_blocks(batch_column):
-        data = K.LOWER[data]
-        starts, ends, first = K.spans(data, offsets, K.PLAIN)
-        yield a, b, *K.shingles(K.span_hashes(data, starts, ends), first, words_of_shingle)
-
-
 def anchors(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """ANCHORS keys per text, each from ROWS minima; texts without a shingle have zeros."""
     out = np.zeros((len(bounds) - 1, ANCHORS), np.uint64)
@@ -67,167 +54,61 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, tag: Column, text_col: str, words_of_shingle: int = WORDS) -> DataFrame:
-    """__id, tag (a long), set_key (a hash of the set of shingles), anchors; one narrow pass."""
-    out = K.schema(__id=docs.schema[id_col].dataType.simpleString(), tag="bigint", set_key="bigint", anchors="array<bigint>")
-
-    def run(batch: pa.RecordBatch):
-        for a, b, hashes, bounds in _hashes(batch.column(2), words_of_shingle):
-            keys = [xxhash.xxh3_64_intdigest(np.unique(hashes[x:y]).tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            found = anchors(hashes, bounds)
-            yield [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.array(keys, np.uint64).view(np.int64)), K.lists(found.ravel().view(np.int64), np.arange(b - a + 1) * ANCHORS, pa.int64())]
-
-    return K.map_arrow(docs.select(F.col(id_col).alias("__id"), tag.alias("tag"), F.col(text_col).alias("text")), run, out)
-
-
-def join_dealt(rows: DataFrame, few: DataFrame, key: str, spread: str) -> DataFrame:
-    """`rows` joined with `few`, which has each key once: what a key has in `rows` is dealt over DEALS parts by `spread`, and a part exists only where it has rows."""
-    rows = rows.withColumn("deal", F.pmod(F.xxhash64(spread), F.lit(DEALS)).cast("int"))
-    return rows.join(few.join(rows.select(key, "deal").distinct(), key), [key, "deal"]).drop("deal")
-
-
-def meetings(distinct: DataFrame) -> DataFrame:
-    """u, v (set keys): each holder of an anchor that several owners have, and the one of the least owner, or for holders of that owner the one of the greatest. distinct: set_key, owner, anchors."""
-    keys = distinct.select("set_key", "owner", F.posexplode("anchors").alias("slot", "anchor"))
-    one = F.struct("owner", "set_key")
-    shared = keys.groupBy("slot", "anchor").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.owner <> high.owner")
-    met = keys.join(shared, ["slot", "anchor"]).select("set_key", F.when(F.col("owner") == F.col("low.owner"), F.col("high.set_key")).otherwise(F.col("low.set_key")).alias("v"))
-    return met.select(F.greatest("set_key", "v").alias("u"), F.least("set_key", "v").alias("v")).distinct()
-
-
-def bitmap(places: DataFrame) -> np.ndarray:
-    """A bit for each hash (one column of longs) modulo PLACES: of a fixed size, however many there are."""
-    (name,) = places.columns
-    at = F.pmod(F.col(name), F.lit(PLACES))
-    words = places.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, 64) as int))")).alias("bits")).toArrow()
-    out = np.zeros(PLACES // 64, np.uint64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
-
-
-def shingle_sets(texts: DataFrame, wanted: DataFrame, words_of_shingle: int = WORDS) -> DataFrame:
-    """set_key, fingerprint, n and shingles (32 bits of each one's hash, each once) of the texts (place, text) that are wanted (place, set_key): of n shingles about n * n / 2 ** 32 are taken for another.
-
-    Texts don't travel: a bitmap of the wanted places, broadcast, tells which ones are worth hashing, and only their sets meet `wanted`, which rules out what the bitmap took for others."""
-    out = K.schema(place="bigint", fingerprint="bigint", n="int", shingles="array<int>")
-    known = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select("place")))
+    """__id, tag (a long), set_key (a hash of the set of shingles), n (its size), keys (anchors), prints (the SimHash of the set); one narrow pass."""
+    out = K.schema(__id=docs.schema[id_col].dataType.simpleString(), tag="bigint", set_key="bigint", n="bigint", keys="array<bigint>", prints="array<bigint>")
 
     def run(batch: pa.RecordBatch):
-        at = np.mod(batch.column(0).to_numpy(), PLACES)
-        here = (known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        batch = batch.take(pa.array(np.flatnonzero(here)))
-        for a, b, hashes, bounds in _hashes(batch.column(1), words_of_shingle):
-            own = [np.unique(hashes[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+        for a, b, hashes, bounds in S.shingle_hashes(batch.column(2), words_of_shingle):
+            own, ends, set_keys = S.sets_of(hashes, bounds)
+            flat = K.concat_rows(own, np.uint64)
             # Of the sets, as the similarity is: a block that one text repeats must not tell them apart.
-            prints = majority_bits(K.concat_rows(own, np.uint64), ends).view(np.int64)
-            short = [np.unique((x >> np.uint64(32)).astype(np.uint32)) for x in own]
-            sizes = np.array([len(x) for x in short], np.int32)
-            yield [batch.column(0).slice(a, b - a), pa.array(prints), pa.array(sizes), K.lists(K.concat_rows(short, np.uint32).view(np.int32), np.concatenate([[0], np.cumsum(sizes)]), pa.int32())]
+            prints = majority_bits(flat, ends)
+            yield [
+                batch.column(0).slice(a, b - a),
+                batch.column(1).slice(a, b - a),
+                pa.array(set_keys.view(np.int64)),
+                pa.array(np.diff(ends)),
+                K.lists(anchors(flat, ends).ravel().view(np.int64), np.arange(b - a + 1) * ANCHORS, pa.int64()),
+                K.lists(prints.view(np.int64), np.arange(b - a + 1), pa.int64()),
+            ]
 
-    # Rows alike in all columns are one text several times.
-    return K.map_arrow(texts.select("place", "text"), run, out).join(wanted.select("place", "set_key"), "place").dropDuplicates(["place"]).drop("place")
-
-
-def is_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    # Sizes alone rule most others out.
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common >= similarity * (len(a) + len(b) - common) - 1e-9
-
-
-def met_links(met: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those u, v of `met` whose sets are similar. Sizes and fingerprints rule most others out before any set travels."""
-    brief = lambda c: sets.select(F.col("set_key").alias(c), F.col("fingerprint").alias(f"{c}_print"), F.col("n").alias(f"{c}_n"))
-    near = join_dealt(met.join(brief("u"), "u"), brief("v"), "v", "u")
-    near = near.where((F.least("u_n", "v_n") >= F.lit(similarity) * F.greatest("u_n", "v_n")) & (F.bit_count(F.col("u_print").bitwiseXOR(F.col("v_print"))) <= FAR_BITS))
-    near = cut(near.select("u", "v"))
-    one = near.join(sets.select(F.col("set_key").alias("u"), F.col("shingles").alias("u_shingles")), "u")
-    both = join_dealt(one, sets.select(F.col("set_key").alias("v"), F.col("shingles").alias("v_shingles")), "v", "u")
-
-    def run(batch: pa.RecordBatch):
-        a, b = batch.column(2), batch.column(3)
-        good = [is_similar(a[k].values.to_numpy(zero_copy_only=False), b[k].values.to_numpy(zero_copy_only=False), similarity) for k in range(batch.num_rows)]
-        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_())).columns
-
-    return K.map_arrow(both.select("u", "v", "u_shingles", "v_shingles"), run, K.schema(u="bigint", v="bigint"))
-
-
-def nodes_and_roots(edges: DataFrame, node: str, root: str) -> DataFrame:
-    """All nodes of the edges, roots too, with their roots."""
-    found = cut(components(edges))
-    return found.select(F.col("node").alias(node), F.col("root").alias(root)).union(found.select("root", "root").distinct())
-
-
-def similar(sets: list[np.ndarray], prints: np.ndarray, classes: np.ndarray, similarity: float, budget: int = NEAR_BITS) -> np.ndarray:
-    """For each set the place of the least one that its class or pairs of the similarity connect it with. `prints` has their fingerprints."""
-    _, first, inverse = np.unique(classes, return_index=True, return_inverse=True)
-    root = first[inverse].tolist()
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    def look(x: int, y: int) -> None:
-        x0, y0 = find(x), find(y)
-        if x0 != y0 and is_similar(sets[x], sets[y], similarity):
-            root[max(x0, y0)] = min(x0, y0)
-
-    order = np.argsort(prints, kind="stable")
-    sorted_ = prints[order]
-    heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    holders = np.split(order, heads[1:])
-    for same in holders:  # sets of one fingerprint stand at one leaf
-        for k, x in enumerate(same):
-            for y in same[:k]:
-                look(int(x), int(y))
-    keys = sorted_[heads]
-    zero = np.zeros(1, np.int64)
-    for a, b in trie_pairs(keys, zero, np.array([len(keys)]), zero, np.array([len(keys)]), zero, 0, budget) if len(keys) > 1 else ():
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            for x in holders[i]:
-                for y in holders[j]:
-                    look(int(x), int(y))
-    return np.array([find(x) for x in range(len(sets))], np.int64)
+    return K.map_arrow(docs.select(F.col(id_col).alias("__id"), tag.alias("tag"), F.col(text_col).alias("text")), run, out)
 
 
-def cluster_links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, block: int = CLUSTER_BLOCK) -> DataFrame:
-    """u, v (set keys) that connect exactly what pairs of the similarity within clusters connect beyond the classes. `members`: cluster, set_key, class; a set once."""
-    by_class = members.groupBy("cluster", "class").count()
-    stats = by_class.groupBy("cluster").agg(F.max(F.struct("count", "class")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("n_classes")).where("n_classes > 1")
-    blocks = lambda c: F.ceil(c / block).cast("int")
-    stats = stats.select("cluster", F.col("main.class").alias("main"), blocks(F.col("main.count")).alias("main_blocks"), blocks(F.col("n") - F.col("main.count")).alias("other_blocks"))
-    rows = join_dealt(members, cut(stats), "cluster", "set_key")
-    # Blocks of the other classes meet each other and those of the largest; blocks of the largest don't meet each other.
-    own = F.when(F.col("class") == F.col("main"), F.col("other_blocks") + F.pmod(F.xxhash64("set_key"), F.col("main_blocks"))).otherwise(F.pmod(F.xxhash64("set_key"), F.col("other_blocks"))).cast("int")
-    every = F.when(F.col("class") == F.col("main"), F.col("other_blocks")).otherwise(F.col("other_blocks") + F.col("main_blocks"))
-    # Sets are joined before rows go to several pairs of blocks, so that they travel as copies once.
-    rows = rows.select("cluster", "set_key", "class", own.alias("mine"), every.alias("every")).join(sets.select("set_key", "fingerprint", "shingles"), "set_key")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("every") - 1)))
-    rows = rows.select("cluster", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "set_key", "class", "fingerprint", "shingles")
+def near_prints(a: Column, b: Column) -> Column:
+    return F.bit_count(F.element_at(a, 1).bitwiseXOR(F.element_at(b, 1))) <= FAR_BITS
 
-    def judge(group: pa.Table) -> pa.Table:
-        group = group.take(pa.array(np.argsort(group["set_key"].to_numpy(), kind="stable")))
-        keys = group["set_key"].to_numpy()
-        found = [x.values.to_numpy(zero_copy_only=False) for x in group["shingles"]]
-        root = similar(found, group["fingerprint"].to_numpy().view(np.uint64), group["class"].to_numpy(), similarity)
-        linked = np.flatnonzero(root != np.arange(len(keys)))
-        return pa.table({"u": pa.array(keys[linked], pa.int64()), "v": pa.array(keys[root[linked]], pa.int64())})
 
-    return K.bounded_batches(rows).groupBy("cluster", "a", "b").applyInArrow(judge, K.schema(u="bigint", v="bigint"))
+def trie_proposer(group: np.ndarray, prints: np.ndarray):
+    """Pairs of places in each group whose fingerprints are within NEAR_BITS: the group's trie joined with itself; sets of one fingerprint stand at one leaf."""
+    order = np.lexsort((prints[:, 0], group))
+    g, keys = group[order], prints[order, 0]
+    new = np.concatenate([[True], (np.diff(g) != 0) | (keys[1:] != keys[:-1])])
+    leaf = np.flatnonzero(new)
+    for i, j in S.all_pairs(np.cumsum(new)):
+        yield order[i], order[j]
+    size = np.diff(np.append(leaf, len(order)))
+    lo = np.flatnonzero(np.concatenate([[True], np.diff(g[leaf]) != 0]))
+    hi = np.append(lo[1:], len(leaf))
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    if not len(lo):
+        return
+    for a, b in trie_pairs(keys[leaf], lo, hi, lo, hi, np.zeros(len(lo), np.int64), 0, NEAR_BITS):
+        n = size[a] * size[b]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        across = np.repeat(size[b], n)
+        yield order[np.repeat(leaf[a], n) + at // across], order[np.repeat(leaf[b], n) + at % across]
 
 
 def changed(docs: DataFrame, also: DataFrame, id_col: str, text_col: str, mark: str, words_of_shingle: int) -> DataFrame:
-    """Sketches of the texts in `also` that differ from those in `docs`, with the marks of these: __id, tag, set_key, anchors. Ids that either has twice are left out."""
-    once = lambda rows, *columns: rows.where("__id is not null").groupBy("__id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in columns]).where("n = 1").drop("n")
-    now = once(docs.select(F.col(id_col).alias("__id"), F.col(mark).alias("mark"), F.xxhash64(text_col).alias("now")), "mark", "now")
-    then = sketches(also, id_col, F.xxhash64(text_col), text_col, words_of_shingle)
-    return once(then, "tag", "set_key", "anchors").join(now, "__id").where("tag <> now").select("__id", F.col("mark").alias("tag"), "set_key", "anchors")
+    """Sketches of the texts in `also` that their id doesn't have in `docs`, with the marks of the rows of that id: __id, tag, set_key, n, keys, prints."""
+    now = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(mark).alias("mark"), F.xxhash64(text_col).alias("now"))
+    then = sketches(also.where(F.col(id_col).isNotNull()), id_col, F.xxhash64(text_col), text_col, words_of_shingle).dropDuplicates(["__id", "tag"])
+    gone = then.join(now.select("__id", F.col("now").alias("tag")), ["__id", "tag"], "left_anti")
+    return gone.drop("tag").join(now.select("__id", F.col("mark").alias("tag")).distinct(), "__id").select("__id", "tag", "set_key", "n", "keys", "prints")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words_of_shingle: int = WORDS, block: int = CLUSTER_BLOCK, also: DataFrame | None = None) -> DataFrame:
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words_of_shingle: int = WORDS, block: int = S.BLOCK, also: DataFrame | None = None) -> DataFrame:
     """`docs` with one document of each group of near-duplicates. Its columns and only these. `also`: other texts of documents, by the same id."""
     rows_, mark = K.marked(docs)
     rows = cut(sketches(rows_, id_col, F.col(mark), text_col, words_of_shingle))
@@ -236,31 +117,30 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         others = cut(changed(rows_, also, id_col, text_col, mark, words_of_shingle))
         forms = forms.unionByName(others.withColumn("other", F.lit(True)))
     row = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("tag").alias("mark"), "other")
-    # Copies have equal anchors: any will do.
-    distinct = forms.groupBy("set_key").agg(F.min(row).alias("head"), F.first("anchors").alias("anchors"))
+    # Copies have equal anchors and fingerprints: any will do.
+    distinct = forms.groupBy("set_key").agg(F.min(row).alias("head"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints"))
     # Two texts of one document needn't meet each other. Documents meet the earliest, which the others are more likely to be like than they are like one another.
     distinct = cut(distinct.withColumn("owner", F.col("head").dropFields("other")))
-    met = cut(meetings(distinct))
-    asked = cut(met.select(F.col("u").alias("set_key")).union(met.select("v")).distinct().join(distinct, "set_key").select("set_key", F.col("head.id").alias("head_id"), F.col("head.mark").alias("head_mark"), F.col("head.other").alias("other")))
-    texts = rows_.select(F.xxhash64(id_col, mark).alias("place"), F.col(text_col).alias("text"))
-    sets = shingle_sets(texts, asked.where("not other").select(F.xxhash64("head_id", "head_mark").alias("place"), "set_key"), words_of_shingle)
-    if also is not None:
-        texts = also.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
-        sets = sets.unionByName(shingle_sets(texts, asked.where("other").select(F.xxhash64("head_id").alias("place"), "set_key"), words_of_shingle))
-    sets = cut(sets)
-    near = cut(met_links(met, sets, similarity))
-    release(docs.sparkSession)
-    classes = cut(nodes_and_roots(near, "set_key", "class"))
-    clusters = nodes_and_roots(met, "set_key", "cluster").join(classes, "set_key", "left").select("cluster", "set_key", F.coalesce("class", "set_key").alias("class"))
-    edges = classes.select(F.col("set_key").alias("u"), F.col("class").alias("v")).unionByName(cut(cluster_links(cut(clusters), sets, similarity, block)))
-    if also is not None:  # two texts of one document
-        edges = edges.unionByName(rows.alias("r").join(others.alias("o"), F.col("r.__id").eqNullSafe(F.col("o.__id")) & (F.col("r.tag") == F.col("o.tag"))).select(F.col("r.set_key").alias("u"), F.col("o.set_key").alias("v")))
-    edges = cut(edges)
-    release(docs.sparkSession)
-    roots = components(edges).select(F.col("node").alias("set_key"), "root")
+    heads = distinct.select("set_key", "head.id", "head.mark", "head.other")
+
+    def full(asked: DataFrame) -> DataFrame:
+        asked = cut(asked.join(heads, "set_key"))
+        texts = rows_.select(F.xxhash64(id_col, mark).alias("place"), F.col(text_col).alias("text"))
+        sets = S.full_sets(texts, asked.where("not other").select(F.xxhash64("id", "mark").alias("place"), "set_key"), words_of_shingle)
+        if also is not None:
+            texts = also.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
+            sets = sets.unionByName(S.full_sets(texts, asked.where("other").select(F.xxhash64("id").alias("place"), "set_key"), words_of_shingle))
+        return sets
+
+    edges = S.similar_links(distinct.where("n > 0"), full, percent, near_prints, trie_proposer, block)
+    if also is not None:  # the texts of one row
+        tie = rows.select("__id", "tag", F.col("set_key").alias("u")).join(others.select("__id", "tag", F.col("set_key").alias("v")), ["__id", "tag"])
+        edges = edges.unionByName(tie.select("u", "v").distinct())
+    roots = star_roots(edges).withColumnRenamed("node", "set_key")
 
     named = distinct.join(roots, "set_key", "left").select("set_key", F.col("head").dropFields("other").alias("head"), F.coalesce("root", "set_key").alias("root"))
-    heads = named.groupBy("root").agg(F.min("head").alias("stays"))
-    named = named.join(heads, "root").select("set_key", "stays")
-    judged = rows.join(named, "set_key").select("__id", F.col("tag").alias("__head"), F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("tag").alias("mark")).eqNullSafe(F.col("stays")).alias("stays"))
+    stay = named.groupBy("root").agg(F.min("head").alias("stays"))
+    named = S.join_dealt(named.select("set_key", "root"), stay, "root", "set_key").select("set_key", "stays")
+    one = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("tag").alias("mark"))
+    judged = S.join_dealt(rows.select("__id", "tag", "set_key"), named, "set_key", "tag").select("__id", F.col("tag").alias("__head"), one.eqNullSafe(F.col("stays")).alias("stays"))
     return keep(rows_, mark, id_col, cut(judged.groupBy("__id", "__head").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))))

@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
-from palimpsest.runtime import cut, release
+from palimpsest.llm.set_links import join_dealt
+from palimpsest.operators.graph import star_roots
+from palimpsest.runtime import cut
 
 SEED = 42
 BITS = 64
@@ -255,46 +257,16 @@ def links(distinct: DataFrame, column: str = "fingerprint", budget: int = BUDGET
     return rows.mapInArrow(run, K.schema(u="bigint", v="bigint"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node of its component, for all nodes of `edges` (u, v), by alternating large and small stars.
-
-    A large star ties each node's greater neighbours to its least one, a small star its lesser neighbours; when neither
-    changes the edges any more, they are stars around the roots. Each round is written, so a lost executor costs one round."""
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        ends = e.select(F.col("u").alias("x"), F.col("v").alias("y"))
-        if large:
-            both = ends.unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        else:
-            both = ends.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        tied = both.join(least, "x")
-        if large:
-            return tied.where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        return tied.where("y <> m").select(F.col("y").alias("u"), F.col("m").alias("v")).unionByName(least.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
-
-    sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    edges = cut(edges.where("u <> v").distinct())
-    before = sign(edges)
-    while True:
-        edges = cut(star(star(edges, True), False))
-        release(edges.sparkSession)
-        now = sign(edges)
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-
-
 def _classes(docs: DataFrame, id_col: str, text_col: str, words_of_shingle: int, seed: int, budget: int, split_above: int, rest: list[str]) -> DataFrame:
     """id, fingerprint (long), root (the component's fingerprint), component_id and `rest`, by row."""
     prints = cut(fingerprints(docs, id_col, text_col, words_of_shingle, seed, rest))
     distinct = cut(prints.groupBy("fingerprint").agg(F.min(id_col).alias("least_id")))
-    roots = components(links(distinct, budget=budget, split_above=split_above))
+    roots = star_roots(links(distinct, budget=budget, split_above=split_above))
     named = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select(F.col("fingerprint").alias("__fp"), "root", "component_id")
-    return prints.join(named, prints["fingerprint"] == named["__fp"]).drop("__fp")
+    named = join_dealt(named.select("fingerprint", "root"), least, "root", "fingerprint")
+    # All copies of a text, and all empty ones, have one fingerprint.
+    return join_dealt(prints, named.select("fingerprint", "root", "component_id"), "fingerprint", id_col)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of_shingle: int = 3, seed: int = SEED, budget: int = BUDGET, split_above: int = SPLIT_ABOVE) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from palimpsest.llm import simhash_trie as S
+from palimpsest.operators.graph import star_roots
 
 from .fixtures import documents, frame
 
@@ -67,7 +68,7 @@ def test_links_connect_all_near_pairs_also_in_cut_groups(spark):
     df = spark.createDataFrame([(int(np.uint64(k).astype(np.int64)),) for k in keys], "fingerprint long")
     for above in (10**6, 2):
         found = {}
-        for r in S.components(S.links(df, split_above=above)).collect():
+        for r in star_roots(S.links(df, split_above=above)).collect():
             found.setdefault(r["root"], {r["root"]}).add(r["node"])
         got = {frozenset(x % (1 << 64) for x in g) for g in found.values()}
         assert got == {frozenset(g) for g in want.values() if len(g) > 1}
