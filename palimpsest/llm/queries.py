@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bbit_minhash, fair_mix, license_scan, line_crf, line_dedup, mixture_langid, oracles, positional_index, quality_rules, simhash_trie, token_counts, warc_chain
+from palimpsest.llm import bbit_minhash, fair_mix, hard_negatives, license_scan, line_crf, line_dedup, mixture_langid, oracles, positional_index, quality_rules, simhash_trie, token_counts, warc_chain, whitening
 from palimpsest.runtime import read_table
 
 
@@ -70,14 +70,22 @@ def op10_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chain.round_trip(read_table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_trie, op3_token_counts, op4_line_crf, op5_positional_index, op6_license_scan, op7_fair_mix, op8_mixture_langid, op9_line_dedup, op10_warc_chain, op13_bbit_minhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_simhash_trie, op3_token_counts, op4_line_crf, op5_positional_index, op6_license_scan, op7_fair_mix, op8_mixture_langid, op9_line_dedup, op10_warc_chain, op11_hard_negatives, op12_whitening, op13_bbit_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others hash as DuckDB can't, or learn or align; tests/llm holds them against brute force and held-out rows."""
-    return {"op1_quality_rules": oracles.QUALITY_RULES, "op5_positional_index": oracles.CONTAMINATION, "op7_fair_mix": oracles.FAIR_MIX, "op10_warc_chain": oracles.WARC}
+    return {"op1_quality_rules": oracles.QUALITY_RULES, "op5_positional_index": oracles.CONTAMINATION, "op7_fair_mix": oracles.FAIR_MIX, "op10_warc_chain": oracles.WARC, "op11_hard_negatives": oracles.HARD_NEGATIVES}
