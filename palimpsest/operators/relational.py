@@ -223,3 +223,10 @@ def children(parents: DataFrame, rows: DataFrame, parent: str, child: str, id_co
     lists = rows.groupBy(F.col(parent).alias("__p")).agg(F.array_sort(F.collect_list(child)).alias("children"))
     out = parents.join(lists, F.col(id_col) == F.col("__p"), "left").drop("__p")
     return out.withColumn("children", F.coalesce("children", F.array().cast(lists.schema["children"].dataType)))
+
+
+def join_dealt(rows: DataFrame, few: DataFrame, key: str | list[str], spread: str, deals: int = 64) -> DataFrame:
+    """`rows` joined with `few`, which has each key once: what a key has in `rows` is dealt over parts by `spread`, and a part exists only where it has rows, so a hot key isn't one task."""
+    key = [key] if isinstance(key, str) else key
+    rows = rows.withColumn("__deal", F.pmod(F.xxhash64(spread), F.lit(deals)).cast("int"))
+    return rows.join(few.join(rows.select(*key, "__deal").distinct(), key), [*key, "__deal"]).drop("__deal")
