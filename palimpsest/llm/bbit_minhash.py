@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import kernel as K
 from palimpsest.llm import set_links as S
 from palimpsest.operators.graph import star_roots
+from palimpsest.operators.relational import join_dealt
 from palimpsest.runtime import cut
 
 WORDS = 3
@@ -63,7 +64,7 @@ def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def signature(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of bands from whole minima, and the low bits of all of them, 32 minima a word."""
-    keys = np.zeros((len(least), BANDS), np.uint64)
+    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(least), 1))
     for k in range(BANDS * ROWS):
         keys[:, k // ROWS] = K.mix(keys[:, k // ROWS] + K.mix(least[:, k]))
     per_word = 64 // LOW_BITS
@@ -138,21 +139,18 @@ def proposer(most: int) -> S.Propose:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_of_shingle: int = WORDS, percent: int = PERCENT, block: int = S.BLOCK) -> DataFrame:
     """id, n_shingles, component_id, kept: one row per document; linked are documents of at least `percent` hundredths of their shingles in common."""
     rows = cut(sketches(docs, id_col, text_col, words_of_shingle))
-    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"))
     # Copies have equal keys and prints: any will do.
-    forms = cut(rows.where("n > 0").groupBy("set_key").agg(F.min(place).alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")))
+    forms = cut(rows.where("n > 0").groupBy("set_key").agg(F.min("__id").alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")))
     texts = docs.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
-    heads = forms.select("set_key", F.xxhash64("owner.id").alias("place"))
+    heads = forms.select("set_key", F.xxhash64("owner").alias("place"))
     full = lambda asked: S.full_sets(texts, cut(asked.join(heads, "set_key")), words_of_shingle)
-    # Of two sets of one owner (a repeated id, or none) each is an owner.
-    named = forms.withColumn("owner", F.struct("owner", "set_key"))
     most = most_unlike(percent)
-    roots = star_roots(S.similar_links(named, full, percent, near_prints(most), proposer(most), block))
+    roots = star_roots(S.similar_links(forms, full, percent, near_prints(most), proposer(most), block))
     # Of a component the least id (nulls take no part) comes to all its sets, and from these to all documents.
-    classes = forms.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.col("owner.id").alias("id"), F.coalesce("root", "set_key").alias("root"))
+    classes = forms.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.col("owner").alias("id"), F.coalesce("root", "set_key").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = S.join_dealt(classes.select("set_key", "root"), least, "root", "set_key").select("set_key", "component_id")
+    classes = join_dealt(classes.select("set_key", "root"), least, "root", "set_key").select("set_key", "component_id")
     # Only copies need the join by set; a set that one document has is one row, and a hot one is dealt by id.
-    linked = S.join_dealt(rows.where("n > 0").select("__id", "set_key", "n"), classes, "set_key", "__id").select("__id", "n", "component_id")
+    linked = join_dealt(rows.where("n > 0").select("__id", "set_key", "n"), classes, "set_key", "__id").select("__id", "n", "component_id")
     out = linked.unionByName(rows.where("n = 0").select("__id", "n", F.col("__id").alias("component_id")))
     return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))

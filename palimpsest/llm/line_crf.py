@@ -11,7 +11,7 @@ of documents with over a twentieth of these lines none are learnt from. Their li
 Defined results: a null or empty text is one line without words and is scored as such; blank lines between others don't
 count; repeated rows get repeated results; a document labelled twice counts as bad if either says so; null labels aren't learnt from; without
 both labels every score is the share of good ones (1 if there are none); an empty table gives no rows. Only the text is
-an input; other columns aren't read.
+an input; other columns aren't read. Features of texts of very many lines are made in runs of lines, and only three numbers a line are kept; a line itself is a whole.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from palimpsest.llm import kernel as K
 TRAIN_DOCS = 6_000
 #: Bound of the fitting sample, lines; a document with more than a twentieth of them isn't learnt from.
 TRAIN_LINES = 100_000
+#: Lines whose features are held at once.
+RUN_LINES = 20_000
 EPOCHS = 150
 RATE = 0.1
 DECAY = 1e-3
@@ -48,12 +50,14 @@ _TABLES = {k: np.isin(np.arange(256), np.frombuffer(v, np.uint8)) for k, v in _S
 _STEPS = (0.05, 0.2, 0.5)
 RATIOS = (*_SETS, "upper", "beyond_ascii", "repeated_words", "next_word_same", "long_words")
 OWN = len(RATIOS) * (1 + len(_STEPS)) + 5
+#: Where the own features say that the text had this line before.
+SEEN = OWN - 3
 #: The line's own features, those of the lines before and after (0 where there are none), whether there are any, and a constant.
 WIDTH = 3 * OWN + 3
 
 
-def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines with words, the weight (bytes) of each, and the first line of each text. A text without such a line has one of zeros."""
+def own_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all lines with words: their own features, sizes (bytes), texts and hashes."""
     starts, ends, _ = K.spans(data, offsets, _LINE)
     word_starts, word_ends, _ = K.spans(data, offsets, K.PLAIN)
     line_of = np.searchsorted(starts, word_starts, "right") - 1
@@ -63,6 +67,8 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     renumber[full] = np.arange(len(full))
     starts, ends, n_words, line_of = starts[full], ends[full], n_words[full], renumber[line_of]
     n = len(full)
+    if not n:
+        return np.zeros((0, OWN), np.float32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def per_line(mask: np.ndarray) -> np.ndarray:
         total = np.zeros(len(mask) + 1, np.int64)
@@ -70,7 +76,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         return (total[ends] - total[starts]).astype(float)
 
     size = (ends - starts).astype(float)
-    hashes = K.span_hashes(data, word_starts, word_ends) if n else np.zeros(0, np.uint64)
+    hashes = K.span_hashes(data, word_starts, word_ends)
     order = np.lexsort((hashes, line_of))
     again = np.zeros(len(hashes), bool)
     again[1:] = (hashes[order][1:] == hashes[order][:-1]) & (line_of[order][1:] == line_of[order][:-1])
@@ -88,15 +94,20 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         np.bincount(line_of[same], minlength=n) / np.maximum(1, n_words),
         np.bincount(line_of[word_ends - word_starts > 12], minlength=n) / np.maximum(1, n_words),
     ]
-    line_hash = K.span_hashes(data, starts, ends) if n else np.zeros(0, np.uint64)
+    line_hash = K.span_hashes(data, starts, ends)
     doc = np.searchsorted(offsets, starts, "right") - 1
     order = np.lexsort((np.arange(n), line_hash, doc))
     seen = np.zeros(n, bool)
     seen[order[1:]] = (line_hash[order][1:] == line_hash[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     columns = [r > s for r in ratios for s in _STEPS] + ratios
     columns += [np.log1p(n_words) / 5, n_words < 5, seen, np.minimum(size / np.maximum(1, n_words), 30) / 10, np.ones(n)]
-    own = np.stack(columns, axis=1).astype(np.float32) if n else np.zeros((0, OWN), np.float32)
+    return np.stack(columns, axis=1).astype(np.float32), size, doc, line_hash
 
+
+def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines with words, the weight (bytes) of each, and the first line of each text. A text without such a line has one of zeros."""
+    own, size, doc, _ = own_features(data, offsets)
+    n = len(own)
     # A text without words keeps its place as one line of zeros.
     counts = np.bincount(doc, minlength=len(offsets) - 1) if n else np.zeros(len(offsets) - 1, np.int64)
     first = np.concatenate([[0], np.cumsum(np.maximum(1, counts))])
@@ -154,6 +165,90 @@ def chains(score: np.ndarray, first: np.ndarray, stay: float) -> tuple[np.ndarra
     return 1 / (1 + np.exp(-odds)), together, log_z
 
 
+def forward_odds(score: np.ndarray, stay: float) -> np.ndarray:
+    """f(t) = s(t) + m(f(t-1)) of one long chain, in about two times the square root of its length steps.
+
+    In odds, a step is a fraction of two linear terms, so steps compose as 2 x 2 matrices. The chain is cut into runs that are walked side by side: once for the matrix of each run, then, with
+    what comes into each run, for the odds."""
+    n = len(score)
+    width = max(1, int(np.ceil(n**0.5)))
+    runs = -(-n // width)
+    padded = np.zeros(runs * width)  # runs are columns of s, the last one is filled up
+    padded[:n] = score
+    s = padded.reshape(runs, width).T
+    a = np.exp(stay)
+    matrix = np.tile(np.eye(2), (runs, 1, 1))
+    for t in range(width):
+        up = np.clip(s[t], -300, 300)
+        top = np.exp(up)[:, None] * (a * matrix[:, 0] + matrix[:, 1])
+        low = matrix[:, 0] + a * matrix[:, 1]
+        matrix = np.stack([top, low], axis=1)
+        matrix /= matrix.max(axis=(1, 2), keepdims=True)
+    came = np.zeros(runs)
+    odds = np.array([1.0, 1.0])  # the first line has no line before: even odds pass on nothing
+    for r in range(runs):
+        came[r] = np.log(max(odds[0], 1e-300)) - np.log(max(odds[1], 1e-300))
+        odds = matrix[r] @ odds
+        odds /= odds.max()
+    out = np.zeros((width, runs))
+    for t in range(width):
+        came = s[t] + np.logaddexp(came + stay, 0) - np.logaddexp(came, stay)
+        out[t] = came
+    return out.T.ravel()[:n]
+
+
+class Seen:
+    """Hashes met so far, in sorted arrays of rising size."""
+
+    def __init__(self) -> None:
+        self.levels: list[np.ndarray] = []
+
+    def meet(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether each was met before; they are met now."""
+        known = np.zeros(len(hashes), bool)
+        for level in self.levels:
+            at = np.minimum(np.searchsorted(level, hashes), len(level) - 1)
+            known |= level[at] == hashes
+        new = np.unique(hashes[~known])
+        while self.levels and len(new) and len(self.levels[-1]) <= len(new):
+            new = np.union1d(self.levels.pop(), new)
+        if len(new):
+            self.levels.append(new)
+        return known
+
+
+def long_text(data: np.ndarray, model: Crf, run_lines: int) -> tuple[float, int, int]:
+    """Score, lines and bad lines of one text of many lines. Features are made of `run_lines` lines at a time, and only what they weigh for the line itself and its neighbours stays."""
+    ends = np.append(np.flatnonzero(data == 0x0A)[run_lines - 1 :: run_lines] + 1, len(data))
+    parts: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    seen, x = Seen(), 0
+    weights = model.weights[: 3 * OWN].reshape(3, OWN).T
+    for y in ends.tolist():
+        own, size, _, hashes = own_features(data[x:y], np.array([0, y - x]))
+        own[:, SEEN] = np.maximum(own[:, SEEN], seen.meet(hashes))
+        # Half the width will do for what many millions of lines keep.
+        parts.append((own @ weights).astype(np.float32))
+        sizes.append(size.astype(np.float32))
+        x = y
+    own, before, after = np.concatenate(parts).T
+    weight = np.concatenate(sizes)
+    del parts, sizes
+    n = len(weight)
+    if not n:
+        own, before, after, weight, n = np.zeros(1), np.zeros(1), np.zeros(1), np.ones(1), 1
+    head, tail, constant = model.weights[3 * OWN :]
+    score = own.astype(np.float64) + constant
+    score[1:] += before[:-1] + head
+    score[:-1] += after[1:] + tail
+    del own, before, after
+    if not model.fitted:
+        return model.share, n, n if model.share < 0.5 else 0
+    odds = forward_odds(score, model.stay) + forward_odds(score[::-1], model.stay)[::-1] - score
+    marginal = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+    return float(marginal @ weight / weight.sum(dtype=np.float64)), n, int((marginal < 0.5).sum())
+
+
 def fit(features: np.ndarray, first: np.ndarray, good: np.ndarray, epochs: int = EPOCHS) -> Crf:
     """Maximum conditional likelihood by Adam; gradients are observed less expected counts from forward-backward."""
     share = float(good.mean()) if len(good) else 1.0
@@ -188,14 +283,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("__good"))
     draw = F.xxhash64(F.col(id_col).cast("string"))
     n_lines = F.coalesce(F.regexp_count(F.col(text_col), F.lit("\n")), F.lit(0)) + 1
-    sample = docs.join(F.broadcast(rows), F.col(id_col) == F.col("__id")).select("__good", F.col(text_col), draw.alias("__draw"), n_lines.alias("__lines")).where(F.col("__lines") <= train_lines // 20)
+    # Only the id and the text, under names of our own: a table may have columns of these names.
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), draw.alias("__draw"), n_lines.alias("__lines"))
+    sample = texts.join(F.broadcast(rows), "__id").where(F.col("__lines") <= train_lines // 20)
     # One number of lines for each document of the sample: those first by the hash that fit.
     total, last = 0, None
     for d, n in sorted(tuple(r) for r in sample.select("__draw", "__lines").collect()):
         if total + n > train_lines:
             break
         total, last = total + n, d
-    sample = sample.where(F.lit(False) if last is None else F.col("__draw") <= last).select("__good", text_col)
+    sample = sample.where(F.lit(False) if last is None else F.col("__draw") <= last).select("__good", "__text")
 
     def run(batch: pa.RecordBatch):
         for a, b, data, offsets in K.text_blocks(batch.column(1)):
@@ -213,21 +310,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(flat[rows_of].astype(np.float64), np.concatenate([[0], np.cumsum(lengths[order])]).astype(np.int64), good[order])
 
 
-def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text", run_lines: int = RUN_LINES) -> DataFrame:
     """id, score (length-weighted mean of the lines' marginals), n_lines, n_bad_lines (marginals under one half)."""
     out = K.schema(**{id_col: docs.schema[id_col].dataType.simpleString(), "score": "double", "n_lines": "bigint", "n_bad_lines": "bigint"})
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch):
         own: Crf = known.value
-        for a, b, data, offsets in K.text_blocks(batch.column(1)):
-            x, weight, first = line_features(data, offsets)
-            if own.fitted:
-                marginal, _, _ = chains(x @ own.weights, first, own.stay)
-            else:
-                marginal = np.full(len(x), own.share)
-            mean = np.add.reduceat(marginal * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
-            bad = np.add.reduceat((marginal < 0.5).astype(np.int64), first[:-1])
-            yield [batch.column(0).slice(a, b - a), pa.array(np.clip(mean, 0, 1), pa.float64()), pa.array(np.diff(first), pa.int64()), pa.array(bad, pa.int64())]
+        for a, _, data, offsets in K.text_blocks(batch.column(1)):
+            n_lines = np.diff(np.searchsorted(np.flatnonzero(data == 0x0A), offsets)) + 1
+            total = np.concatenate([[0], np.cumsum(n_lines)])
+            x = 0
+            while x < len(n_lines):
+                y = max(x + 1, int(np.searchsorted(total, total[x] + run_lines, "right")) - 1)
+                ids = batch.column(0).slice(a + x, y - x)
+                if total[y] - total[x] > run_lines:
+                    mean, n, bad = ([v] for v in long_text(data[offsets[x] : offsets[y]], own, run_lines))
+                else:
+                    rows, weight, first = line_features(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                    marginal = chains(rows @ own.weights, first, own.stay)[0] if own.fitted else np.full(len(rows), own.share)
+                    mean = np.add.reduceat(marginal * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
+                    n, bad = np.diff(first), np.add.reduceat((marginal < 0.5).astype(np.int64), first[:-1])
+                yield [ids, pa.array(np.clip(mean, 0, 1), pa.float64()), pa.array(n, pa.int64()), pa.array(bad, pa.int64())]
+                x = y
 
     return K.map_arrow(docs.select(id_col, text_col), run, out)

@@ -1,10 +1,10 @@
 """Links between documents whose sets of shingles are similar: met by keys, held against small prints, decided on full sets.
 
 A form is a set of shingles that stands for all documents that have it: set_key, owner, n (its size), keys (documents that are similar are likely to share one
-at a place), prints (a few words whose differing bits tell how similar two sets can be). Forms are linked in two steps.
+at a place; keys of two places differ), prints (a few words whose differing bits tell how similar two sets can be). Forms are linked in two steps.
 
 1. Each form meets the least owner's form of each of its keys, so k holders of a key give k meetings. Sizes and prints rule most out, full
-sets decide the rest. What that connects is a class.
+sets decide the rest. What that connects is a class. Then each form meets the one of another class whose prints are nearest, for each of its keys.
 2. Holders of a key that still are of different classes meet in pairs, in groups of bounded size: a key's holders are dealt over
 blocks, and each pair of blocks is a group. A pair is looked at where it first shares a key, only if it is of two classes and its prints are near; rows without such a
 pair go before any full set travels. Within a group the nearest pairs come first, and what they link needn't be looked at again. Groups give links, never pairs.
@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
 from palimpsest.operators.graph import star_roots
+from palimpsest.operators.relational import join_dealt
 from palimpsest.runtime import cut
 
 #: Holders of a key, and shingles of their sets together, up to which they are one block.
 BLOCK = 1024
 BLOCK_SHINGLES = 2 << 20
-DEALS = 64
 #: Bits of the bitmap of texts whose sets are needed, 16 MB: beyond some ten millions of them it rules out less and less, and sets of others are made in vain, but none is lost.
 PLACES = 1 << 27
 GROUP = ["slot", "key", "a", "b"]
@@ -79,19 +79,25 @@ def bitmap(places: DataFrame) -> np.ndarray:
     return out
 
 
-def join_dealt(rows: DataFrame, few: DataFrame, key: str | list[str], spread: str) -> DataFrame:
-    """`rows` joined with `few`, which has each key once: what a key has in `rows` is dealt over DEALS parts by `spread`, and a part exists only where it has rows."""
-    key = [key] if isinstance(key, str) else key
-    rows = rows.withColumn("deal", F.pmod(F.xxhash64(spread), F.lit(DEALS)).cast("int"))
-    return rows.join(few.join(rows.select(*key, "deal").distinct(), key), [*key, "deal"]).drop("deal")
+def keyed(forms: DataFrame, shared: DataFrame) -> DataFrame:
+    """set_key, slot, key: the keys of each form that several forms have. Of the others a bitmap of the shared ones (broadcast) rules most out before anything travels; what it took for shared is ruled out by joins later."""
+    known = forms.sparkSession.sparkContext.broadcast(bitmap(shared.select("key")))
 
+    def run(batch: pa.RecordBatch):
+        lists = batch.column(1)
+        keys, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        slot = np.arange(len(keys)) - (ends[:-1] - ends[0])[owner]
+        at = np.mod(keys, PLACES)
+        here = np.flatnonzero((known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+        yield [batch.column(0).take(pa.array(owner[here])), pa.array(slot[here].astype(np.int32)), pa.array(keys[here])]
+
+    return K.map_arrow(forms.select("set_key", "keys"), run, K.schema(set_key="bigint", slot="int", key="bigint"))
 
-def meetings(forms: DataFrame) -> DataFrame:
-    """u, v (set keys): each holder of a key that several owners have, and the one of the least owner, or for holders of that owner the one of the greatest."""
-    keys = forms.select("set_key", "owner", F.posexplode("keys").alias("slot", "key"))
-    one = F.struct("owner", "set_key")
-    shared = keys.groupBy("slot", "key").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low.owner <> high.owner")
-    met = join_dealt(keys, shared, ["slot", "key"], "set_key").select("set_key", F.when(F.col("owner") == F.col("low.owner"), F.col("high.set_key")).otherwise(F.col("low.set_key")).alias("v"))
+
+def meetings(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """u, v (set keys): each holder of a shared key and the one of its least owner."""
+    met = join_dealt(rows.select("set_key", "key"), shared.select("key", F.col("low.set_key").alias("v")), "key", "set_key")
     return met.select(F.greatest("set_key", "v").alias("u"), F.least("set_key", "v").alias("v")).where("u <> v").distinct()
 
 
@@ -167,6 +173,25 @@ def _active(rows: pa.Table, propose: Propose, percent: int) -> pa.Table:
     return rows.filter(pa.array(hit))
 
 
+def _nearest(rows: pa.Table, propose: Propose, percent: int) -> pa.Table:
+    """u, v: for each row of a pair that is of the smaller class of the two in its group, the nearest partner of another class. One row each at most."""
+    prints, keys = _ints(rows["prints"], np.uint64), rows["set_key"].to_numpy()
+    _, of, size = np.unique(np.stack([_number_groups(rows), rows["class"].to_numpy()]), axis=1, return_inverse=True, return_counts=True)
+    weight = size[of.ravel()]
+    best = np.full(len(rows), 64 * prints.shape[1] + 1)
+    partner = np.full(len(rows), -1)
+    for i, j in _candidates(rows, propose, percent):
+        swap = weight[i] > weight[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        far = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1).astype(np.int64)
+        order = np.argsort(-far, kind="stable")  # of several the nearest is written last
+        i, j, far = i[order], j[order], far[order]
+        better = far < best[i]
+        best[i[better]], partner[i[better]] = far[better], j[better]
+    has = np.flatnonzero(partner >= 0)
+    return pa.table({"u": pa.array(keys[has], pa.int64()), "v": pa.array(keys[partner[has]], pa.int64())})
+
+
 def _links(rows: pa.Table, propose: Propose, percent: int) -> pa.Table:
     """What the full sets of candidates link, the nearest first: a tree for each that becomes one."""
     pairs = list(_candidates(rows, propose, percent))
@@ -224,29 +249,52 @@ def by_groups(rows: DataFrame, fn: Callable[[pa.Table], pa.Table], out, held_row
     return rows.mapInArrow(run, out)
 
 
+def mixed_groups(named: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """Holders of keys that forms of several classes have, in groups: GROUP, mine (a row's own block), and what is known of the form. named: set_key, n, class, keys, prints; rows: set_key, slot, key."""
+    held = join_dealt(rows, named.select("set_key", "n", "class"), "set_key", "key")
+    mixed = held.groupBy("slot", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("low <> high")
+    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = join_dealt(rows, cut(mixed.select("slot", "key", blocks.alias("blocks"))), ["slot", "key"], "set_key")
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tags = named.select("set_key", "class", "n", "prints", F.transform("keys", lambda x: F.shiftright(x, 32).cast("int")).alias("tags"))
+    out = dealt.select("slot", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "set_key").join(tags, "set_key")
+    return out.select(*GROUP, "mine", "set_key", "class", F.col("n").cast("long").alias("n"), "prints", "tags")
+
+
 def similar_links(forms: DataFrame, full: Callable[[DataFrame], DataFrame], percent: int, near: Callable[[Column, Column], Column], propose: Propose, block: int = BLOCK) -> DataFrame:
     """u, v: links of set keys that connect what is similar. `full` gives the full sets (set_key, shingles) of the asked set keys; `near` says of two prints whether their sets can be similar, and `propose` which pairs of a group are."""
-    met = meetings(forms)
+    keys = forms.select("owner", "set_key", F.explode("keys").alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.min(F.struct("owner", "set_key")).alias("low"), F.count("*").alias("n")).where("n > 1").select("key", "low"))
+    rows = cut(keyed(forms, shared))
+    some = rows.select("set_key").distinct()
+    # Forms that share no key are never looked at again.
+    forms = cut(forms.select("set_key", "n", "keys", "prints").join(some, "set_key", "left_semi"))
+    link = K.schema(u="bigint", v="bigint")
+
+    def named(roots: DataFrame) -> DataFrame:
+        return forms.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "n", "keys", "prints", F.coalesce("root", "set_key").alias("class"))
+
     brief = lambda c: forms.select(F.col("set_key").alias(c), F.col("prints").alias(f"{c}_prints"), F.col("n").alias(f"{c}_n"))
-    met = join_dealt(met.join(brief("u"), "u"), brief("v"), "v", "u")
+    met = join_dealt(meetings(rows, shared).join(brief("u"), "u"), brief("v"), "v", "u")
     met = cut(met.where(sizes_fit(F.col("u_n"), F.col("v_n"), percent) & near(F.col("u_prints"), F.col("v_prints"))).select("u", "v"))
     sets = cut(full(met.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()))
-    roots = star_roots(similar_rows(met, sets, percent)).select(F.col("node").alias("set_key"), F.col("root").alias("class"))
-
-    named = forms.join(roots, "set_key", "left").select("set_key", "n", "keys", "prints", F.coalesce("class", "set_key").alias("class"))
-    keys = named.select("set_key", "n", "class", F.posexplode("keys").alias("slot", "key"))
-    mixed = keys.groupBy("slot", "key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("m"), F.sum("n").alias("shingles")).where("low <> high")
-    blocks = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    rows = join_dealt(keys.select("set_key", "slot", "key"), cut(mixed.select("slot", "key", blocks.alias("blocks"))), ["slot", "key"], "set_key")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tags = named.select("set_key", "class", "n", "prints", F.transform("keys", lambda x: F.shiftright(x, 32).cast("int")).alias("tags"))
-    rows = rows.select("slot", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "set_key").join(tags, "set_key")
-    rows = rows.select(*GROUP, "mine", "set_key", "class", F.col("n").cast("long").alias("n"), "prints", "tags")
-    active = cut(by_groups(rows, lambda t: _active(t, propose, percent), rows.schema))
-    links = roots.select(F.col("set_key").alias("u"), F.col("class").alias("v"))
+    edges = cut(similar_rows(met, sets, percent))
+    roots = star_roots(edges)
+
+    # One more meeting by nearness: most of a large group that the least owner's form doesn't tie together is by then.
+    groups = mixed_groups(named(roots), rows, block)
+    tries = cut(by_groups(groups, lambda t: _nearest(t, propose, percent), link).distinct())
+    if tries.isEmpty():
+        return edges
+    lacking = tries.select(F.explode(F.array("u", "v")).alias("set_key")).distinct().join(sets.select("set_key"), "set_key", "left_anti")
+    sets = sets.unionByName(cut(full(cut(lacking))))
+    edges = cut(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(similar_rows(tries, sets, percent)))
+    roots = star_roots(edges)
+
+    groups = mixed_groups(named(roots), rows, block)
+    active = cut(by_groups(groups, lambda t: _active(t, propose, percent), groups.schema))
     if active.isEmpty():
-        return links
-    missing = active.select("set_key").distinct().join(sets.select("set_key"), "set_key", "left_anti")
-    every = sets.unionByName(full(cut(missing)))
-    found = by_groups(active.join(every, "set_key").select(*rows.columns, "shingles"), lambda t: _links(t, propose, percent), K.schema(u="bigint", v="bigint"))
-    return links.unionByName(found)
+        return edges
+    lacking = active.select("set_key").distinct().join(sets.select("set_key"), "set_key", "left_anti")
+    sets = sets.unionByName(full(cut(lacking)))
+    return edges.unionByName(by_groups(active.join(sets, "set_key").select(*groups.columns, "shingles"), lambda t: _links(t, propose, percent), link))

@@ -28,6 +28,7 @@ from palimpsest.llm import kernel as K
 from palimpsest.llm import set_links as S
 from palimpsest.llm.simhash_trie import keep, majority_bits, trie_pairs
 from palimpsest.operators.graph import star_roots
+from palimpsest.operators.relational import join_dealt
 from palimpsest.runtime import cut
 
 WORDS = 5
@@ -42,8 +43,8 @@ _MULTIPLIERS = K.mix(np.arange(1, ANCHORS * ROWS + 1, dtype=np.uint64)) | np.uin
 
 
 def anchors(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """ANCHORS keys per text, each from ROWS minima; texts without a shingle have zeros."""
-    out = np.zeros((len(bounds) - 1, ANCHORS), np.uint64)
+    """ANCHORS keys per text, each from its place and ROWS minima; texts without a shingle have their places."""
+    out = np.tile(np.arange(ANCHORS, dtype=np.uint64), (len(bounds) - 1, 1))
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
         for k, m in enumerate(_MULTIPLIERS):
@@ -119,8 +120,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     row = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("tag").alias("mark"), "other")
     # Copies have equal anchors and fingerprints: any will do.
     distinct = forms.groupBy("set_key").agg(F.min(row).alias("head"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints"))
-    # Two texts of one document needn't meet each other. Documents meet the earliest, which the others are more likely to be like than they are like one another.
-    distinct = cut(distinct.withColumn("owner", F.col("head").dropFields("other")))
+    # Documents meet the earliest, which the others are more likely to be like than they are like one another.
+    distinct = cut(distinct.withColumn("owner", F.col("head.id")))
     heads = distinct.select("set_key", "head.id", "head.mark", "head.other")
 
     def full(asked: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     named = distinct.join(roots, "set_key", "left").select("set_key", F.col("head").dropFields("other").alias("head"), F.coalesce("root", "set_key").alias("root"))
     stay = named.groupBy("root").agg(F.min("head").alias("stays"))
-    named = S.join_dealt(named.select("set_key", "root"), stay, "root", "set_key").select("set_key", "stays")
+    named = join_dealt(named.select("set_key", "root"), stay, "root", "set_key").select("set_key", "stays")
     one = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("tag").alias("mark"))
-    judged = S.join_dealt(rows.select("__id", "tag", "set_key"), named, "set_key", "tag").select("__id", F.col("tag").alias("__head"), one.eqNullSafe(F.col("stays")).alias("stays"))
+    judged = join_dealt(rows.select("__id", "tag", "set_key"), named, "set_key", "tag").select("__id", F.col("tag").alias("__head"), one.eqNullSafe(F.col("stays")).alias("stays"))
     return keep(rows_, mark, id_col, cut(judged.groupBy("__id", "__head").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))))

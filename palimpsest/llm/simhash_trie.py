@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
-from palimpsest.llm.set_links import join_dealt
 from palimpsest.operators.graph import star_roots
+from palimpsest.operators.relational import join_dealt
 from palimpsest.runtime import cut
 
 SEED = 42

@@ -1,5 +1,7 @@
 import itertools
 import math
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -83,3 +85,39 @@ def test_the_sample_is_bounded_in_lines(spark):
     marks = labels.select("doc_id", "quality").union(spark.createDataFrame([(10**6 + k, 0) for k in range(20)], "doc_id long, quality int"))
     one, other = C.train(docs, labels, train_lines=2000), C.train(both, marks, train_lines=2000)
     assert one.fitted and other.fitted and np.allclose(one.weights, other.weights)
+
+
+def test_long_chains_by_steps():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 9, 10, 1000):
+        for scale, stay in ((1, 0.4), (30, 3.0), (5, -2.0)):
+            score = rng.normal(size=n) * scale
+            odds = C.forward_odds(score, stay) + C.forward_odds(score[::-1], stay)[::-1] - score
+            marginal, _, _ = C.chains(score, np.array([0, n]), stay)
+            assert np.allclose(1 / (1 + np.exp(-np.clip(odds, -60, 60))), marginal, atol=1e-9)
+
+
+def test_texts_of_many_lines_in_runs(spark):
+    rng = np.random.default_rng(7)
+    model = C.Crf(rng.normal(size=C.WIDTH) / 4, 0.6, 0.5)
+    lines = ["x", "", "Some words, and more of them.", "### ||| !!!", "été 12 12", "x"]
+    rows = [(k, "\n".join(rng.choice(lines, size=n)), "en", "s", 1) for k, n in enumerate((1, 5, 40, 300, 1000, 7))] + [(90, "\n" * 500, "en", "s", 1), (91, None, "en", "s", 1)]
+    whole, runs = ({r["doc_id"]: r for r in C.score(frame(spark, rows), model, run_lines=n).collect()} for n in (10**6, 16))
+    for k, r in whole.items():
+        assert r["n_lines"] == runs[k]["n_lines"] and r["n_bad_lines"] == runs[k]["n_bad_lines"]
+        assert np.isclose(r["score"], runs[k]["score"], atol=1e-6)
+
+
+def test_memory_of_a_text_of_millions_of_lines():
+    code = """
+import resource, numpy as np
+from palimpsest.llm import line_crf as C
+model = C.Crf(np.random.default_rng(1).normal(size=C.WIDTH) / 4, 0.6, 0.5)
+text = np.frombuffer(b"a\\nb\\nc\\nd\\n" * (20_000_000 // 8), np.uint8)
+mean, n, bad = C.long_text(text, model, C.RUN_LINES)
+assert n == 10_000_000 and 0 <= mean <= 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-500:]
+    assert float(done.stdout) < 1000
