@@ -31,8 +31,9 @@ from palimpsest.runtime import cut
 #: Holders of a key, and shingles of their sets together, up to which they are one block.
 BLOCK = 1024
 BLOCK_SHINGLES = 2 << 20
-#: Bits of the bitmap of texts whose sets are needed, 16 MB: beyond some ten millions of them it rules out less and less, and sets of others are made in vain, but none is lost.
-PLACES = 1 << 27
+#: Bits of a bitmap of what is wanted, for each hash and at most (16 MB). Beyond some ten millions of hashes it rules out less and less, and work is done in vain, but nothing is lost.
+PLACES_EACH = 32
+MOST_PLACES = 1 << 27
 GROUP = ["slot", "key", "a", "b"]
 
 #: Pairs of places (i, j) from sorted group numbers and the prints of rows.
@@ -59,9 +60,8 @@ def full_sets(texts: DataFrame, wanted: DataFrame, words_of_shingle: int) -> Dat
     known = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select("place")))
 
     def run(batch: pa.RecordBatch):
-        at = np.mod(batch.column(0).to_numpy(), PLACES)
-        here = (known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        for _, _, hashes, bounds in shingle_hashes(batch.column(1).take(pa.array(np.flatnonzero(here))), words_of_shingle):
+        here = in_bitmap(batch.column(0).to_numpy(), known.value)
+        for _, _, hashes, bounds in shingle_hashes(batch.column(1).take(pa.array(here)), words_of_shingle):
             own, ends, keys = sets_of(hashes, bounds)
             yield [pa.array(keys.view(np.int64)), K.lists(K.concat_rows(own, np.uint64).view(np.int64), ends, pa.int64())]
 
@@ -69,16 +69,26 @@ def full_sets(texts: DataFrame, wanted: DataFrame, words_of_shingle: int) -> Dat
     return made.join(wanted.select("set_key").distinct(), "set_key").dropDuplicates(["set_key"])
 
 
-def bitmap(places: DataFrame) -> np.ndarray:
-    """A bit for each hash (one column of longs) modulo PLACES: of a fixed size, however many there are."""
-    (name,) = places.columns
-    at = F.pmod(F.col(name), F.lit(PLACES))
-    words = places.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, 64) as int))")).alias("bits")).toArrow()
-    out = np.zeros(PLACES // 64, np.uint64)
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bit for each hash (one column of longs) modulo the number of bits, which has a bound however many they are."""
+    (name,) = hashes.columns
+    bits = 1 << 16
+    n = hashes.count()
+    while bits < min(PLACES_EACH * n, MOST_PLACES):
+        bits <<= 1
+    at = F.pmod(F.col(name), F.lit(bits))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, 64) as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
     out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def in_bitmap(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose bit is set."""
+    at = np.mod(hashes, len(marks) * 64)
+    return np.flatnonzero((marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+
+
 def keyed(forms: DataFrame, shared: DataFrame) -> DataFrame:
     """set_key, slot, key: the keys of each form that several forms have. Of the others a bitmap of the shared ones (broadcast) rules most out before anything travels; what it took for shared is ruled out by joins later."""
     known = forms.sparkSession.sparkContext.broadcast(bitmap(shared.select("key")))
@@ -88,8 +98,7 @@ def keyed(forms: DataFrame, shared: DataFrame) -> DataFrame:
         keys, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         owner = np.repeat(np.arange(batch.num_rows), np.diff(ends))
         slot = np.arange(len(keys)) - (ends[:-1] - ends[0])[owner]
-        at = np.mod(keys, PLACES)
-        here = np.flatnonzero((known.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
+        here = in_bitmap(keys, known.value)
         yield [batch.column(0).take(pa.array(owner[here])), pa.array(slot[here].astype(np.int32)), pa.array(keys[here])]
 
     return K.map_arrow(forms.select("set_key", "keys"), run, K.schema(set_key="bigint", slot="int", key="bigint"))
