@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.operators import needles as N
 from palimpsest.operators.relational import top_per_key
-from palimpsest.operators.words import word_counts, word_runs
+from palimpsest.operators.words import word_counts
 
 #: Mentions from which on a label isn't neglected, severity a mention short of it and at most, and what kinds of labels begin with.
 LOW_ATTENTION = 8
@@ -35,20 +36,19 @@ def severity(base: Column, mentions: Column, low: int = LOW_ATTENTION) -> Column
     return F.round(F.least(base + GAP_STEP * (low - mentions), F.lit(GAP_MOST)), 2)
 
 
-def unmentioned(names: DataFrame, said: DataFrame, name: str = "name", text_col: str = "content", most: int = 3) -> DataFrame:
-    """Rows whose name, as a run of up to `most` words, isn't said; longer names and those without a word count as not said."""
+def unmentioned(names: DataFrame, said: DataFrame, name: str = "name", text_col: str = "content") -> DataFrame:
+    """Rows whose name, as a run of whole words, isn't said; names without a word count as not said."""
     key = F.array_join(X.tokens(F.col(name)), " ")
-    runs = word_runs(said, text_col, most).select(F.col("run").alias("__said")).distinct()
-    return names.withColumn("__name", key).join(runs, F.col("__name") == F.col("__said"), "left_anti").drop("__name")
+    rows = names.withColumn("__name", F.when(key != "", F.concat(F.lit(" "), key, F.lit(" "))))
+    met = N.said(said.select(N.word_line(F.col(text_col)).alias("text")), rows.select("__name")).select(F.col("needle").alias("__name"))
+    return rows.join(met, "__name", "left_anti").drop("__name")
 
 
 def mentioned_goals(goals: DataFrame, said: DataFrame, text_col: str = "content", chars: int = 20) -> DataFrame:
-    """id, status: active if any text contains the first characters of the goal's statement, else stale. goals: id, statement; few of them, so that they go into each row as an array."""
-    heads = [tuple(r) for r in goals.select("id", F.lower(F.substring("statement", 1, chars))).collect()]
-    table = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(h).alias("head")) for i, h in heads if h])
-    low = F.lower(F.col(text_col))
-    seen = said.select(F.explode(F.filter(table, lambda g: F.contains(low, g["head"]))).alias("g")).select("g.id").distinct().withColumn("__seen", F.lit(True))
-    return goals.select("id").join(seen, "id", "left").select("id", F.when(F.col("__seen"), "active").otherwise("stale").alias("status"))
+    """id, status: active if any text contains the first characters of the goal's statement, else stale. goals: id, statement."""
+    heads = goals.select("id", F.lower(F.substring("statement", 1, chars)).alias("needle"))
+    seen = N.said(said.select(F.lower(text_col).alias("text")), heads.select("needle")).withColumn("__seen", F.lit(True))
+    return heads.join(seen, "needle", "left").select("id", F.when(F.col("__seen"), "active").otherwise("stale").alias("status"))
 
 
 def mentioned_tools(said: DataFrame, tools: list[str], top: int = 3, id_col: str = "id", text_col: str = "content") -> DataFrame:

@@ -10,70 +10,73 @@ from pyspark.sql import types as T
 
 from palimpsest.functions import lexicon as L
 from palimpsest.functions import text as X
-from palimpsest.operators.graph import components
-from palimpsest.operators.relational import keep_first, numbered, top_per_key
+from palimpsest.operators.graph import star_roots
+from palimpsest.operators.relational import join_dealt, keep_first, numbered, top_per_key
+from palimpsest.operators.vector_index import forest, matrix, threshold_join, unit
 from palimpsest.runtime import cut
 
 
-def _alike(rows: DataFrame, tau: float, out: T.StructType, judge, block: int) -> DataFrame:
-    """What `judge` makes of the likenesses of two blocks of a scope's rows: judge(ids, created, keys, i, j, cosines) for pairs i, j of places, each pair once.
-
-    Scopes are dealt over blocks that meet in pairs, so no task has a scope; a pair of blocks is a matrix product."""
-    rows = rows.where("embedding is not null").select("scope", "id", "created", "key", F.col("embedding").cast("array<double>").alias("v"))
-    sizes = rows.groupBy("scope").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "scope").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("a", F.least("mine", "other")).withColumn("b", F.greatest("mine", "other"))
-
-    def meet(group: pa.Table) -> pa.Table:
-        group = group.sort_by("id")
-        v = np.stack([np.asarray(x, np.float64) for x in group["v"].to_pylist()])
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        mine, across = group["mine"].to_numpy(), group["a"][0].as_py() != group["b"][0].as_py()
-        cosine = v @ v.T
-        i, j = np.nonzero(np.triu(cosine >= tau, 1) & ((mine[:, None] != mine[None, :]) | (not across)))
-        return judge(group["id"], group["created"], group["key"], i, j, cosine[i, j])
-
-    return dealt.select("scope", "a", "b", "mine", "id", "created", "key", "v").groupBy("scope", "a", "b").applyInArrow(meet, out)
-
-
 def similarity_classes(rows: DataFrame, tau: float = 0.92, newest: int | None = None, block: int = 1024) -> DataFrame:
-    """id, class_id (least id connected within the scope), n_links (neighbours with cosine of at least tau): one row per row.
+    """id, class_id (least id connected within the scope), n_links (neighbours with cosine of at least tau): one row per row. rows: scope, id, created, embedding.
 
-    All rows of a scope are compared; if `newest` is given only so many of each scope, and the others stand for themselves."""
+    All rows of a scope are compared; if `newest` is given only so many of each scope, and the others stand for themselves. Rows of one scope and vector are one until the end; others meet
+    where cells of a vector index are in reach. A group of them gives the number of neighbours of each and a tree of links, never pairs."""
     kind = rows.schema["id"].dataType
     seen = rows if newest is None else top_per_key(rows, ["scope"], [F.desc("created"), F.asc("id")], newest)
-
-    def pairs(ids, created, keys, i, j, cosine) -> pa.Table:
-        return pa.table({"src": ids.take(pa.array(i)), "dst": ids.take(pa.array(j))})
-
-    links = cut(_alike(seen.withColumn("key", F.lit(None).cast("string")), tau, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]), pairs, block))
-    n = links.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = components(links).select(F.col("node").alias("id"), F.col("component").alias("class_id"))
-    return rows.select("id").join(classes, "id", "left").join(n, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = seen.where("embedding is not null").withColumn("form", F.xxhash64("scope", "embedding"))
+    forms = cut(named.groupBy("form").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("scope").alias("scope"), F.first(F.col("embedding").cast("array<double>")).alias("v")))
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [left.schema.field("query").type, right.schema.field("id").type, pa.int64()]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], ["id", "to", "n"])
+        right = right.sort_by("id")
+        near = unit(matrix(left["v"])) @ unit(matrix(right["v"])).T >= tau
+        m, itself = right["m"].to_numpy(), left["query"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
+        # A form's own row is no neighbour of itself, but its other rows are.
+        n = near.astype(np.int64) @ m - (near & itself).sum(axis=1)
+        i, j = forest(near)
+        rows_, columns = np.flatnonzero(i >= 0), np.flatnonzero(j >= 0)
+        ids = pa.concat_arrays([left["query"].combine_chunks().take(pa.array(rows_)), right["id"].combine_chunks().take(pa.array(columns))])
+        return pa.table([ids, right["id"].take(pa.array(np.concatenate([i[rows_], j[columns]]))), pa.array(np.concatenate([n[rows_], np.zeros(len(columns), np.int64)]))], ["id", "to", "n"])
+
+    schema = T.StructType([T.StructField("id", kind), T.StructField("to", kind), T.StructField("n", T.LongType())])
+    found = threshold_join(forms, tau, judge, schema, ("m",), block)
+    n = found.groupBy("id").agg(F.sum("n").alias("n_links"))
+    roots = star_roots(found.select(F.col("id").alias("u"), F.col("to").alias("v"))).select(F.col("node").alias("id"), F.col("root").alias("class_id"))
+    classes = forms.select("form", "id").join(roots, "id", "left").join(n, "id", "left").select("form", F.coalesce("class_id", "id").alias("class_id"), "n_links")
+    judged = join_dealt(named.select("id", "form"), classes, "form", "id").drop("form")
+    return rows.select("id").join(judged, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def duplicates(rows: DataFrame, tau: float = 0.92, auto: float = 0.985, block: int = 1024) -> DataFrame:
     """id, superseded_by: rows that a newer one of their scope repeats, with the newest that does. rows: scope, id, created, key, embedding.
 
-    From `auto` on likeness is enough, from `tau` on keys (as a confirming score, an equal statement) must agree. Of equal age the greater id is the newer one."""
-    kind = rows.schema["id"].dataType
-    out = T.StructType([T.StructField("id", kind), T.StructField("by", kind), T.StructField("by_created", rows.schema["created"].dataType)])
-
-    def newest(ids, created, keys, i, j, cosine) -> pa.Table:
-        said = keys.to_pylist()
-        good = (cosine >= auto) | np.array([said[x] is not None and said[x] == said[y] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
-        i, j = i[good], j[good]
-        made, names = created.to_pylist(), ids.to_pylist()
-        best: dict[int, int] = {}
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            old, new = sorted((x, y), key=lambda p: (made[p], names[p]))
-            if old not in best or (made[best[old]], names[best[old]]) < (made[new], names[new]):
-                best[old] = new
-        old, new = pa.array(list(best), pa.int64()), pa.array(list(best.values()), pa.int64())
-        return pa.table({"id": ids.take(old), "by": ids.take(new), "by_created": created.take(new)})
-
-    found = _alike(rows, tau, out, newest, block)
-    return found.groupBy("id").agg(F.max(F.struct("by_created", "by")).alias("m")).select("id", F.col("m.by").alias("superseded_by"))
+    From `auto` on likeness is enough, from `tau` on keys (as a confirming score, an equal statement) must agree. Of equal age the greater id is the newer one. Rows of one scope, vector and key are
+    one, with the newest of them; others meet where cells of a vector index are in reach, and a group gives each its newest likeness."""
+    kind, made = rows.schema["id"].dataType, rows.schema["created"].dataType
+    named = rows.where("embedding is not null").withColumn("form", F.xxhash64("scope", "embedding", "key", F.col("key").isNull()))
+    forms = named.groupBy("form").agg(F.max(F.struct("created", "id")).alias("last"), F.first("scope").alias("scope"), F.first("key").alias("key"), F.first(F.col("embedding").cast("array<double>")).alias("v"))
+    forms = cut(forms.select(F.col("form").alias("id"), "scope", "v", "key", F.col("last.created").alias("created"), F.col("last.id").alias("newest")))
+    schema = T.StructType([T.StructField("form", T.LongType()), T.StructField("created", made), T.StructField("by", kind)])
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], right.schema.field("created").type), pa.array([], right.schema.field("newest").type)], ["form", "created", "by"])
+        right = right.sort_by([("created", "descending"), ("newest", "descending")])
+        score = unit(matrix(left["v"])) @ unit(matrix(right["v"])).T
+        # Equal keys have equal codes, in both tables.
+        codes = pa.concat_arrays([left["key"].combine_chunks(), right["key"].combine_chunks()]).dictionary_encode().indices.fill_null(-1).to_numpy()
+        mine, other = codes[: left.num_rows], codes[left.num_rows :]
+        good = (score >= auto) | ((score >= tau) & (mine[:, None] == other[None, :]) & (mine[:, None] >= 0))
+        i = np.flatnonzero(good.any(axis=1))
+        j = pa.array(good[i].argmax(axis=1))
+        return pa.table([left["query"].take(pa.array(i)), right["created"].take(j), right["newest"].take(j)], ["form", "created", "by"])
+
+    found = threshold_join(forms, min(tau, auto), judge, schema, ("key", "created", "newest"), block)
+    best = found.groupBy("form").agg(F.max(F.struct("created", F.col("by").alias("id"))).alias("best"))
+    judged = join_dealt(named.select("id", "created", "form"), best, "form", "id").where(F.struct("created", "id") < F.col("best"))
+    return judged.select("id", F.col("best.id").alias("superseded_by"))
 
 
 def promote(memories: DataFrame, t: Column, at_most: int = 100) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.functions.scalars import cosine
 from palimpsest.operators.relational import keep_first
-from palimpsest.operators.retrieval import knn
+from palimpsest.operators.vector_index import nearest
 from palimpsest.runtime import cut, remove, shared_path, written
 
 
@@ -153,7 +153,7 @@ def densify(nodes: DataFrame, edges: DataFrame, strong: float = 0.70, together:
     its nearest. A pair has one edge, of co-occurrence first. That tie is by sets: two nodes without an edge may both be tied, where one after the other the first tie might have served both."""
     have = edges.where("src <> dst").select(*unordered()).distinct()
     vectors = nodes.where("embedding is not null")
-    near = cut(knn(vectors.select(F.col("id").alias("query"), "embedding"), vectors.select("id", "embedding"), k))
+    near = nearest(vectors.select(F.col("id").alias("query"), "embedding"), vectors.select("id", "embedding"), k)
     pairs = near.select(F.least("query", "id").alias("lo"), F.greatest("query", "id").alias("hi"), "score")
     related = pairs.where(F.col("score") >= strong).groupBy("lo", "hi").agg(F.max("score").alias("score")).select("lo", "hi", "score", F.lit(2).alias("order"), F.lit("similarity").alias("method"))
     both = _together(vectors.where("episode is not null"), "episode", [F.col("id"), F.col("embedding")], "id", block).withColumn("score", cosine(F.col("a.embedding"), F.col("b.embedding"))).where(F.col("score") >= together)
@@ -173,7 +173,7 @@ def bridges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     main = own.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
     inside = nodes.join(own.join(main, "component", "left_semi").select(F.col("node").alias("id")), "id")
     outside = nodes.join(own.join(main, "component", "left_anti").select(F.col("node").alias("id"), "component"), "id")
-    best = knn(outside.select(F.col("id").alias("query"), "embedding"), inside, 1).join(own.select(F.col("node").alias("query"), "component"), "query")
+    best = nearest(outside.select(F.col("id").alias("query"), "embedding"), inside.select("id", "embedding"), 1).join(own.select(F.col("node").alias("query"), "component"), "query")
     return keep_first(best.withColumn("score", F.round("score", 9)), ["component"], [F.desc("score"), F.asc("query")]).select("component", F.col("query").alias("src"), F.col("id").alias("dst"), F.round("score", 3).alias("score"))
 
 
@@ -200,7 +200,8 @@ def resolve(mentions: DataFrame, entities: DataFrame, tau: float = 0.85, least_c
     known = keep_first(entities.withColumn("k", X.mention_key(F.col("name"))), ["scope", "k"], ["created_at", "id"]).select("scope", "k", F.col("id").alias("same"))
     rows = cut(m.join(known, ["scope", "k"], "left"))
     left = rows.where("same is null")
-    near = knn(left.select(F.col("mention").alias("query"), "scope", "embedding"), entities, 1, within="scope").where(F.round("score", 9) >= tau).select(F.col("query").alias("mention"), F.col("id").alias("near"))
+    # Only cells that may hold a likeness of tau are looked at.
+    near = nearest(left.select(F.col("mention").alias("query"), "scope", "embedding"), entities.select("id", "scope", "embedding"), 1, least=tau, within="scope").select(F.col("query").alias("mention"), F.col("id").alias("near"))
     out = rows.join(near, "mention", "left")
     how = F.when(F.col("same").isNotNull(), "name").when(F.col("near").isNotNull(), "nearest").otherwise("new")
     return out.select("mention", F.coalesce("same", "near", "mention").alias("entity"), how.alias("how"))

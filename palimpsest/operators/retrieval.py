@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from palimpsest.functions import lexicon as L
 from palimpsest.functions import scalars as S
 from palimpsest.functions import text as X
+from palimpsest.operators.needles import hits
 from palimpsest.operators.relational import top_per_key
 from palimpsest.operators.temporal import as_of
 from palimpsest.operators.words import word_counts
@@ -153,15 +154,15 @@ def follow_up_queries(queries: DataFrame, results: DataFrame) -> DataFrame:
 def narrative_material(episodes: DataFrame, queries: DataFrame, matches: int = 20, recent: int = 12, leave_out: tuple[str, ...] = L.OPERATIONAL_SOURCES) -> DataFrame:
     """query, id, origin, rank: the newest episodes that contain the query's text, or, for queries that none does, the newest of all. Sources of operation are no material, nor are episodes without a source.
 
-    episodes: id, content, source_ref, created_at; queries: query, text (few: each is a filter of the one scan)."""
+    episodes: id, content, source_ref, created_at; queries: query, text (an empty one is contained in nothing)."""
     rows = episodes.where(X.source_not_in(F.col("source_ref"), leave_out))
-    asked = [tuple(r) for r in queries.select("query", "text").collect()]
-    hit = F.filter(F.array(*[F.when(F.contains(F.lower("content"), F.lit(text.lower())), F.lit(q)) for q, text in asked]), lambda x: x.isNotNull())
+    asked = queries.select("query", F.lower("text").alias("needle"))
     newest = [F.desc("created_at"), F.asc("id")]
-    found = rows.select("id", "created_at", F.explode(hit).alias("query"))
-    found = top_per_key(found, ["query"], newest, matches).select("query", "id", F.lit("match").alias("origin"), "rank")
+    found = hits(rows.select("id", "created_at", F.lower("content").alias("text")), asked.select("needle"), keep=("created_at",)).join(asked, "needle")
+    found = cut(top_per_key(found, ["query"], newest, matches).select("query", "id", F.lit("match").alias("origin"), "rank"))
+    # A dozen rows go to each query that has none.
     last = rows.select("id", "created_at").orderBy(*newest).limit(recent).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*newest)).cast("long"))
-    fallback = last.withColumn("query", F.explode(F.array(*[F.lit(q) for q, _ in asked]))).select("query", "id", F.lit("recent").alias("origin"), "rank")
+    fallback = asked.select("query", F.lit(0).alias("all")).join(F.broadcast(last.withColumn("all", F.lit(0))), "all").select("query", "id", F.lit("recent").alias("origin"), "rank")
     return or_else(found, fallback)
 
 

@@ -51,17 +51,3 @@ def top_word_lists(docs: DataFrame, id_col: str = "id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], ["id", "words"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-
-def word_runs(docs: DataFrame, text_col: str = "text", most: int = 3) -> DataFrame:
-    """run: the runs of one to `most` words that texts have, each at least once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = set()
-            for text in batch.column(0):
-                words = [w for w in _CUT.split((text.as_py() or "").lower()) if w]
-                found.update(" ".join(words[k : k + n]) for n in range(1, most + 1) for k in range(len(words) - n + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["run"])
-
-    return docs.select(text_col).mapInArrow(run, "run string")

@@ -134,9 +134,9 @@ def repoint_keys(spark, d):
     return R.repoint(read_table(spark, d, "lineitem").withColumnRenamed("l_partkey", "part"), "part", mapping).select("l_orderkey", "l_linenumber", "part")
 
 
-@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-11-01' UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def protected_deletes(spark, d):
-    lines = read_table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz '2001-06-01'").select("l_suppkey")
+    lines = read_table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz '2001-11-01'").select("l_suppkey")
     poor = read_table(spark, d, "customer").where("c_acctbal < 0").select("c_custkey")
     return R.protected_delete(read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), [lines, poor])
 

@@ -10,10 +10,10 @@ from palimpsest.sources import readers, roles, sinks
 from palimpsest.streaming import projections as P
 
 
-@query("SELECT 'shelf=' || (item_id % 3) AS top, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT item_id, 'item ' || item_id || ' of ' || item_id % 7 AS text FROM benchmark WHERE item_id < 40) WHERE item_id % 3 <> 1 GROUP BY 1")
+@query("SELECT 'shelf=' || (item_id % 3) AS top, count(*) AS n, sum(length(text))::BIGINT AS chars FROM (SELECT item_id, 'item ' || item_id || ' of ' || item_id % 7 AS text FROM benchmark) WHERE item_id % 3 <> 1 GROUP BY 1")
 def vault_files(spark, d):
     """A tree of text files, of which one folder is left out."""
-    b = read_table(spark, d, "benchmark").where("item_id < 40")
+    b = read_table(spark, d, "benchmark")
     text = F.concat(F.lit("item "), F.col("item_id").cast("string"), F.lit(" of "), (F.col("item_id") % 7).cast("string"))
     b.select(text.alias("value"), (F.col("item_id") % 3).alias("shelf"), F.col("item_id").alias("item")).write.partitionBy("shelf", "item").text(path := shared_path(spark, "vault"))
     rows = readers.vault(spark, path, exclude=("shelf=1",), pattern="*.txt").withColumn("text", F.rtrim(F.col("text"), F.lit("\n")))
@@ -57,8 +57,9 @@ def vectors_filled(spark, d):
 
 @query("SELECT line FROM (SELECT 'line ' || event_id AS line, row_number() OVER (ORDER BY event_id DESC) AS k FROM events) WHERE k <= 25")
 def last_log_lines(spark, d):
-    e = roles.events(spark, d).orderBy("event_id").select(F.concat(F.lit("line "), F.col("event_id").cast("string")).alias("value"))
-    e.coalesce(1).write.text(path := shared_path(spark, "lines"))
+    """The end of a log of several files, each of a range of events."""
+    e = roles.events(spark, d).repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    e.select(F.concat(F.lit("line "), F.col("event_id").cast("string")).alias("value")).write.text(path := shared_path(spark, "lines"))
     return readers.log_tail(spark, path, 25)
 
 

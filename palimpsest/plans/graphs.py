@@ -71,10 +71,12 @@ def densify_cooccurrence(spark, d):
     return G.cooccurrence(read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_partkey").alias("node")))
 
 
-@query(f"""WITH {PART_EDGES}, h AS (SELECT node FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 60) SELECT edge_id, src, dst FROM edges WHERE src IN (SELECT node FROM h) AND dst IN (SELECT node FROM h)""")
+@query(f"""WITH {PART_EDGES}, h AS (SELECT * FROM (SELECT src FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 60) UNION ALL SELECT * FROM (SELECT dst FROM edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 60)) SELECT edge_id, src, dst FROM edges WHERE src IN (SELECT src FROM h) AND dst IN (SELECT src FROM h)""")
 def graph_view(spark, d):
+    """The edges among the hubs of both sides."""
     e = roles.part_edges(spark, d)
-    return G.induced(e, G.hubs(e, 60)).select("edge_id", "src", "dst")
+    side = lambda c: e.groupBy(F.col(c).alias("node")).count().orderBy(F.desc("count"), "node").limit(60).select("node")
+    return G.induced(e, side("src").unionByName(side("dst"))).select("edge_id", "src", "dst")
 
 
 @query(f"""WITH {PART_EDGES} SELECT dst AS node, count(*) AS n_edges, count(DISTINCT src) AS n_others, count(DISTINCT rel_type) AS n_types, string_agg(DISTINCT rel_type, ',' ORDER BY rel_type) AS types FROM edges GROUP BY 1""")

@@ -134,7 +134,8 @@ def recall_or_keywords(spark, d):
     b, docs = read_table(spark, d, "benchmark"), read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     found = V.bm25(docs, b.select(F.col("item_id").alias("query"), "text"), 20, all_terms=False).where("query % 2 = 1").select("query", "id", F.round("score", 6).alias("score"), "rank")
     first = docs.where(F.contains(F.lower("text"), F.lit("the"))).orderBy("id").limit(5)
-    spare = R.top_per_key(first.withColumn("all", F.lit(0)), ["all"], ["id"], 5).withColumn("query", F.explode(F.array(*[F.lit(r[0]) for r in b.select("item_id").collect()])))
+    spare = R.top_per_key(first.withColumn("all", F.lit(0)), ["all"], ["id"], 5)
+    spare = b.select(F.col("item_id").alias("query"), F.lit(0).alias("all")).join(F.broadcast(spare), "all")
     return V.or_else(found, spare.select("query", "id", F.lit(0.0).alias("score"), "rank").where("query % 2 = 0"))
 
 

@@ -139,15 +139,16 @@ def densified_edges(spark, d):
     return G.densify(*_vec_graph(spark, d), strong=0.4, together=0.35).select("lo", "hi", "method", "score")
 
 
-@query(f"""WITH RECURSIVE v AS (SELECT * FROM embeddings WHERE vec_id < 200), e AS (SELECT vec_id AS u, vec_id + 3 AS w FROM v WHERE vec_id % 5 <> 0 AND vec_id + 3 < 200), b AS (SELECT u, w FROM e UNION ALL SELECT w, u FROM e),
+@query(f"""WITH RECURSIVE v AS (SELECT * FROM embeddings), e AS (SELECT vec_id AS u, vec_id + 3 AS w FROM v WHERE vec_id % 5 <> 0 AND vec_id + 3 <= (SELECT max(vec_id) FROM v)), b AS (SELECT u, w FROM e UNION ALL SELECT w, u FROM e),
 r AS (SELECT vec_id AS id, vec_id AS place FROM v UNION SELECT r.id, b.w FROM r JOIN b ON b.u = r.place), c AS (SELECT id, min(place) AS component FROM r GROUP BY 1),
 m AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
 p AS (SELECT ca.component, a.vec_id AS src, z.vec_id AS dst, round({_COS.format(a='a', b='z')}, 9) AS score FROM v a JOIN c ca ON ca.id = a.vec_id AND ca.component NOT IN (SELECT * FROM m) JOIN v z ON true JOIN c cz ON cz.id = z.vec_id AND cz.component IN (SELECT * FROM m))
 SELECT component, src, dst, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, src, dst) AS k FROM p) WHERE k = 1""")
 def island_bridges(spark, d):
     """Each component that isn't the largest, tied to it where the two are most alike."""
-    v = read_table(spark, d, "embeddings").where("vec_id < 200")
-    edges = v.where("vec_id % 5 <> 0 and vec_id + 3 < 200").select(F.col("vec_id").alias("src"), (F.col("vec_id") + 3).alias("dst"))
+    v = read_table(spark, d, "embeddings")
+    last = v.agg(F.max("vec_id")).first()[0]
+    edges = v.where((F.col("vec_id") % 5 != 0) & (F.col("vec_id") + 3 <= last)).select(F.col("vec_id").alias("src"), (F.col("vec_id") + 3).alias("dst"))
     return G.bridges(v.select(F.col("vec_id").alias("id"), "embedding"), edges)
 
 

@@ -64,7 +64,10 @@ def not_done(todo: DataFrame, done: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The last n lines that aren't empty: line, in order (place 1 is the oldest)."""
-    rows = spark.read.text(path).where("value <> ''").withColumn("__n", F.monotonically_increasing_id())
-    last = rows.orderBy(F.desc("__n")).limit(n).orderBy("__n")
+    """The last n lines that aren't empty of a folder of log files: line, in order. Files come by name, lines as they stand in them; each task gives its last n, and nothing is sorted as a whole."""
+    rows = spark.read.text(path).where("value <> ''")
+    # Within a piece of a file numbers rise with the lines, whatever order the pieces are read in.
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n")]
+    order = lambda f: [f("file"), f("start"), f("n")]
+    last = rows.select("value", *place).orderBy(*order(F.desc)).limit(n).orderBy(*order(F.asc))
     return last.select(F.col("value").alias("line"))
