@@ -125,7 +125,8 @@ def test_ranked_search_opens_few_postings(spark):
     rows = [(k, " ".join(["the"] * rng.randint(1, 3) + ["of"] * rng.randint(0, 2) + ["and"] + [f"w{''.join(rng.choices('abcdefgh', k=4))}" for _ in range(20)])) for k in range(3000)]
     docs = spark.createDataFrame(rows, "id long, text string")
     asked = spark.createDataFrame([(q, "the of and " + " ".join(rows[q][1].split()[-4:])) for q in range(20)], "query long, text string")
-    index = T.write_index(docs)
+    # Blocks that are small beside the table, as those of a large one are.
+    index = T.write_index(docs, block=8)
     opened, every = T.opened_postings(index, asked, 10)
     assert opened * 3 <= every
     plain = lambda df: sorted((r["query"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect())
