@@ -3,8 +3,8 @@
 A form is a set of shingles that stands for all documents that have it: set_key, owner, n (its size), keys (documents that are similar are likely to share one
 at a place; keys of two places differ), prints (a few words whose differing bits tell how similar two sets can be). Forms are linked in two steps.
 
-1. Each form meets the least owner's form of each of its keys, so k holders of a key give k meetings. Sizes and prints rule most out, full
-sets decide the rest. What that connects is a class. Then each form meets the one of another class whose prints are nearest, for each of its keys.
+1. Each form meets the least owner's form of each of its keys, so k holders of a key give k meetings. Sizes and prints rule most out; full
+sets decide about the nearest of those that are left. What that connects is a class. Then each form meets the one of another class whose prints are nearest, for each of its keys.
 2. Holders of a key that still are of different classes meet in pairs, in groups of bounded size: a key's holders are dealt over
 blocks, and each pair of blocks is a group. A pair is looked at where it first shares a key, only if it is of two classes and its prints are near; rows without such a
 pair go before any full set travels. Within a group the nearest pairs come first, and what they link needn't be looked at again. Groups give links, never pairs.
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,8 +107,8 @@ def keyed(forms: DataFrame, shared: DataFrame) -> DataFrame:
 
 def meetings(rows: DataFrame, shared: DataFrame) -> DataFrame:
     """u, v (set keys): each holder of a shared key and the one of its least owner."""
-    met = join_dealt(rows.select("set_key", "key"), shared.select("key", F.col("low.set_key").alias("v")), "key", "set_key")
-    return met.select(F.greatest("set_key", "v").alias("u"), F.least("set_key", "v").alias("v")).where("u <> v").distinct()
+    met = join_dealt(rows.select(F.col("set_key").alias("u"), "key"), shared.select("key", F.col("low.set_key").alias("v")), "key", "u")
+    return met.select("u", "v").where("u <> v").distinct()
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -285,25 +286,36 @@ def similar_links(forms: DataFrame, full: Callable[[DataFrame], DataFrame], perc
 
     brief = lambda c: forms.select(F.col("set_key").alias(c), F.col("prints").alias(f"{c}_prints"), F.col("n").alias(f"{c}_n"))
     met = join_dealt(meetings(rows, shared).join(brief("u"), "u"), brief("v"), "v", "u")
-    met = cut(met.where(sizes_fit(F.col("u_n"), F.col("v_n"), percent) & near(F.col("u_prints"), F.col("v_prints"))).select("u", "v"))
-    sets = cut(full(met.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()))
+    met = met.where(sizes_fit(F.col("u_n"), F.col("v_n"), percent) & near(F.col("u_prints"), F.col("v_prints")))
+    # Of the forms that it meets each is held against the nearest: what another one would have linked too comes up below, if it is still apart by then.
+    far = F.aggregate(F.zip_with("u_prints", "v_prints", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    met = cut(met.groupBy("u").agg(F.min(F.struct(far.alias("far"), "v")).alias("best")).select("u", F.col("best.v").alias("v")))
+    sets = full(met.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()).persist(StorageLevel.DISK_ONLY)
+    held = [sets]
     edges = cut(similar_rows(met, sets, percent))
     roots = star_roots(edges)
 
+    def done(edges: DataFrame) -> DataFrame:
+        out = cut(edges)
+        for one in held:
+            one.unpersist()
+        return out
+
     # One more meeting by nearness: most of a large group that the least owner's form doesn't tie together is by then.
     groups = mixed_groups(named(roots), rows, block)
     tries = cut(by_groups(groups, lambda t: _nearest(t, propose, percent), link).distinct())
     if tries.isEmpty():
-        return edges
+        return done(edges)
     lacking = tries.select(F.explode(F.array("u", "v")).alias("set_key")).distinct().join(sets.select("set_key"), "set_key", "left_anti")
-    sets = sets.unionByName(cut(full(cut(lacking))))
+    held.append(full(cut(lacking)).persist(StorageLevel.DISK_ONLY))
+    sets = sets.unionByName(held[-1])
     edges = cut(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(similar_rows(tries, sets, percent)))
     roots = star_roots(edges)
 
     groups = mixed_groups(named(roots), rows, block)
     active = cut(by_groups(groups, lambda t: _active(t, propose, percent), groups.schema))
     if active.isEmpty():
-        return edges
+        return done(edges)
     lacking = active.select("set_key").distinct().join(sets.select("set_key"), "set_key", "left_anti")
     sets = sets.unionByName(full(cut(lacking)))
-    return edges.unionByName(by_groups(active.join(sets, "set_key").select(*groups.columns, "shingles"), lambda t: _links(t, propose, percent), link))
+    return done(edges.unionByName(by_groups(active.join(sets, "set_key").select(*groups.columns, "shingles"), lambda t: _links(t, propose, percent), link)))
