@@ -20,14 +20,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernel as K
 from palimpsest.operators.graph import star_roots
 from palimpsest.operators.relational import join_dealt
-from palimpsest.runtime import cut
+from palimpsest.runtime import cut, remove, shared_path, written
 
 #: Holders of a key, and shingles of their sets together, up to which they are one block.
 BLOCK = 1024
@@ -57,17 +56,23 @@ def sets_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[list[np.ndarray], n
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame, words_of_shingle: int) -> DataFrame:
-    """set_key and shingles of the wanted sets (place, set_key), each once, made anew from the texts (place, text)."""
-    known = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select("place")))
+    """set_key and shingles of the wanted sets (place, set_key), made anew from the texts (place, text) in a narrow pass: bitmaps of places and sets tell what to hash and what to give.
+
+    What they take for wanted comes along, and a set that several texts of a place have comes once from each task: joins and links are the same with both."""
+    known = texts.sparkSession.sparkContext.broadcast((bitmap(wanted.select("place")), bitmap(wanted.select("set_key"))))
+    given: set[int] = set()  # by this task
 
     def run(batch: pa.RecordBatch):
-        here = in_bitmap(batch.column(0).to_numpy(), known.value)
+        places, marks = known.value
+        here = in_bitmap(batch.column(0).to_numpy(), places)
         for _, _, hashes, bounds in shingle_hashes(batch.column(1).take(pa.array(here)), words_of_shingle):
-            own, ends, keys = sets_of(hashes, bounds)
-            yield [pa.array(keys.view(np.int64)), K.lists(K.concat_rows(own, np.uint64).view(np.int64), ends, pa.int64())]
+            own, _, keys = sets_of(hashes, bounds)
+            keys = keys.view(np.int64)
+            new = [k for k in in_bitmap(keys, marks).tolist() if int(keys[k]) not in given and not given.add(int(keys[k]))]
+            made = [own[k].view(np.int64) for k in new]
+            yield [pa.array(keys[new], pa.int64()), K.lists(K.concat_rows(made), np.concatenate([[0], np.cumsum([len(x) for x in made])]), pa.int64())]
 
-    made = K.map_arrow(texts.select("place", "text"), run, K.schema(set_key="bigint", shingles="array<bigint>"))
-    return made.join(wanted.select("set_key").distinct(), "set_key").dropDuplicates(["set_key"])
+    return K.map_arrow(texts.select("place", "text"), run, K.schema(set_key="bigint", shingles="array<bigint>"))
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -290,32 +295,32 @@ def similar_links(forms: DataFrame, full: Callable[[DataFrame], DataFrame], perc
     # Of the forms that it meets each is held against the nearest: what another one would have linked too comes up below, if it is still apart by then.
     far = F.aggregate(F.zip_with("u_prints", "v_prints", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     met = cut(met.groupBy("u").agg(F.min(F.struct(far.alias("far"), "v")).alias("best")).select("u", F.col("best.v").alias("v")))
-    sets = full(met.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()).persist(StorageLevel.DISK_ONLY)
-    held = [sets]
-    edges = cut(similar_rows(met, sets, percent))
-    roots = star_roots(edges)
-
-    def done(edges: DataFrame) -> DataFrame:
-        out = cut(edges)
-        for one in held:
-            one.unpersist()
+    spark = forms.sparkSession
+    base = shared_path(spark, "sets")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs that are similar. Their sets are a table that goes when they are decided."""
+        sets = written(full(pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()), base)
+        out = cut(similar_rows(pairs, sets, percent))
+        remove(spark, base)
         return out
 
+    edges = decided(met)
+    roots = star_roots(edges)
+
     # One more meeting by nearness: most of a large group that the least owner's form doesn't tie together is by then.
     groups = mixed_groups(named(roots), rows, block)
     tries = cut(by_groups(groups, lambda t: _nearest(t, propose, percent), link).distinct())
     if tries.isEmpty():
-        return done(edges)
-    lacking = tries.select(F.explode(F.array("u", "v")).alias("set_key")).distinct().join(sets.select("set_key"), "set_key", "left_anti")
-    held.append(full(cut(lacking)).persist(StorageLevel.DISK_ONLY))
-    sets = sets.unionByName(held[-1])
-    edges = cut(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(similar_rows(tries, sets, percent)))
+        return edges
+    edges = cut(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(decided(tries)))
     roots = star_roots(edges)
 
     groups = mixed_groups(named(roots), rows, block)
     active = cut(by_groups(groups, lambda t: _active(t, propose, percent), groups.schema))
     if active.isEmpty():
-        return done(edges)
-    lacking = active.select("set_key").distinct().join(sets.select("set_key"), "set_key", "left_anti")
-    sets = sets.unionByName(full(cut(lacking)))
-    return done(edges.unionByName(by_groups(active.join(sets, "set_key").select(*groups.columns, "shingles"), lambda t: _links(t, propose, percent), link)))
+        return edges
+    sets = written(full(active.select("set_key").distinct()), base)
+    found = cut(by_groups(active.join(sets, "set_key").select(*groups.columns, "shingles"), lambda t: _links(t, propose, percent), link))
+    remove(spark, base)
+    return edges.unionByName(found)
