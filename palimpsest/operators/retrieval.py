@@ -74,8 +74,8 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, all_terms: bool = True) -> DataFrame:
-    """query, id, score, rank for queries (query, text). With all_terms a document must hold every word of the query.
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", k1: float = 1.2, b: float = 0.75, all_terms: bool = True, within: str | None = None) -> DataFrame:
+    """query, id, score, rank for queries (query, text). With all_terms a document must hold every word of the query, with `within` be equal to it in that column.
 
     Texts are cut into words once: each gives its distinct words with their counts, of which those of the queries and one row of its size are written."""
     asked = queries.select("query", F.explode(X.word_set(F.col("text"))).alias("term"))
@@ -92,6 +92,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_c
     rows = held.join(df, "term").withColumn("part", part).join(asked, "term").groupBy("query", "id").agg(F.sum("part").alias("score"), F.count("*").alias("n"))
     if all_terms:
         rows = rows.join(need, "query").where("n = need")
+    if within is not None:
+        mine = lambda df, key, name: df.select(F.col(key).alias(name), F.col(within).alias(f"__{name}"))
+        rows = rows.join(mine(docs, id_col, "id"), "id").join(mine(queries, "query", "query"), "query").where("__id = __query")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     return rows.select("query", "id", "score", F.row_number().over(w).cast("long").alias("rank")).where(F.col("rank") <= k)
 
