@@ -58,6 +58,14 @@ def short_type(c: Column, prefix: str) -> Column:
     return F.when(F.startswith(c, F.lit(prefix)), F.substring(c, F.lit(len(prefix) + 1), F.length(c))).otherwise(c)
 
 
+def event_group(c: Column, groups: dict[str, str], prefix: str = "") -> Column:
+    """The group of an event type, short or with its prefix, from a closed catalogue; an error for a type that isn't in it, null for null."""
+    known = F.create_map(*[F.lit(x) for pair in groups.items() for x in pair])
+    short = short_type(c, prefix)
+    found = F.try_element_at(known, short)
+    return F.when(c.isNotNull() & found.isNull(), F.raise_error(F.concat(F.lit("event type not in the catalogue: "), short)).cast("string")).otherwise(found)
+
+
 def nested_prefix(c: Column, skip: int = 5) -> Column:
     return F.split_part(F.substring(c, skip + 1, 1 << 20), F.lit("/"), F.lit(1))
 
@@ -221,12 +229,12 @@ def decisions(c: Column, verbs: str = L.DECISION_VERBS, least: int = 3) -> Colum
 def triples(c: Column) -> Column:
     """Array of subject, predicate, object by the two patterns for "uses" and "is"; spans that aren't entity-shaped are dropped."""
 
-    def found(pattern: str, predicate: str) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(c, F.lit(pattern), F.lit(2)).alias("o"))
+    def found(pattern: str, predicate: str, last: int) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(c, F.lit(pattern), F.lit(last)).alias("o"))
         return F.transform(pairs, lambda x: F.struct(F.trim(x["s"]).alias("subject"), F.lit(predicate).alias("predicate"), F.trim(x["o"]).alias("object")))
 
     good = lambda x: is_entity_shaped(x["subject"]) & is_entity_shaped(x["object"])
-    return F.concat(F.filter(found(L.USES_PATTERN, "uses"), good), F.filter(found(L.IS_PATTERN, "is"), lambda x: good(x) & ~F.lower(x["subject"]).isin(*L.NO_SUBJECTS)))
+    return F.concat(F.filter(found(L.USES_PATTERN, "uses", 3), good), F.filter(found(L.IS_PATTERN, "is", 2), lambda x: good(x) & ~F.lower(x["subject"]).isin(*L.NO_SUBJECTS)))
 
 
 def self_facts(c: Column, patterns: Sequence[tuple[str, str, str]] = L.SELF_PATTERNS) -> Column:

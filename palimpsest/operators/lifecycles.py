@@ -250,3 +250,18 @@ def fork(runs: DataFrame, changes: DataFrame) -> DataFrame:
     c = changes.select("id", F.col("params").alias("__p"))
     rows = runs.join(c, "id")
     return rows.select("id", F.map_concat(F.map_filter("params", lambda k, _: ~F.map_contains_key(F.col("__p"), k)), "__p").alias("params"))
+
+
+# Projects and periods ----------------------------------------------------------------------------------------------
+
+
+def projects_in_workspaces(projects: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Projects (id, workspace_id, name, status) with the name and area of their workspace; those without one are left out."""
+    w = workspaces.select(F.col("id").alias("__w"), F.col("name").alias("workspace"), "area")
+    return projects.join(w, F.col("workspace_id") == F.col("__w")).drop("__w")
+
+
+def due_in_period(keys: DataFrame, done: DataFrame, now: Column, period: str, key: str = "key", at: str = "at") -> DataFrame:
+    """Keys that have nothing done since the period (`day`, `week`, `month`) of `now` began."""
+    since = done.where(F.col(at) >= F.date_trunc(period, now).cast("timestamp_ntz")).select(key).distinct()
+    return keys.join(since, key, "left_anti")

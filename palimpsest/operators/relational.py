@@ -230,3 +230,15 @@ def join_dealt(rows: DataFrame, few: DataFrame, key: str | list[str], spread: st
     key = [key] if isinstance(key, str) else key
     rows = rows.withColumn("__deal", F.pmod(F.xxhash64(spread), F.lit(deals)).cast("int"))
     return rows.join(few.join(rows.select(*key, "__deal").distinct(), key), [*key, "__deal"]).drop("__deal")
+
+
+def append_distinct(rows: DataFrame, additions: DataFrame, key: str, column: str) -> DataFrame:
+    """`rows` with the values of `additions` (key, n, value) at the end of the array `column`, in the order of n; what is in it already, or comes again, is left out. A null array is empty."""
+    new = additions.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("__new"))
+    out = rows.join(new, F.col(key) == F.col("__key"), "left")
+    kind = rows.schema[column].dataType
+    had = F.coalesce(column, F.array().cast(kind))
+    every = F.concat(had, F.coalesce(F.transform("__new", lambda x: x["value"]), F.array().cast(kind)))
+    # What was there stays as it was, also what it had twice.
+    grown = F.concat(had, F.array_except(F.array_distinct(every), had))
+    return out.withColumn(column, F.when(F.col("__new").isNull(), F.col(column)).otherwise(grown)).drop("__key", "__new")

@@ -93,3 +93,42 @@ def needle_hits(spark, d):
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
     rows = N.hits(docs, docs.select(F.substring("text", 1, 12).alias("needle")))
     return rows.groupBy("needle").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+_STORE = f"""mem AS MATERIALIZED (SELECT vec_id AS id, 's' || (label % 5) AS scope, vec_id % 211 AS episode, CASE vec_id % 4 WHEN 0 THEN 'canonical' WHEN 1 THEN 'belief' WHEN 2 THEN 'hypothesis' ELSE 'retracted' END AS status,
+  TIMESTAMP '2024-01-01' + to_hours((vec_id % 400)::INT) AS valid_from, CASE WHEN vec_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_hours((vec_id % 400 + 100)::INT) END AS valid_to, embedding, text FROM embeddings JOIN documents ON doc_id = vec_id),
+m AS MATERIALIZED (SELECT * FROM mem WHERE status IN ('canonical', 'belief') AND valid_from <= TIMESTAMP '2024-01-10' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-10')),
+ask AS MATERIALIZED (SELECT mem.id AS query, scope, embedding, b.text FROM mem JOIN benchmark b ON item_id * 50 = mem.id),
+dense AS (SELECT * FROM (SELECT query, m.id, {_COS.format(a='ask', b='m')} AS score, row_number() OVER (PARTITION BY query ORDER BY round({_COS.format(a='ask', b='m')}, 9) DESC, m.id) AS rank FROM ask JOIN m ON m.scope = ask.scope AND m.id <> query) WHERE rank <= 20),
+t AS MATERIALIZED (SELECT id, scope, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS t FROM m), wo AS (SELECT id, scope, len(t) AS n_words, unnest(t) AS term FROM t), qt AS MATERIALIZED (SELECT query, scope AS own, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM ask),
+st AS (SELECT count(*) AS n_docs, avg(len(t)) AS mean FROM t), tf AS MATERIALIZED (SELECT term, id, scope, n_words, count(*) AS tf FROM wo WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), need AS (SELECT query, count(*) AS need FROM qt GROUP BY 1),
+sc AS (SELECT query, id, count(*) AS n, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_words / mean))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st WHERE scope = own GROUP BY 1, 2),
+strict AS (SELECT query, id, score FROM sc JOIN need USING (query) WHERE n = need), chosen AS (SELECT * FROM strict UNION ALL SELECT query, id, score FROM sc WHERE query NOT IN (SELECT query FROM strict)),
+sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM chosen) WHERE rank <= 20),
+u AS MATERIALIZED (SELECT query, id, 'dense' AS c, rank, score FROM dense UNION ALL SELECT query, id, 'sparse', rank, score FROM sparse),
+rec AS (SELECT id, 1 + 0.3 * exp(-0.01 * date_diff('second', valid_from, TIMESTAMP '2024-01-10') / 86400.0) AS f FROM m),
+f1 AS (SELECT query, id, sum(1 / (60 + rank)) * any_value(f) AS fused FROM u JOIN rec USING (id) GROUP BY 1, 2), seeds AS (SELECT query, id FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(fused, 12) DESC, id) AS k FROM f1) WHERE k <= 5),
+ent AS (SELECT p_partkey AS id, p_partkey % 211 AS episode, CASE WHEN p_size % 5 = 0 THEN 'hypothesis' ELSE 'canonical' END AS status FROM part), e AS (SELECT p_partkey AS src, (p_partkey * 7) % (SELECT count(*) FROM part) + 1 AS dst FROM part WHERE p_partkey % 3 = 0),
+n0 AS (SELECT DISTINCT query, ent.id AS node FROM seeds JOIN mem USING (id) JOIN ent ON ent.episode = mem.episode WHERE ent.status = 'canonical'), n1 AS (SELECT DISTINCT query, dst AS node FROM n0 JOIN e ON src = node),
+ep AS (SELECT query, episode, min(depth) AS depth FROM (SELECT *, 0 AS depth FROM n0 UNION ALL SELECT *, 1 FROM n1) w JOIN ent ON ent.id = w.node GROUP BY 1, 2),
+graph AS (SELECT query, m.id, 'graph' AS c, NULL::BIGINT AS rank, 1.0 / (1 + depth) AS score FROM ep JOIN m USING (episode) JOIN ask USING (query) WHERE m.scope = ask.scope)"""
+
+
+@query(f"""WITH {_STORE}, f2 AS (SELECT query, id, coalesce(sum(1 / (60 + rank)), 0) * any_value(f) AS fused, max(score) AS score, string_agg(c, ',' ORDER BY c) AS signals FROM (SELECT * FROM u UNION ALL SELECT * FROM graph) JOIN rec USING (id) GROUP BY 1, 2)
+SELECT query, id, round(fused, 9) AS fused_score, round(score, 6)::DOUBLE AS score, signals, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(fused, 12) DESC, id) AS place FROM f2) WHERE place <= 50""")
+def recall_candidates(spark, d):
+    """One recall for many queries: channels within a scope and time, fused, the graph from the best five, fused again, with the signals of each."""
+    from palimpsest.operators import recall as P
+
+    v, docs, p = (read_table(spark, d, t) for t in ("embeddings", "documents", "part"))
+    at = lambda h: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), h.cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ("canonical", "belief", "hypothesis", "retracted"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    memories = v.join(docs.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content")), "vec_id").select(F.col("vec_id").alias("id"), F.concat(F.lit("s"), (F.col("label") % 5).cast("string")).alias("scope"), (F.col("vec_id") % 211).alias("episode"), status.alias("status"), F.lit("semantic").alias("tier"), "content", at(F.col("vec_id") % 400).alias("valid_from"), F.when(F.col("vec_id") % 3 == 0, at(F.col("vec_id") % 400 + 100)).alias("valid_to"), "embedding")
+    asked = memories.select(F.col("id").alias("query"), "scope", "embedding").join(read_table(spark, d, "benchmark").select((F.col("item_id") * 50).alias("query"), "text"), "query")
+    n = p.count()
+    entities = p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 211).alias("episode"), F.when(F.col("p_size") % 5 == 0, "hypothesis").otherwise("canonical").alias("status"))
+    edges = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7) % n + 1).alias("dst"))
+    # Facts of identity are no part of the supplied tables: their channel is empty here.
+    facts = memories.where("false").select("id", "scope", F.lit("").alias("predicate"), F.lit("").alias("object"), F.lit(0.5).alias("confidence"))
+    rows = P.candidates(P.Store(memories, facts, entities, edges), asked, F.lit("2024-01-10").cast("timestamp_ntz"))
+    return rows.select("query", "id", F.round("fused_score", 9).alias("fused_score"), F.round("score", 6).alias("score"), F.array_join(F.array_sort(F.map_keys("signals")), ",").alias("signals"), "place")

@@ -219,7 +219,7 @@ def delegation_reports(spark, d):
     return c.select(F.col("c_custkey").alias("id"), F.explode(X.reported_facts(said)).alias("f")).select("id", "f.kind", "f.statement")
 
 
-@query("""SELECT c_custkey AS id, f.s AS subject, f.p AS predicate, f.o AS object FROM (SELECT c_custkey, unnest([{'s': 'Ann ' || c_custkey, 'p': 'uses', 'o': lower(c_mktsegment) || ' tools'}, {'s': 'Bob', 'p': 'is', 'o': 'good maker'}]) AS f FROM customer)""")
+@query("""SELECT c_custkey AS id, f.s AS subject, f.p AS predicate, f.o AS object FROM (SELECT c_custkey, unnest([{'s': 'Ann ' || c_custkey, 'p': 'uses', 'o': lower(c_mktsegment) || ' tools'}, {'s': 'Bob', 'p': 'uses', 'o': 'good maker'}, {'s': 'This', 'p': 'uses', 'o': 'pity'}, {'s': 'Bob', 'p': 'is', 'o': 'good maker'}]) AS f FROM customer)""")
 def text_triples(spark, d):
     c = read_table(spark, d, "customer")
     said = F.concat(F.lit("Ann "), F.col("c_custkey").cast("string"), F.lit(" uses "), F.lower("c_mktsegment"), F.lit(" tools, Bob is a good maker. This is a pity."))
