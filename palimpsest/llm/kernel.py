@@ -129,7 +129,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         a, b = int(np.searchsorted(ends, x, "right")), int(np.searchsorted(starts, y))
         part = _raw_hashes(data[x:y], np.maximum(starts[a:b], x) - x, np.minimum(ends[a:b], y) - x)
         if a < b and starts[a] < x:
-            part[0] *= np.uint64(pow(int(_P), int(x - starts[a]), 1 << 64))
+            part[:1] *= np.uint64(pow(int(_P), int(x - starts[a]), 1 << 64))
         out[a:b] += part
     return mix(out)
 

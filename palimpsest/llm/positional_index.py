@@ -138,8 +138,8 @@ class Shard:
             owner, at = owner[good], at[good]
         return owner, at
 
-    def near(self, windows: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, first, last position) where all its terms stand in order, each at most slop words later than right after the one before."""
+    def near(self, windows: np.ndarray, slop: int, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, first, last position) where all its terms stand in order in one document, each at most slop words later than right after the one before. documents: where each begins, and the end."""
         if not len(windows) or not len(self.keys):
             return (np.zeros(0, np.int64),) * 3
         n = self.count(windows[:, 0])
@@ -149,7 +149,7 @@ class Shard:
         for step in range(1, windows.shape[1]):
             base = windows[owner, step] * self.span
             # All places within the slop, not the next one only: a later one may be what the terms behind it need.
-            lo, hi = np.searchsorted(self.keys, base + last + 1), np.searchsorted(self.keys, np.minimum(base + last + 2 + slop, base + self.span))
+            lo, hi = np.searchsorted(self.keys, base + last + 1), np.searchsorted(self.keys, base + np.minimum(last + 2 + slop, documents[np.searchsorted(documents, first, "right")]))
             found = self.keys[_runs(lo, hi - lo)] % self.span
             owner, first = np.repeat(owner, hi - lo), np.repeat(first, hi - lo)
             owner, first, last = np.unique(np.stack([owner, first, found]), axis=1)
@@ -296,7 +296,7 @@ def hits(shard: Shard, base: np.ndarray, own: Items, slop: int | None = None):
             owner, at = shard.phrases(windows)
             ends = at + n
         else:
-            owner, at, last = shard.near(windows, slop)
+            owner, at, last = shard.near(windows, slop, base)
             ends = last + 1
         doc = np.searchsorted(base, at, "right") - 1
         for w, d, s, e in zip(owner.tolist(), doc.tolist(), at.tolist(), ends.tolist(), strict=True):

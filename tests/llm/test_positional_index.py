@@ -78,6 +78,8 @@ def test_proximity(spark):
     index = P.build_index(docs)
     assert {r["doc"] for r in P.phrase_matches(index, it).collect()} == {2}
     assert {(r["doc"], r["n_words"]) for r in P.proximity_matches(index, it, slop=2).collect()} == {(1, 3), (2, 2)}
+    # However far apart they may be, they stand in one document.
+    assert {(r["doc"], r["n_words"]) for r in P.proximity_matches(index, it, slop=10**6).collect()} == {(1, 3), (2, 2), (4, 5)}
 
 
 def test_empty_tables(spark):
