@@ -22,8 +22,8 @@ def _log(spark, d):
 
 @query("SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type")
 def stream_remind_once(spark, d):
-    rows = P.remind_once(_log(spark, d), ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
-    return P.append_table(rows, shared_path(spark, "reminded"), shared_path(spark, "offsets"))
+    log = P.read_log(spark, P.write_log(roles.events(spark, d), shared_path(spark, "log")), P.FILES_A_STEP)
+    return P.remind_once(log, ["user_id", "event_type"], shared_path(spark, "reminded"), shared_path(spark, "offsets")).select("event_id", "user_id", "event_type")
 
 
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_id > 500 AND (event_type LIKE 'er%' OR event_type LIKE 'sign%')")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import lifecycles as Y
 from palimpsest.runtime import shared_path
+from palimpsest.streaming import projections as P
 from palimpsest.streaming import stateful as S
 from palimpsest.streaming.projections import read_log, write_log
 
@@ -69,3 +70,23 @@ def test_approvals_run_out(spark, files):
     got = S.approvals(read_log(spark, write_log(df, shared_path(spark, "log"), files, "seq"), schema=S.REQUESTS), *S.fresh_paths(spark, "approvals"))
     assert {r["id"]: r["state"] for r in got.collect()} == want
     assert {r["id"]: r["at"] for r in got.where(F.col("state") == "expired").collect()} == {k: day(k % 5 + 3) for k, s in want.items() if s == "expired"}
+
+
+def _events(spark, ids):
+    return spark.createDataFrame([(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), i % 3, "a", float(i), "{}") for i in ids], P.EVENTS)
+
+
+def test_a_log_that_begins_with_a_file_without_rows(spark):
+    path = shared_path(spark, "log")
+    _events(spark, []).coalesce(1).write.parquet(path)
+    write_log(_events(spark, range(20)), path, 2)
+    got = P.current_state(read_log(spark, path), shared_path(spark, "state"), shared_path(spark, "offsets"))
+    assert rows(got.select("user_id", "event_id")) == [(0, 18), (1, 19), (2, 17)]
+
+
+def test_reminders_are_the_first_of_each_key_in_any_order_of_files(spark):
+    path = shared_path(spark, "log")
+    for ids in (range(40, 60), range(10, 40)):
+        write_log(_events(spark, ids).repartition(3), path, 1)
+    got = P.remind_once(read_log(spark, path), ["user_id", "event_type"], shared_path(spark, "reminded"), shared_path(spark, "offsets"))
+    assert rows(got.select("user_id", "event_id")) == [(0, 12), (1, 10), (2, 11)]
