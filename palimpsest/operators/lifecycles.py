@@ -142,9 +142,9 @@ def queue(approvals: DataFrame, now: Column) -> DataFrame:
 # Decisions and lessons ----------------------------------------------------------------------------------------------
 
 
-def record_outcomes(decisions: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Decisions with outcome_id, surprise and reviewed_at of their first outcome. decisions: id, confidence; outcomes: id, decision_id, matched."""
-    first = keep_first(outcomes, ["decision_id"], ["id"]).select(F.col("decision_id").alias("__d"), F.col("id").alias("outcome_id"), "matched")
+def record_outcomes(decisions: DataFrame, outcomes: DataFrame, now: Column, ties: list[str] | None = None) -> DataFrame:
+    """Decisions with outcome_id, surprise and reviewed_at of their first outcome. decisions: id, confidence; outcomes: id, decision_id, matched, and columns that order those of one id (`ties`)."""
+    first = keep_first(outcomes, ["decision_id"], ["id", *(ties or [])]).select(F.col("decision_id").alias("__d"), F.col("id").alias("outcome_id"), "matched")
     rows = decisions.join(first, F.col("id") == F.col("__d"), "left")
     return rows.withColumn("surprise", F.round(S.brier(F.col("confidence"), F.col("matched")), 6)).withColumn("reviewed_at", F.when(F.col("outcome_id").isNotNull(), now)).drop("__d", "matched")
 

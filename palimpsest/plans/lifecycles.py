@@ -189,8 +189,10 @@ _DECISIONS = "de AS (SELECT o_orderkey AS id, o_totalprice / 500000 AS confidenc
 def _decided(spark, d):
     o, x = read_table(spark, d, "orders"), read_table(spark, d, "lineitem").where("l_linenumber < 3")
     decisions = o.select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 500000).alias("confidence"), F.col("o_orderdate").alias("review_at"))
-    outcomes = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("decision_id"), (F.col("l_returnflag") == "R").alias("matched"))
-    return Y.record_outcomes(decisions, outcomes, _now())
+    # Some ids come twice: the row that stands first in the files counts, as an aggregate in their order has it.
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    outcomes = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("decision_id"), (F.col("l_returnflag") == "R").alias("matched"), place)
+    return Y.record_outcomes(decisions, outcomes, _now(), ["place"])
 
 
 _FIRST = "fo AS (SELECT decision_id, min(id) AS outcome_id, arg_min(matched, id) AS matched FROM oc GROUP BY 1), rec AS (SELECT de.id, outcome_id, round(pow(confidence - matched::INT, 2), 6) AS surprise, review_at FROM de LEFT JOIN fo ON decision_id = de.id)"

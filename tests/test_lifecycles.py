@@ -81,3 +81,12 @@ def test_not_in_as_sql_has_it(spark):
     other = lambda *v: spark.createDataFrame([(x,) for x in v], "b int")
     assert rows(R.not_in(df, "a", other(1)), "a") == [(2,)]
     assert R.not_in(df, "a", other(1, None)).count() == 0 and R.not_in(df, "a", other()).count() == 3
+
+
+def test_the_first_of_outcomes_with_one_id(spark):
+    decisions = spark.createDataFrame([(k, 0.5 if k else 0.9) for k in range(50)], "id long, confidence double")
+    # The row that counts lies in another partition than the one that doesn't, and comes later.
+    twice = [(k * 10 + 1, k, n == 0, n) for n in (1, 0) for k in range(50)]
+    outcomes = spark.createDataFrame(twice, "id long, decision_id long, matched boolean, place int").repartition(5)
+    got = Y.record_outcomes(decisions, outcomes, F.lit(NOW).cast("timestamp_ntz"), ["place"])
+    assert rows(got, "id", "surprise") == rows(spark.createDataFrame([(k, 0.25 if k else 0.01) for k in range(50)], "id long, s double"), "id", "s")
