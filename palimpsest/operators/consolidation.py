@@ -12,11 +12,11 @@ from palimpsest.functions import lexicon as L
 from palimpsest.functions import text as X
 from palimpsest.operators.graph import star_roots
 from palimpsest.operators.relational import join_dealt, keep_first, numbered, top_per_key
-from palimpsest.operators.vector_index import forest, matrix, threshold_join, unit
+from palimpsest.operators.vector_index import forest, matrix, threshold_join, tiles, unit
 from palimpsest.runtime import cut
 
 
-def similarity_classes(rows: DataFrame, tau: float = 0.92, newest: int | None = None, block: int = 1024) -> DataFrame:
+def similarity_classes(rows: DataFrame, tau: float = 0.92, newest: int | None = None, block: int = 4096) -> DataFrame:
     """id, class_id (least id connected within the scope), n_links (neighbours with cosine of at least tau): one row per row. rows: scope, id, created, embedding.
 
     All rows of a scope are compared; if `newest` is given only so many of each scope, and the others stand for themselves. Rows of one scope and vector are one until the end; others meet
@@ -31,10 +31,13 @@ def similarity_classes(rows: DataFrame, tau: float = 0.92, newest: int | None =
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], ["id", "to", "n"])
         right = right.sort_by("id")
-        near = unit(matrix(left["v"])) @ unit(matrix(right["v"])).T >= tau
-        m, itself = right["m"].to_numpy(), left["query"].to_numpy()[:, None] == right["id"].to_numpy()[None, :]
-        # A form's own row is no neighbour of itself, but its other rows are.
-        n = near.astype(np.int64) @ m - (near & itself).sum(axis=1)
+        m, asks, ids = right["m"].to_numpy(), left["query"].to_numpy(), right["id"].to_numpy()
+        near, n = np.zeros((len(asks), len(ids)), bool), np.zeros(len(asks), np.int64)
+        for at, score in tiles(unit(matrix(left["v"])), unit(matrix(right["v"]))):
+            tile = score >= tau
+            near[at : at + len(tile)] = tile
+            # A form's own row is no neighbour of itself, but its other rows are.
+            n[at : at + len(tile)] = tile.astype(np.int64) @ m - (tile & (asks[at : at + len(tile), None] == ids[None, :])).sum(axis=1)
         i, j = forest(near)
         rows_, columns = np.flatnonzero(i >= 0), np.flatnonzero(j >= 0)
         ids = pa.concat_arrays([left["query"].combine_chunks().take(pa.array(rows_)), right["id"].combine_chunks().take(pa.array(columns))])
@@ -49,7 +52,7 @@ def similarity_classes(rows: DataFrame, tau: float = 0.92, newest: int | None =
     return rows.select("id").join(judged, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def duplicates(rows: DataFrame, tau: float = 0.92, auto: float = 0.985, block: int = 1024) -> DataFrame:
+def duplicates(rows: DataFrame, tau: float = 0.92, auto: float = 0.985, block: int = 4096) -> DataFrame:
     """id, superseded_by: rows that a newer one of their scope repeats, with the newest that does. rows: scope, id, created, key, embedding.
 
     From `auto` on likeness is enough, from `tau` on keys (as a confirming score, an equal statement) must agree. Of equal age the greater id is the newer one. Rows of one scope, vector and key are
@@ -64,13 +67,16 @@ def duplicates(rows: DataFrame, tau: float = 0.92, auto: float = 0.985, block: i
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], right.schema.field("created").type), pa.array([], right.schema.field("newest").type)], ["form", "created", "by"])
         right = right.sort_by([("created", "descending"), ("newest", "descending")])
-        score = unit(matrix(left["v"])) @ unit(matrix(right["v"])).T
         # Equal keys have equal codes, in both tables.
         codes = pa.concat_arrays([left["key"].combine_chunks(), right["key"].combine_chunks()]).dictionary_encode().indices.fill_null(-1).to_numpy()
         mine, other = codes[: left.num_rows], codes[left.num_rows :]
-        good = (score >= auto) | ((score >= tau) & (mine[:, None] == other[None, :]) & (mine[:, None] >= 0))
-        i = np.flatnonzero(good.any(axis=1))
-        j = pa.array(good[i].argmax(axis=1))
+        first = np.full(left.num_rows, -1)
+        for at, score in tiles(unit(matrix(left["v"])), unit(matrix(right["v"]))):
+            own = mine[at : at + len(score), None]
+            good = (score >= auto) | ((score >= tau) & (own == other[None, :]) & (own >= 0))
+            first[at : at + len(score)] = np.where(good.any(axis=1), good.argmax(axis=1), -1)
+        i = np.flatnonzero(first >= 0)
+        j = pa.array(first[i])
         return pa.table([left["query"].take(pa.array(i)), right["created"].take(j), right["newest"].take(j)], ["form", "created", "by"])
 
     found = threshold_join(forms, min(tau, auto), judge, schema, ("key", "created", "newest"), block)

@@ -5,14 +5,16 @@ components loop over frames that are written each round; nothing of the graph co
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions import text as X
-from palimpsest.functions.scalars import cosine
 from palimpsest.operators.relational import keep_first
-from palimpsest.operators.vector_index import nearest
+from palimpsest.operators.vector_index import matrix, nearest, threshold_join, tiles, unit
 from palimpsest.runtime import cut, remove, shared_path, written
 
 
@@ -146,7 +148,25 @@ def _together(members: DataFrame, group: str, columns: list[Column], node: str,
     return dealt.join(other, (F.col("g") == F.col("g2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("k") < F.col("k2"))).select("g", "a", "b")
 
 
-def densify(nodes: DataFrame, edges: DataFrame, strong: float = 0.70, together: float = 0.60, k: int = 5, block: int = 1024) -> DataFrame:
+def alike(rows: DataFrame, least: float) -> DataFrame:
+    """lo, hi, score: pairs of a scope with a cosine of at least so much. rows: id, scope, v. Groups of bounded size meet, and only pairs that are alike are rows."""
+    kind = rows.schema["id"].dataType
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["lo", "hi", "score"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], x) for x in (left.schema.field("query").type, right.schema.field("id").type, pa.float64())], names)
+        asks, ids, found = left["query"].to_numpy(), right["id"].to_numpy(), []
+        for at, score in tiles(unit(matrix(left["v"])), unit(matrix(right["v"]))):
+            i, j = np.nonzero((score >= least) & (asks[at : at + len(score), None] < ids[None, :]))
+            found.append((i + at, j, score[i, j]))
+        i, j, score = (np.concatenate([f[x] for f in found]) for x in range(3))
+        return pa.table([left["query"].take(pa.array(i)), right["id"].take(pa.array(j)), pa.array(score)], names)
+
+    return threshold_join(rows, least, judge, T.StructType([T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("score", T.DoubleType())]))
+
+
+def densify(nodes: DataFrame, edges: DataFrame, strong: float = 0.70, together: float = 0.60, k: int = 5) -> DataFrame:
     """lo, hi, rel_type, method, score: edges that a graph lacks. nodes: id, episode, embedding.
 
     Nodes of one episode with a cosine of at least `together` co-occur; a node's k nearest with one of at least `strong` are related; what has no edge then, is tied to
@@ -156,8 +176,8 @@ def densify(nodes: DataFrame, edges: DataFrame, strong: float = 0.70, together:
     near = nearest(vectors.select(F.col("id").alias("query"), "embedding"), vectors.select("id", "embedding"), k)
     pairs = near.select(F.least("query", "id").alias("lo"), F.greatest("query", "id").alias("hi"), "score")
     related = pairs.where(F.col("score") >= strong).groupBy("lo", "hi").agg(F.max("score").alias("score")).select("lo", "hi", "score", F.lit(2).alias("order"), F.lit("similarity").alias("method"))
-    both = _together(vectors.where("episode is not null"), "episode", [F.col("id"), F.col("embedding")], "id", block).withColumn("score", cosine(F.col("a.embedding"), F.col("b.embedding"))).where(F.col("score") >= together)
-    cooccur = both.groupBy(F.col("a.id").alias("lo"), F.col("b.id").alias("hi")).agg(F.max("score").alias("score")).select("lo", "hi", "score", F.lit(1).alias("order"), F.lit("cooccurrence").alias("method"))
+    both = alike(vectors.where("episode is not null").select("id", F.col("episode").alias("scope"), F.col("embedding").alias("v")), together)
+    cooccur = both.groupBy("lo", "hi").agg(F.max("score").alias("score")).select("lo", "hi", "score", F.lit(1).alias("order"), F.lit("cooccurrence").alias("method"))
     found = cut(keep_first(cooccur.unionByName(related).join(have, ["lo", "hi"], "left_anti"), ["lo", "hi"], ["order"]))
     joined = edges.select(F.explode(F.array("src", "dst")).alias("id")).union(found.select(F.explode(F.array("lo", "hi")))).distinct()
     alone = near.where("rank = 1").join(joined, F.col("query") == joined["id"], "left_anti")

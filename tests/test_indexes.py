@@ -1,11 +1,14 @@
 """Indexes of vectors and texts, and needles, against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.operators import graph as G
 from palimpsest.operators import needles as N
 from palimpsest.operators import retrieval as R
 from palimpsest.operators import text_index as T
@@ -156,3 +159,39 @@ def test_needles(spark, part_bytes):
     assert {r["needle"] for r in N.said(docs, needles, part_bytes=part_bytes).collect()} == {n for _, n in want}
     assert all(sum(len(x.encode()) + N.OVERHEAD for x in p) <= 200 for p in N.parts_of(needles, 200))
     assert N.hits(docs, needles.where("false")).count() == 0
+
+
+def test_the_best_in_tiles_are_those_of_all_at_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, t = V.unit(rng.normal(size=(37, 8))), V.unit(rng.normal(size=(90, 8)))
+    t[50:60] = t[:10]  # ties go to the first
+    t[70] = np.nan
+    want = [(i, j) for i in range(37) for j in np.lexsort((np.arange(90), -np.round(np.where(np.isnan(q[i] @ t.T), -np.inf, q[i] @ t.T), 9)))[:5]]
+    for tile in (90, 500, 1 << 20):
+        monkeypatch.setattr(V, "TILE", tile)
+        i, j, score = V.best(q, t, 5, lambda score, at: None)
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == want
+        assert np.allclose(score, (q[i] * t[j]).sum(axis=1))
+
+
+def test_a_group_never_holds_all_of_its_scores():
+    rng = np.random.default_rng(4)
+    table = lambda name, n: pa.table({name: np.arange(n) + (n == 512) * 100_000, "v": list(rng.normal(size=(n, 16)))})
+    q, t = table("query", 512), table("id", V.PART)
+    tracemalloc.start()
+    try:
+        out = V._best(10, None, None)(q, t)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out.num_rows == 5120
+    assert peak < 512 * V.PART * 8, peak  # one matrix of scores; it was several
+
+
+def test_pairs_that_are_alike_by_groups(spark):
+    rng = np.random.default_rng(5)
+    v = V.unit(rng.normal(size=(120, 6)))
+    rows = spark.createDataFrame([(k, k % 3, v[k].tolist()) for k in range(120)], "id long, scope int, v array<double>")
+    want = {(a, b) for a in range(120) for b in range(a + 1, 120) if a % 3 == b % 3 and v[a] @ v[b] >= 0.5}
+    got = G.alike(rows, 0.5).collect()
+    assert {(r["lo"], r["hi"]) for r in got} == want and len(got) == len(want)
