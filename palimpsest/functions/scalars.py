@@ -54,9 +54,10 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A unit vector from SHA-256 of the text and a counter: 8 words of 32 bits a digest, each scaled to [-1, 1)."""
     digests = F.transform(F.sequence(F.lit(0), F.lit((dim + 7) // 8 - 1)), lambda k: F.sha2(F.concat(text, F.lit(":"), k.cast("string")), 256))
     words = F.flatten(F.transform(digests, lambda d: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.conv(F.substring(d, k * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2147483648.0 - 1.0)))
-    v = F.slice(words, 1, dim)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / norm)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    # Bound by lambdas, or the digests and the norm would be made anew for each component.
+    bound = F.transform(F.array(F.slice(words, 1, dim)), lambda v: F.struct(v.alias("v"), norm(v).alias("norm")))
+    return F.element_at(F.transform(bound, lambda b: F.transform(b["v"], lambda x: x / b["norm"])), 1)
 
 
 def is_typed_id(c: Column, prefix: str | None = None) -> Column:
