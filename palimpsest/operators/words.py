@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _CUT = re.compile("[^a-z]+")
+#: Rows of Python values that a task holds before it gives them away: one text's at least.
+HELD_ROWS = 1 << 16
 
 
 def word_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", least: int = 1, stop: Sequence[str] = (), top: int | None = None, sizes: bool = False) -> DataFrame:
@@ -24,6 +26,10 @@ def word_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", lea
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, words, counts, ranks, totals = [], [], [], [], []
+
+            def made(batch=batch) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(ranks, pa.int64()), pa.array(totals, pa.int64())], schema.fieldNames())
+
             for row, text in enumerate(batch.column(1)):
                 every = [w for w in _CUT.split((text.as_py() or "").lower()) if w and len(w) >= least and w not in left_out]
                 # most_common keeps the order of first occurrence among equals.
@@ -35,7 +41,10 @@ def word_counts(docs: DataFrame, id_col: str = "id", text_col: str = "text", lea
                 counts += [n for _, n in found]
                 ranks += range(0 if sizes else 1, len(found) + (0 if sizes else 1))
                 totals += [len(every)] * len(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(words, pa.string()), pa.array(counts, pa.int64()), pa.array(ranks, pa.int64()), pa.array(totals, pa.int64())], schema.fieldNames())
+                if len(rows) >= HELD_ROWS:
+                    yield made()
+                    rows, words, counts, ranks, totals = [], [], [], [], []
+            yield made()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
