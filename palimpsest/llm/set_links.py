@@ -10,11 +10,13 @@ blocks, and each pair of blocks is a group. A pair is looked at where it first s
 pair go before any full set travels. Within a group the nearest pairs come first, and what they link needn't be looked at again. Groups give links, never pairs.
 
 Together that connects exactly what the pairs of the similarity connect that share a key and whose prints are near.
-Full sets are 64-bit hashes; texts are read again for them, and don't travel: a bitmap of those that are wanted is broadcast.
+Full sets are 64-bit hashes; texts are read again for them, and don't travel: a bitmap of those that are wanted is broadcast. Sets are larger than packed texts, so pairs and groups are
+decided in up to `PARTS` parts, and a share of the sets is on disk at a time.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,9 @@ from palimpsest.runtime import cut, remove, shared_path, written
 #: Holders of a key, and shingles of their sets together, up to which they are one block.
 BLOCK = 1024
 BLOCK_SHINGLES = 2 << 20
+#: Full sets of more bytes than this are made and decided in several parts, one after the other, and in so many at most: each part reads the texts again.
+PART_BYTES = 128 << 20
+PARTS = 4
 #: Bits of a bitmap of what is wanted, for each hash and at most (16 MB). Beyond some ten millions of hashes it rules out less and less, and work is done in vain, but nothing is lost.
 PLACES_EACH = 32
 MOST_PLACES = 1 << 27
@@ -75,6 +80,11 @@ def full_sets(texts: DataFrame, wanted: DataFrame, words_of_shingle: int) -> Dat
     return K.map_arrow(texts.select("place", "text"), run, K.schema(set_key="bigint", shingles="array<bigint>"))
 
 
+def parts_of(shingles: int) -> int:
+    """In how many parts sets with so many shingles together are decided."""
+    return min(PARTS, max(1, -(-8 * shingles // PART_BYTES)))
+
+
 def bitmap(hashes: DataFrame) -> np.ndarray:
     """A bit for each hash (one column of longs) modulo the number of bits, which has a bound however many they are."""
     (name,) = hashes.columns
@@ -298,12 +308,21 @@ def similar_links(forms: DataFrame, full: Callable[[DataFrame], DataFrame], perc
     spark = forms.sparkSession
     base = shared_path(spark, "sets")
 
+    def in_parts(rows: DataFrame, by: list[str], shingles: int, keys: Column, judge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """What `judge` makes of the rows and the full sets of their `keys`, part by part. A part's sets are a table that goes when it is judged."""
+        n, out = parts_of(shingles), []
+        for k in range(n):
+            part = rows.where(F.pmod(F.xxhash64(*by, F.lit("part")), F.lit(n)) == k)
+            sets = written(full(part.select(F.explode(keys).alias("set_key")).distinct()), base)
+            out.append(cut(judge(part, sets)))
+            remove(spark, base)
+        return functools.reduce(DataFrame.unionByName, out)
+
     def decided(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that are similar. Their sets are a table that goes when they are decided."""
-        sets = written(full(pairs.select(F.explode(F.array("u", "v")).alias("set_key")).distinct()), base)
-        out = cut(similar_rows(pairs, sets, percent))
-        remove(spark, base)
-        return out
+        """Those of the pairs that are similar. Dealt by u, so what many have as their v is in each part and else nothing is in two."""
+        asked = F.array("u", "v")
+        shingles = pairs.select(F.explode(asked).alias("set_key")).distinct().join(forms.select("set_key", "n"), "set_key").agg(F.sum("n")).first()[0] or 0
+        return in_parts(pairs, ["u"], shingles, asked, lambda part, sets: similar_rows(part, sets, percent))
 
     edges = decided(met)
     roots = star_roots(edges)
@@ -320,7 +339,5 @@ def similar_links(forms: DataFrame, full: Callable[[DataFrame], DataFrame], perc
     active = cut(by_groups(groups, lambda t: _active(t, propose, percent), groups.schema))
     if active.isEmpty():
         return edges
-    sets = written(full(active.select("set_key").distinct()), base)
-    found = cut(by_groups(active.join(sets, "set_key").select(*groups.columns, "shingles"), lambda t: _links(t, propose, percent), link))
-    remove(spark, base)
-    return edges.unionByName(found)
+    judge = lambda part, sets: by_groups(part.join(sets, "set_key").select(*groups.columns, "shingles"), lambda t: _links(t, propose, percent), link)
+    return edges.unionByName(in_parts(active, GROUP, active.agg(F.sum("n")).first()[0], F.array("set_key"), judge))

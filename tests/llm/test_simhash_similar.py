@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from palimpsest.llm import set_links as S
 from palimpsest.llm import simhash_similar as Z
 
 from .fixtures import SCHEMA, documents
@@ -132,3 +133,35 @@ def test_large_groups_of_near_copies(spark, block):
         texts.append(" ".join(new))
     df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA).repartition(3)
     assert sorted(r["doc_id"] for r in Z.survivors(df, block=block).collect()) == sorted(set(similar_classes(texts)))
+
+
+def test_sets_are_decided_in_parts(spark, monkeypatch):
+    """A share of the full sets is on disk at a time, and the parts link what one would."""
+    texts, made = copies(), []
+    written = S.written
+    monkeypatch.setattr(S, "written", lambda df, path: (out := written(df, path), made.append(out.count()))[0])
+    df = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA).repartition(3)
+    assert sorted(r["doc_id"] for r in Z.survivors(df).collect()) == (want := sorted(set(similar_classes(texts))))
+    whole = max(made)
+    made.clear()
+    monkeypatch.setattr(S, "PART_BYTES", 1 << 10)
+    assert sorted(r["doc_id"] for r in Z.survivors(df, block=3).collect()) == want
+    assert max(made) < 0.75 * whole
+
+
+def test_shuffles_end_with_their_action(spark):
+    """Shuffle files of a finished action don't stay until garbage is collected; what follows still reads the frames."""
+    import glob
+
+    from palimpsest.runtime import brief_shuffles, cut, shared_path, written
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: set(glob.glob(f"{spark.conf.get('spark.local.dir', '/tmp')}/blockmgr-*/*/shuffle_*.data"))
+    before = spark.conf.get(key)
+    with brief_shuffles(spark):
+        had = files()
+        a = cut(spark.range(1000).groupBy("id").count())
+        b = written(spark.range(1000).repartition(3, "id"), shared_path(spark, "brief"))
+        assert a.join(b, "id").count() == 1000 == a.count() and a.toArrow().num_rows == 1000
+        assert not files() - had
+    assert spark.conf.get(key) == before
