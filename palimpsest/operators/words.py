@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -60,3 +61,64 @@ def top_word_lists(docs: DataFrame, id_col: str = "id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.string()))], ["id", "words"])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of three characters of a text, each letter in lower case, as numbers, and how often each occurs."""
+    text = text or ""
+    low = text.lower() if text.isascii() else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    u = np.frombuffer(low.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return np.unique((u[:-2] << np.uint64(42)) | (u[1:-1] << np.uint64(21)) | u[2:], return_counts=True)
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    counts = np.zeros(len(keys), np.int64)
+    np.add.at(counts, at, np.concatenate([a[1], b[1]]))
+    return keys, counts
+
+
+def gram_products(rows: DataFrame, key: list[str], left: str, right: str) -> DataFrame:
+    """key, dot, a, b for each row: products of the counts of three-character runs of `left` and `right`, and of each with itself. Rows of one key count together.
+
+    All rows of a key lie in one partition. They are sorted by it and counted one after the other, so a task holds one key's counts."""
+    fields = [rows.schema[c] for c in key]
+    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in ("dot", "a", "b")]])
+    kinds = [pa.int64()] * 3
+
+    def products(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, int, int]:
+        _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+        return int(a[1][i] @ b[1][j]), int(a[1] @ a[1]), int(b[1] @ b[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, a, b = None, 0, None, None
+        for batch in batches:
+            names = [batch.schema.field(k).type for k in range(len(key))]
+            out: list[tuple] = []
+
+            def made(names=names) -> pa.RecordBatch:
+                columns = zip(*out, strict=True) if out else [[]] * len(schema)
+                return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, names + kinds, strict=True)], schema.fieldNames())
+
+            for k in range(batch.num_rows):
+                own = tuple(batch.column(c)[k].as_py() for c in range(len(key)))
+                x, y = (_grams(batch.column(len(key) + c)[k].as_py()) for c in range(2))
+                if own == last:
+                    n, a, b = n + 1, _merged(a, x), _merged(b, y)
+                    continue
+                if n:
+                    row = (*last, *products(a, b))
+                    for _ in range(n):
+                        out.append(row)
+                        if len(out) >= HELD_ROWS:
+                            yield made()
+                            out.clear()
+                last, n, a, b = own, 1, x, y
+            yield made()
+        if n:
+            row = (*last, *products(a, b))
+            for at in range(0, n, HELD_ROWS):
+                columns = zip(*[row] * min(HELD_ROWS, n - at), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, names + kinds, strict=True)], schema.fieldNames())
+
+    return rows.select(*key, left, right).sortWithinPartitions(*key).mapInArrow(run, schema)

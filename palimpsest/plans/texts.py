@@ -185,17 +185,10 @@ _TRI = "SELECT conv_id, turn, lower(substring({c}, i::INT, 3)) AS g, count(*) AS
 x AS (SELECT a.conv_id, a.turn, sum(a.n * b.n) AS dot FROM a JOIN b USING (conv_id, turn, g) GROUP BY ALL)
 SELECT t.conv_id, t.turn, round(coalesce(dot / (na.n * nb.n), 0), 6) AS similarity FROM turns t LEFT JOIN x USING (conv_id, turn) LEFT JOIN na USING (conv_id, turn) LEFT JOIN nb USING (conv_id, turn) WHERE before IS NOT NULL""")
 def eval_trigram(spark, d):
-    rows = roles.turns(spark, d).where("before is not null")
-
-    def grams(c):
-        cut_ = F.when(F.length(c) > 2, F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda k: F.lower(F.substring(F.col(c), k, F.lit(3))))).otherwise(F.array().cast("array<string>"))
-        g = rows.select("conv_id", "turn", F.explode(cut_).alias("g")).groupBy("conv_id", "turn", "g").agg(F.count("*").alias(f"n_{c}"))
-        return g
-
-    both = grams("text").join(grams("before"), ["conv_id", "turn", "g"], "full")
-    sums = both.groupBy("conv_id", "turn").agg(F.sum(F.col("n_text") * F.col("n_before")).alias("dot"), F.sqrt(F.sum(F.col("n_text") * F.col("n_text"))).alias("a"), F.sqrt(F.sum(F.col("n_before") * F.col("n_before"))).alias("b"))
-    out = rows.select("conv_id", "turn").join(sums, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", F.round(F.coalesce(F.col("dot") / (F.col("a") * F.col("b")), F.lit(0.0)), 6).alias("similarity"))
+    rows = O.gram_products(roles.turns(spark, d).where("before is not null"), ["conv_id", "turn"], "text", "before")
+    # A null key equals none, not even itself.
+    alike = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), F.col("dot") / F.nullif(F.sqrt("a") * F.sqrt("b"), F.lit(0.0)))
+    return rows.select("conv_id", "turn", F.round(F.coalesce(alike, F.lit(0.0)), 6).alias("similarity"))
 
 
 @query(f"WITH {TURNS}, s AS (SELECT role, CASE WHEN length(text) > 300 THEN 1.0 WHEN length(text) > 60 THEN 0.75 ELSE 0.25 END AS score FROM turns) SELECT role AS dataset, count(*) AS n, round(avg(score), 6) AS pass_rate, count(*) FILTER (WHERE score < 0.5) AS regressions, CASE WHEN round(avg(score), 6) >= 0.8 AND count(*) FILTER (WHERE score < 0.5) = 0 THEN 'promote' WHEN round(avg(score), 6) >= 0.5 THEN 'hold' ELSE 'rollback' END AS decision FROM s GROUP BY 1")

@@ -1,6 +1,7 @@
 """Operators against hand-written fixtures."""
 
 import hashlib
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -124,6 +125,33 @@ def test_cooccurrence_of_large_groups(spark, tmp_path):
     assert sorted(tuple(r) for r in G.cooccurrence(m, "l_orderkey", "l_partkey", block=16).collect()) == want
 
 
+def test_cooccurrence_grows_in_tasks(spark, monkeypatch):
+    """Where there are more rows, there are more tasks, and not larger ones."""
+    m = spark.createDataFrame([(k // 4, k % 97) for k in range(4000)], "group long, node long")
+    want = sorted(tuple(r) for r in G.cooccurrence(m).collect())
+    monkeypatch.setattr(G, "TASK_ROWS", 100)
+    out = G.cooccurrence(m)
+    assert out.rdd.getNumPartitions() == 60 and sorted(tuple(r) for r in out.collect()) == want
+    assert sorted(tuple(r) for r in G.cooccurrence(m, block=2).collect()) == want
+
+
+def test_trigrams_are_counted_within_rows(spark, tmp_path):
+    """Odd texts as SQL has them, repeated and null keys too, and no row for a trigram."""
+    import duckdb
+
+    from palimpsest.plans import ORACLES, QUERIES
+
+    said = ["The cat sat", None, "", "ab", "abc", "\u00c9t\u00c9 \u00e9t\u00e9 \u0391\u03a3 \u0391\u03a3 x", "the CAT sat on the cat", "\U0001f600\U0001f600\U0001f600 cat", "aaaaaaa", "caf\u00c9 the cat"]
+    lines = [(c, k, "user", said[(k * (c + 1) + c) % len(said)]) for c in range(4) for k in range(10)] + [(None, k, "user", "the cat") for k in range(3)] + [(9, k, "user", "one and the same") for k in (0, 1, 1, 1)]
+    spark.createDataFrame(lines, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    want = Counter(con.execute(ORACLES["eval_trigram"]).fetchall())
+    out = QUERIES["eval_trigram"](spark, str(tmp_path))
+    assert Counter(tuple(r) for r in out.collect()) == want
+    assert "Generate" not in out._jdf.queryExecution().toString()
+
+
 def test_context_lines(spark, cycle):
     nodes = spark.createDataFrame([(k, f"n{k}") for k in range(9)], "id int, name string")
     line = {r["node"]: r["line"] for r in G.context_lines(nodes, cycle, 2).collect()}
