@@ -132,20 +132,32 @@ def unordered(a: str = "src", b: str = "dst") -> list[Column]:
     return [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
 
 
+#: Rows of a task, where there are more than the session's partitions would take: so tasks grow in number and not in size.
+TASK_ROWS = 1 << 20
+
+
+def _spread(rows: DataFrame, n_rows: int, *by: str) -> DataFrame:
+    """`rows` dealt by columns over as many tasks as so many rows ask for, or as the session has."""
+    n = -(-n_rows // TASK_ROWS)
+    return rows.repartition(n, *by) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*by)
+
+
 def cooccurrence(members: DataFrame, group: str = "group", node: str = "node", block: int = 1024) -> DataFrame:
     """lo, hi, n: in how many groups two nodes are together. All pairs of all groups; members of a group above `block` are dealt over blocks
-    that meet in pairs, so no task has a group."""
-    pairs = _together(members, group, [F.col(node).alias("node")], "node", block)
-    return pairs.select(F.col("a.node").alias("lo"), F.col("b.node").alias("hi")).groupBy("lo", "hi").agg(F.count("*").alias("n"))
-
-
-def _together(members: DataFrame, group: str, columns: list[Column], node: str, block: int) -> DataFrame:
-    """Structs a and b of each pair a < b of a group's distinct members."""
-    rows = members.select(F.col(group).alias("g"), F.struct(*columns).alias("m")).withColumn("k", F.col("m")[node]).dropDuplicates(["g", "k"])
-    rows = rows.join(rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "g")
-    dealt = rows.select("g", "k", F.col("m").alias("a"), F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
-    other = dealt.select(F.col("g").alias("g2"), F.col("k").alias("k2"), F.col("a").alias("b"), F.col("j").alias("i2"), F.col("i").alias("j2"))
-    return dealt.join(other, (F.col("g") == F.col("g2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")) & (F.col("k") < F.col("k2"))).select("g", "a", "b")
+    that meet in pairs, so no task has a group. A group's members, or those of two blocks, are a list, and pairs are read off it one by one; tasks have a bounded number of rows."""
+    rows = members.select(F.col(group).alias("g"), F.col(node).alias("k")).where("g is not null and k is not null")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("m"))
+    n, pairs, most = sizes.agg(F.sum(F.col("m") * F.ceil(F.col("m") / block)), F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2), F.max("m")).first()
+    if (most or 0) <= block:
+        lists = _spread(rows, n or 0, "g").groupBy("g").agg(F.collect_set(F.struct("k", F.lit(0).alias("i"))).alias("l"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+    else:
+        blocks = sizes.select("g", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+        dealt = rows.distinct().join(blocks, "g").withColumn("i", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("g", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "k", "i")
+        lists = _spread(dealt, n, "g", "a", "b").groupBy("g", "a", "b").agg(F.collect_set(F.struct("k", "i")).alias("l"))
+    one = lists.select("a", "b", F.array_sort("l").alias("l")).select("a", "b", "l", F.posexplode("l").alias("p", "x"))
+    two = one.where("p + 1 < size(l)").select("a", "b", "x", F.explode(F.expr("slice(l, p + 2, size(l))")).alias("y")).where("a = b or x.i <> y.i")
+    return _spread(two.select(F.col("x.k").alias("lo"), F.col("y.k").alias("hi")), int(pairs or 0), "lo", "hi").groupBy("lo", "hi").agg(F.count("*").alias("n"))
 
 
 def alike(rows: DataFrame, least: float) -> DataFrame:
