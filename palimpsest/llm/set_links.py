@@ -64,7 +64,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame, words_of_shingle: int) -> Dat
     """set_key and shingles of the wanted sets (place, set_key), made anew from the texts (place, text) in a narrow pass: bitmaps of places and sets tell what to hash and what to give.
 
     What they take for wanted comes along, and a set that several texts of a place have comes once from each task: joins and links are the same with both."""
-    known = texts.sparkSession.sparkContext.broadcast((bitmap(wanted.select("place")), bitmap(wanted.select("set_key"))))
+    known = texts.sparkSession.sparkContext.broadcast(tuple(bitmaps(wanted.select("place", "set_key"))))
     given: set[int] = set()  # by this task
 
     def run(batch: pa.RecordBatch):
@@ -85,18 +85,17 @@ def parts_of(shingles: int) -> int:
     return min(PARTS, max(1, -(-8 * shingles // PART_BYTES)))
 
 
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash (one column of longs) modulo the number of bits, which has a bound however many they are."""
-    (name,) = hashes.columns
+def bitmaps(hashes: DataFrame) -> list[np.ndarray]:
+    """For each column (longs) a bit for each of its hashes modulo the number of bits, which has a bound however many they are. Two jobs for all columns."""
     bits = 1 << 16
     n = hashes.count()
     while bits < min(PLACES_EACH * n, MOST_PLACES):
         bits <<= 1
-    at = F.pmod(F.col(name), F.lit(bits))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({name}, 64) as int))")).alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return out
+    each = hashes.select(F.posexplode(F.array(*hashes.columns)).alias("column", "h"))
+    words = each.groupBy("column", F.shiftright(F.pmod("h", F.lit(bits)), 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(h, 64) as int))")).alias("bits")).toArrow()
+    out = np.zeros((len(hashes.columns), bits // 64), np.uint64)
+    out[words["column"].to_numpy(), words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return list(out)
 
 
 def in_bitmap(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -107,7 +106,7 @@ def in_bitmap(hashes: np.ndarray, marks: np.ndarray) -> np.ndarray:
 
 def keyed(forms: DataFrame, shared: DataFrame) -> DataFrame:
     """set_key, slot, key: the keys of each form that several forms have. Of the others a bitmap of the shared ones (broadcast) rules most out before anything travels; what it took for shared is ruled out by joins later."""
-    known = forms.sparkSession.sparkContext.broadcast(bitmap(shared.select("key")))
+    known = forms.sparkSession.sparkContext.broadcast(bitmaps(shared.select("key"))[0])
 
     def run(batch: pa.RecordBatch):
         lists = batch.column(1)

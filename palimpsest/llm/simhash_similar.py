@@ -128,11 +128,10 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         def full(asked: DataFrame) -> DataFrame:
             asked = cut(asked.join(heads, "set_key"))
             texts = rows_.select(F.xxhash64(id_col, mark).alias("place"), F.col(text_col).alias("text"))
-            sets = S.full_sets(texts, asked.where("not other").select(F.xxhash64("id", "mark").alias("place"), "set_key"), words_of_shingle)
             if also is not None:
-                texts = also.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
-                sets = sets.unionByName(S.full_sets(texts, asked.where("other").select(F.xxhash64("id").alias("place"), "set_key"), words_of_shingle))
-            return sets
+                texts = texts.unionByName(also.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text")))
+            place = F.when(F.col("other"), F.xxhash64("id")).otherwise(F.xxhash64("id", "mark"))
+            return S.full_sets(texts, asked.select(place.alias("place"), "set_key"), words_of_shingle)
 
         edges = S.similar_links(distinct.where("n > 0"), full, percent, near_prints, trie_proposer, block)
         if also is not None:  # the texts of one row

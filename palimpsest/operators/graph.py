@@ -60,12 +60,12 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = True,
     return reached if include_seeds else reached.where("depth > 0")
 
 
-def star_roots(edges: DataFrame, hub: int = 4096, rows_per_file: int = 200_000) -> DataFrame:
+def star_roots(edges: DataFrame, hub: int = 4096, rows_per_file: int = 200_000, alone: int = 65_536) -> DataFrame:
     """node, root: the least node that links (u, v) connect each node with, for all nodes but the roots themselves.
 
     Links lie as (greater, lesser). A small star ties a node's lesser neighbours and itself to the least of them, a large star moves a link from a lesser
     end to what that end is tied to; when neither changes anything, the links are stars around the roots. Each round is a table of few
-    files, and goes when the next one is written. Ends that more links share than `hub` and than a 65,536th of all (so 65,536 at most) meet theirs by broadcast, so that no task gets all links of a hub.
+    files, and goes when the next one is written. Up to `alone` links are one file, and a round of them is one task without a shuffle: a driver keeps what it knows of each stage. Ends that more links share than `hub` and than a 65,536th of all (so 65,536 at most) meet theirs by broadcast, so that no task gets all links of a hub.
     Links with a null end connect nothing."""
     spark = edges.sparkSession
     base = shared_path(spark, "stars")
@@ -83,7 +83,9 @@ def star_roots(edges: DataFrame, hub: int = 4096, rows_per_file: int = 200_000)
         other = F.struct(F.col("v").alias("x"), F.lit(None).cast(e.schema["v"].dataType).alias("y"), F.lit(1).alias("here"))
         ends_ = e.select(F.explode(F.array(own, other) if end == "v" else F.array(own)).alias("p")).select("p.*")
         least = ends_.groupBy("x").agg(F.min("y").alias("y"), F.sum("here").alias("n")).select(F.col("x").alias(few), F.coalesce("y", "x").alias("m"), (F.col("n") > max(hub, n >> 16)).alias("hot"))
-        if n <= hub:
+        if n <= alone:
+            least = least.hint("merge")  # of one partition with itself: nothing is exchanged
+        if n <= max(hub, alone):
             return e.join(least, F.col(end) == F.col(few)).select("u", "v", "m")
         known = e.join(F.broadcast(least.where("hot").select(F.col(few).alias(end), F.col("m").alias("hot_m"))), end, "left")
         cold = known.where("hot_m is null").select("u", "v").join(least.where("not hot"), F.col(end) == F.col(few)).select("u", "v", "m")
@@ -93,8 +95,8 @@ def star_roots(edges: DataFrame, hub: int = 4096, rows_per_file: int = 200_000)
     k = 0
     while n:
         k += 1
-        few = max(8, -(-n // rows_per_file))
-        small = tied(e, "u", n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct()
+        few = 1 if n <= alone else max(8, -(-n // rows_per_file))
+        small = tied(e.coalesce(1) if n <= alone else e, "u", n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*").where("u <> v").distinct()
         large = tied(small.coalesce(few), "v", n).select("u", F.col("m").alias("v")).distinct()
         e, n, now = round_(large, k, few)
         remove(spark, f"{base}/{k - 1}")
