@@ -91,8 +91,7 @@ def index_matches(spark, d):
 def needle_hits(spark, d):
     """In how many texts the beginnings of all texts stand, and in which first: one pass for all of them."""
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lower("text").alias("text"))
-    rows = N.hits(docs, docs.select(F.substring("text", 1, 12).alias("needle")))
-    return rows.groupBy("needle").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    return N.tally(docs, docs.select(F.substring("text", 1, 12).alias("needle")), F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 _STORE = f"""mem AS MATERIALIZED (SELECT vec_id AS id, 's' || (label % 5) AS scope, vec_id % 211 AS episode, CASE vec_id % 4 WHEN 0 THEN 'canonical' WHEN 1 THEN 'belief' WHEN 2 THEN 'hypothesis' ELSE 'retracted' END AS status,

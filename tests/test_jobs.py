@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import set_links as S
+from palimpsest.operators import needles as N
 from palimpsest.operators.graph import star_roots
 from palimpsest.runtime import brief_shuffles
 
@@ -51,3 +53,21 @@ def test_texts_of_plans_are_brief_within_loops(spark):
     with brief_shuffles(spark):
         assert int(spark.conf.get("spark.sql.maxPlanStringLength")) <= 4096 and spark.conf.get("spark.sql.ui.explainMode") == "simple"
     assert (spark.conf.get("spark.sql.maxPlanStringLength"), spark.conf.get("spark.sql.ui.explainMode")) == before
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 40])
+def test_many_needles_are_one_pass(spark, monkeypatch, piece):
+    """Passes over the texts don't grow with the needles."""
+    monkeypatch.setattr(N, "PIECE", piece)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdü東𝄞", k=rng.randint(1, 9)))
+    rows = [*((k, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(120)), (200, None), (201, ""), (3, "abc"), (3, "abc")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    wanted = [*{(t or "")[:12] for _, t in rows}, *{(t or "")[-5:] for _, t in rows}, "a", "zzz", "bc", None]
+    monkeypatch.setattr(N, "parts_of", lambda *_: pytest.fail("a pass for each part"))
+    want = sorted((i, x) for i, t in rows for x in {x for x in wanted if x} if x in (t or ""))
+    needles = spark.createDataFrame([(x,) for x in wanted], "x string")
+    assert sorted((r["id"], r["needle"]) for r in N.hits(docs, needles, part_bytes=2000).collect()) == want
+    assert sorted(r["needle"] for r in N.said(docs, needles, part_bytes=2000).collect()) == sorted({x for _, x in want})
+    counted = N.tally(docs, needles, F.count("*").alias("n"), F.max("id").alias("last"), part_bytes=2000).collect()
+    assert sorted((r["needle"], r["n"], r["last"]) for r in counted) == sorted((x, len(own), max(own)) for x in {x for _, x in want} for own in [[i for i, y in want if y == x]])
