@@ -27,7 +27,7 @@ from palimpsest.llm import kernel as K
 from palimpsest.llm import set_links as S
 from palimpsest.operators.graph import star_roots
 from palimpsest.operators.relational import join_dealt
-from palimpsest.runtime import brief_shuffles, cut
+from palimpsest.runtime import brief_shuffles, cut, planned_once
 
 WORDS = 3
 PERCENT = 85
@@ -142,11 +142,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = cut(sketches(docs, id_col, text_col, words_of_shingle))
         # Copies have equal keys and prints: any will do.
         forms = cut(rows.where("n > 0").groupBy("set_key").agg(F.min("__id").alias("owner"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints")))
-        texts = docs.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
-        heads = forms.select("set_key", F.xxhash64("owner").alias("place"))
-        full = lambda asked: S.full_sets(texts, cut(asked.join(heads, "set_key")), words_of_shingle)
-        most = most_unlike(percent)
-        roots = star_roots(S.similar_links(forms, full, percent, near_prints(most), proposer(most), block))
+        n, shingles = forms.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        with planned_once(docs.sparkSession, n, 8 * shingles) as parts:
+            if parts == 1:  # no join or group of these exchanges anything
+                forms = cut(forms.coalesce(1))
+            texts = docs.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text"))
+            heads = forms.select("set_key", F.xxhash64("owner").alias("place"))
+            full = lambda asked: S.full_sets(texts, cut(asked.join(heads, "set_key")), words_of_shingle)
+            most = most_unlike(percent)
+            roots = star_roots(S.similar_links(forms, full, percent, near_prints(most), proposer(most), block))
     # Of a component the least id (nulls take no part) comes to all its sets, and from these to all documents.
     classes = forms.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", F.col("owner").alias("id"), F.coalesce("root", "set_key").alias("root"))
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))

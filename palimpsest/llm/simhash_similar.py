@@ -29,7 +29,7 @@ from palimpsest.llm import set_links as S
 from palimpsest.llm.simhash_trie import keep, majority_bits, trie_pairs
 from palimpsest.operators.graph import star_roots
 from palimpsest.operators.relational import join_dealt
-from palimpsest.runtime import brief_shuffles, cut
+from palimpsest.runtime import brief_shuffles, cut, planned_once
 
 WORDS = 5
 PERCENT = 80
@@ -123,26 +123,31 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
         distinct = forms.groupBy("set_key").agg(F.min(row).alias("head"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("prints").alias("prints"))
         # Documents meet the earliest, which the others are more likely to be like than they are like one another.
         distinct = cut(distinct.withColumn("owner", F.col("head.id")))
-        heads = distinct.select("set_key", "head.id", "head.mark", "head.other")
-
-        def full(asked: DataFrame) -> DataFrame:
-            asked = cut(asked.join(heads, "set_key"))
-            texts = rows_.select(F.xxhash64(id_col, mark).alias("place"), F.col(text_col).alias("text"))
-            if also is not None:
-                texts = texts.unionByName(also.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text")))
-            place = F.when(F.col("other"), F.xxhash64("id")).otherwise(F.xxhash64("id", "mark"))
-            return S.full_sets(texts, asked.select(place.alias("place"), "set_key"), words_of_shingle)
-
-        edges = S.similar_links(distinct.where("n > 0"), full, percent, near_prints, trie_proposer, block)
-        if also is not None:  # the texts of one row
-            tie = rows.select("__id", "tag", F.col("set_key").alias("u")).join(others.select("__id", "tag", F.col("set_key").alias("v")), ["__id", "tag"])
-            edges = edges.unionByName(tie.select("u", "v").distinct())
-        roots = star_roots(edges).withColumnRenamed("node", "set_key")
-
-        named = distinct.join(roots, "set_key", "left").select("set_key", F.col("head").dropFields("other").alias("head"), F.coalesce("root", "set_key").alias("root"))
-        stay = named.groupBy("root").agg(F.min("head").alias("stays"))
-        named = join_dealt(named.select("set_key", "root"), stay, "root", "set_key").select("set_key", "stays")
-        one = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("tag").alias("mark"))
-        judged = join_dealt(rows.select("__id", "tag", "set_key"), named, "set_key", "tag").select("__id", F.col("tag").alias("__head"), one.eqNullSafe(F.col("stays")).alias("stays"))
-        judged = cut(judged.groupBy("__id", "__head").agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
+        n, shingles = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        with planned_once(docs.sparkSession, n, 8 * shingles) as parts:
+            if parts == 1:  # no join or group of these exchanges anything
+                distinct, rows = cut(distinct.coalesce(1)), cut(rows.coalesce(1))
+                others = cut(others.coalesce(1)) if also is not None else None
+            heads = distinct.select("set_key", "head.id", "head.mark", "head.other")
+
+            def full(asked: DataFrame) -> DataFrame:
+                asked = cut(asked.join(heads, "set_key"))
+                texts = rows_.select(F.xxhash64(id_col, mark).alias("place"), F.col(text_col).alias("text"))
+                if also is not None:
+                    texts = texts.unionByName(also.select(F.xxhash64(id_col).alias("place"), F.col(text_col).alias("text")))
+                place = F.when(F.col("other"), F.xxhash64("id")).otherwise(F.xxhash64("id", "mark"))
+                return S.full_sets(texts, asked.select(place.alias("place"), "set_key"), words_of_shingle)
+
+            edges = S.similar_links(distinct.where("n > 0"), full, percent, near_prints, trie_proposer, block)
+            if also is not None:  # the texts of one row
+                tie = rows.select("__id", "tag", F.col("set_key").alias("u")).join(others.select("__id", "tag", F.col("set_key").alias("v")), ["__id", "tag"])
+                edges = edges.unionByName(tie.select("u", "v").distinct())
+            roots = star_roots(edges).withColumnRenamed("node", "set_key")
+
+            named = distinct.join(roots, "set_key", "left").select("set_key", F.col("head").dropFields("other").alias("head"), F.coalesce("root", "set_key").alias("root"))
+            stay = named.groupBy("root").agg(F.min("head").alias("stays"))
+            named = join_dealt(named.select("set_key", "root"), stay, "root", "set_key").select("set_key", "stays")
+            one = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("tag").alias("mark"))
+            judged = join_dealt(rows.select("__id", "tag", "set_key"), named, "set_key", "tag").select("__id", F.col("tag").alias("__head"), one.eqNullSafe(F.col("stays")).alias("stays"))
+            judged = cut(judged.groupBy("__id", "__head").agg(F.max("stays").alias("stays"), F.count("*").alias("n")))
     return keep(rows_, mark, id_col, judged)

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.llm import bbit_minhash, simhash_similar
 from palimpsest.llm import set_links as S
 from palimpsest.operators import needles as N
 from palimpsest.operators.graph import star_roots
+from palimpsest import runtime
 from palimpsest.runtime import brief_shuffles
 
 
@@ -55,6 +57,53 @@ def test_texts_of_plans_are_brief_within_loops(spark):
     assert (spark.conf.get("spark.sql.maxPlanStringLength"), spark.conf.get("spark.sql.ui.explainMode")) == before
 
 
+def test_small_tables_are_planned_once(spark):
+    names = ["spark.sql.adaptive.enabled", "spark.sql.codegen.wholeStage", "spark.sql.shuffle.partitions"]
+    seen = lambda: [spark.conf.get(x) for x in names]
+    before = seen()
+    for rows, size, expected in [
+        (0, 0, ["false", "false", "1"]),
+        (4096, 0, ["false", "false", "1"]),
+        (4097, 0, ["false", before[1], "2"]),
+        (10, 33 << 20, ["false", before[1], "2"]),
+        (16 * 4096, 0, ["false", before[1], str(min(16, int(before[2])))]),
+        (16 * 4096 + 1, 0, before),
+        (10, 1 << 30, before),
+    ]:
+        with runtime.planned_once(spark, rows, size):
+            assert seen() == expected
+        assert seen() == before
+
+
+def test_plans_stay_adaptive_where_partitions_are_many(spark, monkeypatch):
+    """A session may hold the number of partitions: what it holds is put together by adaptive plans only."""
+    kind, put, held = type(spark.conf), type(spark.conf).set, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(held)
+    spark.conf.set(held, "211")
+    monkeypatch.setattr(kind, "set", lambda self, key, value: None if key == held else put(self, key, value))
+    try:
+        with runtime.planned_once(spark, 60_000):
+            assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    finally:
+        put(spark.conf, held, before)
+
+
+@pytest.mark.parametrize(("name", "most"), [("simhash_similar", 60), ("bbit_minhash", 50)])
+def test_near_dedup_of_a_small_table_takes_few_jobs(spark, name, most):
+    """Copies by one word, so that full sets are asked for and links are followed."""
+    rng = random.Random(7)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(120)] for _ in range(60)]
+    texts += [[*t[:60], "other", *t[61:]] for t in texts[:30]] + [[*t[:30], "again", *t[31:]] for t in texts[:20]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    if name == "bbit_minhash":
+        found, n = jobs(spark, name, lambda: bbit_minhash.near_duplicates(docs, "doc_id", "text"))
+        assert {r["doc_id"] for r in found.where("kept").collect()} == set(range(60))
+    else:
+        found, n = jobs(spark, name, lambda: simhash_similar.survivors(docs, also=docs))
+        assert {r["doc_id"] for r in found.collect()} == set(range(60))
+    assert n <= most, n
+
+
 @pytest.mark.parametrize("piece", [1 << 16, 40])
 def test_many_needles_are_one_pass(spark, monkeypatch, piece):
     """Passes over the texts don't grow with the needles."""
