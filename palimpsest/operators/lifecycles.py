@@ -143,8 +143,11 @@ def queue(approvals: DataFrame, now: Column) -> DataFrame:
 
 
 def record_outcomes(decisions: DataFrame, outcomes: DataFrame, now: Column, ties: list[str] | None = None) -> DataFrame:
-    """Decisions with outcome_id, surprise and reviewed_at of their first outcome. decisions: id, confidence; outcomes: id, decision_id, matched, and columns that order those of one id (`ties`)."""
-    first = keep_first(outcomes, ["decision_id"], ["id", *(ties or [])]).select(F.col("decision_id").alias("__d"), F.col("id").alias("outcome_id"), "matched")
+    """Decisions with outcome_id, surprise and reviewed_at of their first outcome. decisions: id, confidence; outcomes: id, decision_id, matched, and columns that order those of one id (`ties`).
+
+    Outcomes without an id are none. The first that says whether it matched gives the surprise."""
+    says = F.col("id").isNotNull() & F.col("matched").isNotNull()
+    first = outcomes.groupBy(F.col("decision_id").alias("__d")).agg(F.min("id").alias("outcome_id"), F.min_by(F.col("matched"), F.when(says, F.struct("id", *(ties or [])))).alias("matched"))
     rows = decisions.join(first, F.col("id") == F.col("__d"), "left")
     return rows.withColumn("surprise", F.round(S.brier(F.col("confidence"), F.col("matched")), 6)).withColumn("reviewed_at", F.when(F.col("outcome_id").isNotNull(), now)).drop("__d", "matched")
 

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
 from palimpsest.operators import attention as A
@@ -90,3 +91,17 @@ def test_the_first_of_outcomes_with_one_id(spark):
     outcomes = spark.createDataFrame(twice, "id long, decision_id long, matched boolean, place int").repartition(5)
     got = Y.record_outcomes(decisions, outcomes, F.lit(NOW).cast("timestamp_ntz"), ["place"])
     assert rows(got, "id", "surprise") == rows(spark.createDataFrame([(k, 0.25 if k else 0.01) for k in range(50)], "id long, s double"), "id", "s")
+
+
+def test_outcomes_that_say_nothing(spark):
+    """As min(id) and arg_min(matched, id) have it: rows without an id are none, and of those without a verdict the id counts."""
+    decisions = spark.createDataFrame([(k, 0.5 * k) for k in range(1, 5)], "id long, confidence double")
+    seen = [(10, 1, None, 1), (11, 1, True, 2), (None, 1, False, 0), (None, 2, True, 3), (30, 3, None, 4), (40, 4, None, 5), (40, 4, False, 6), (40, 4, True, 7)]
+    outcomes = spark.createDataFrame(seen, "id long, decision_id long, matched boolean, place int").repartition(5)
+    got = Y.record_outcomes(decisions, outcomes, F.lit(NOW).cast("timestamp_ntz"), ["place"])
+    want = [(1, 10, 0.25, NOW), (2, None, None, None), (3, 30, None, NOW), (4, 40, 4.0, NOW)]
+    assert rows(got, "id", "outcome_id", "surprise", "reviewed_at") == want
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create table oc as select * from (values {', '.join(str(x).replace('None', 'null') for x in seen)}) t(id, decision_id, matched, place)")
+    assert con.sql("select decision_id, min(id), arg_min(matched, id) from oc group by 1 order by 1").fetchall() == [(1, 10, True), (2, None, None), (3, 30, None), (4, 40, False)]
