@@ -171,13 +171,16 @@ def alike(rows: DataFrame, least: float) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], x) for x in (left.schema.field("query").type, right.schema.field("id").type, pa.float64())], names)
         asks, ids, found = left["query"].to_numpy(), right["id"].to_numpy(), []
+        own, cells = left["own"].to_numpy(), right["own"].to_numpy()
         for at, score in tiles(unit(matrix(left["v"])), unit(matrix(right["v"]))):
-            i, j = np.nonzero((score >= least) & (asks[at : at + len(score), None] < ids[None, :]))
-            found.append((i + at, j, score[i, j]))
-        i, j, score = (np.concatenate([f[x] for f in found]) for x in range(3))
-        return pa.table([left["query"].take(pa.array(i)), right["id"].take(pa.array(j)), pa.array(score)], names)
-
-    return threshold_join(rows, least, judge, T.StructType([T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("score", T.DoubleType())]))
+            i, j = np.nonzero(score >= least)
+            a, b = asks[i + at], ids[j]
+            # Rows of two cells meet here only, those of one cell from both sides.
+            good = np.where(own[i + at] == cells[j], a < b, a != b)
+            found.append((np.minimum(a, b)[good], np.maximum(a, b)[good], score[i, j][good]))
+        return pa.table([pa.array(np.concatenate([f[x] for f in found])) for x in range(3)], names)
+
+    return threshold_join(rows, least, judge, T.StructType([T.StructField("lo", kind), T.StructField("hi", kind), T.StructField("score", T.DoubleType())]), once=True)
 
 
 def densify(nodes: DataFrame, edges: DataFrame, strong: float = 0.70, together: float = 0.60, k: int = 5) -> DataFrame:
